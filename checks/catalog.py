@@ -258,9 +258,9 @@ def dictionary_export(spark, sf):
 
 @query("catalog_table_search", ALL + """
 SELECT database, table_name, comment FROM tabs
-WHERE database = 'db_0' AND contains(lower(concat_ws(' ', schema_name, table_name, table_type, comment)), 'gear')""")
+WHERE database = 'db_0' AND contains(lower(concat_ws(' ', schema_name, table_name, table_type, comment)), 'widget')""")
 def table_search(spark, sf):
-    return catalog.search_tables(i.tables(spark, sf), "db_0", "GEAR").select("database", "table_name", "comment")
+    return catalog.search_tables(i.tables(spark, sf), "db_0", "Widget").select("database", "table_name", "comment")
 
 
 LINEAGE = "WITH " + i.CORPUS_SQL

@@ -73,7 +73,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 EVENTS_SQL = """
 ev AS (
   SELECT event_id, user_id, event_type, CAST(CAST(value AS DECIMAL(10,2)) AS VARCHAR) AS amount, ts,
-         CAST(props->>'k' AS INTEGER) AS k, epoch_ms(ts) AS ms
+         CAST(props->>'k' AS INTEGER) AS k, epoch_us(ts) // 1000 AS ms
   FROM events)
 """
 

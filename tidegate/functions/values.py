@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted identifiers, accepted unsigned numbers, text of a NULL,
@@ -90,3 +90,12 @@ def in_day(epoch_ms: Column, day: str, zone: str = DEFAULT_ZONE) -> Column:
 def positive_or(value: Column, default: int) -> Column:
     """``value``, or ``default`` where it is NULL or zero."""
     return F.coalesce(F.nullif(value.cast("int"), F.lit(0)), F.lit(default))
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    The optimizer moves filters below a projection by repeating its expressions, which for
+    parsed messages means parsing again per mention. Filters stay above a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

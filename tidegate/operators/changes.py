@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.functions.values import DEFAULT_ZONE, is_unsigned_number, local_time
+from tidegate.functions.values import DEFAULT_ZONE, computed_once, is_unsigned_number, local_time
 
 # Where a change stands: per key by log position and offset, against a truncate by time as
 # well because offsets of different partitions do not compare.
@@ -85,31 +85,35 @@ def project(classified: DataFrame, route: Route) -> DataFrame:
     A cell that does not fit its type, or a guarded column that is not a plain number, turns
     the change into a rejected one; so an older valid version of the row stays.
     """
-    problems: list[Column] = []
-    columns: list[Column] = []
-    is_upsert = F.col("action") == "upsert"
+    cells: dict[str, Column] = {}
     for f in route.schema.fields:
-        text = F.try_variant_get(F.try_element_at(F.col("row"), F.lit(f.name)), "$", "string")
+        raw = F.try_element_at(F.col("row"), F.lit(f.name))
         if f.name in route.local_times:
-            instant = cell("row", f.name, T.TimestampType())
-            value, lost = local_time(instant, route.zone), text.isNotNull() & instant.isNull()
+            cells[f"_v_{f.name}"] = local_time(cell("row", f.name, T.TimestampType()), route.zone)
         else:
-            value = cell("row", f.name, f.dataType)
-            lost = text.isNotNull() & value.isNull()
+            cells[f"_v_{f.name}"] = cell("row", f.name, f.dataType)
+        # a value other than null, absent or spelled out
+        cells[f"_g_{f.name}"] = raw.isNotNull() & ~F.is_variant_null(raw)
+        if f.name in route.guarded:
+            cells[f"_n_{f.name}"] = is_unsigned_number(F.try_variant_get(raw, "$", "string"))
+    is_upsert, is_row = F.col("action") == "upsert", F.col("action").isin("upsert", "delete")
+    problems: list[Column] = []
+    columns: list[Column] = []
+    for f in route.schema.fields:
+        value, given = F.col(f"_v_{f.name}"), F.col(f"_g_{f.name}")
+        is_key = f.name in route.keys
         if f.name in route.guarded:
-            problems.append(F.when(is_upsert & ~is_unsigned_number(text), f"{f.name}: not a plain number"))
-        problems.append(F.when((is_upsert | F.lit(f.name in route.keys)) & lost, f"{f.name}: does not fit"))
-        if f.name in route.keys:
-            problems.append(
-                F.when(F.col("action").isin("upsert", "delete") & value.isNull(), f"{f.name}: key is missing")
-            )
+            problems.append(F.when(is_upsert & ~F.col(f"_n_{f.name}"), f"{f.name}: not a plain number"))
+        problems.append(F.when((is_row if is_key else is_upsert) & given & value.isNull(), f"{f.name}: does not fit"))
+        if is_key:
+            problems.append(F.when(is_row & ~given, f"{f.name}: key is missing"))
             columns.append(value.alias(f.name))
         else:
             columns.append(F.struct(value.alias("value"), present("row", f.name).alias("present")).alias(f.name))
     problem = F.nullif(F.concat_ws("; ", *problems), F.lit(""))
     applied = F.col("action").isin("upsert", "delete", "truncate")
     kept = applied & problem.isNull()
-    return classified.select(
+    return computed_once(classified, **cells).select(
         *columns,
         F.when(applied & problem.isNotNull(), "rejected").otherwise(F.col("action")).alias(ACTION),
         F.coalesce("reason", F.when(applied, problem)).alias("_reason"),
@@ -139,20 +143,21 @@ def fold(changes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Data
     Per column the newest change that carries it wins, so partial upserts leave other columns
     alone. A delete carries every column as NULL: what comes after it starts afresh.
     """
-    order = F.col(ORDER)
+    # a condition inside the aggregate, not a filter: the cells are computed once
+    applied = F.col(ACTION).isin("upsert", "delete")
+    order = F.when(applied, F.col(ORDER))
     deleted = F.col(ACTION) == "delete"
-    applied = changes.where(F.col(ACTION).isin("upsert", "delete"))
     folded: list[Column] = []
     for name in values:
-        carried = F.col(name)["present"] | deleted
+        carried = F.when(F.col(name)["present"] | deleted, order)
         value = F.when(~deleted, F.col(name)["value"])
-        newest = F.max_by(F.when(carried, F.struct(value.alias("value"), order.alias("at"))), F.when(carried, order))
-        folded.append(newest.alias(name))
-    return applied.groupBy(*keys).agg(
+        folded.append(F.max_by(F.struct(value.alias("value"), order.alias("at")), carried).alias(name))
+    latest_rows = changes.groupBy(*keys).agg(
         *folded,
         F.max_by(deleted, order).alias("_deleted"),
         F.max(order).alias(ORDER),
     )
+    return latest_rows.where(F.col(ORDER).isNotNull())
 
 
 def flatten(folded: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.values import computed_once
+
 MESSAGE = "data array<map<string,variant>>, old array<map<string,variant>>, type string, es bigint, ts bigint"
 
 # Message types.
@@ -14,8 +16,10 @@ DELETE_TYPE = "DELETE"
 
 def decode(raw: DataFrame) -> DataFrame:
     """One row per changed row: ``position`` in the message, ``row`` and the ``old`` cells."""
-    message = raw.withColumn("readable", F.json_object_keys("value").isNotNull()).withColumn(
-        "_m", F.from_json("value", MESSAGE)
+    message = computed_once(
+        raw,
+        readable=F.json_object_keys("value").isNotNull(),
+        _m=F.from_json("value", MESSAGE),
     )
     data = F.coalesce(F.col("_m.data"), F.array())
     # old is null on inserts; an empty list keeps the zip aligned with the data
@@ -54,7 +58,7 @@ def classify(decoded: DataFrame, keys: list[str]) -> DataFrame:
         .when(F.col("action") == "bad_message", "row without its key")
         .when(~F.col("action").isin("upsert", "delete"), F.col("action"))
     )
-    routed = decoded.withColumn("action", action).withColumn("reason", reason)
+    routed = computed_once(decoded, action=action).withColumn("reason", reason)
     # the old image lists only the cells that changed
     old_key = F.map_from_arrays(
         F.array(*[F.lit(n) for n in keys]),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.values import computed_once
+
 ROW = "map<string,variant>"
 _FIELDS = {
     "op": "string",
@@ -42,22 +44,23 @@ def decode(raw: DataFrame) -> DataFrame:
     ``readable`` is false for empty, malformed and non-object messages. The event time is the
     envelope's, else the source's, else the record's own.
     """
-    return (
-        raw.withColumn("readable", F.json_object_keys("value").isNotNull())
-        .withColumn("_e", F.from_json("value", ENVELOPE))
-        .withColumn("key_row", F.from_json("key", KEY)["payload"])
-        .select(
-            *raw.columns,
-            "readable",
-            "key_row",
-            _field("op").alias("op"),
-            _field("before").alias("before"),
-            _field("after").alias("after"),
-            F.coalesce(
-                _time(_field("ts_ms")), _time(_field("source")["ts_ms"]), F.unix_millis("timestamp")
-            ).alias("event_ms"),
-            F.coalesce(_field("source")["lsn"], F.lit(0).cast("bigint")).alias("lsn"),
-        )
+    parsed = computed_once(
+        raw,
+        readable=F.json_object_keys("value").isNotNull(),
+        _e=F.from_json("value", ENVELOPE),
+        key_row=F.from_json("key", KEY)["payload"],
+    )
+    return parsed.select(
+        *raw.columns,
+        "readable",
+        "key_row",
+        _field("op").alias("op"),
+        _field("before").alias("before"),
+        _field("after").alias("after"),
+        F.coalesce(
+            _time(_field("ts_ms")), _time(_field("source")["ts_ms"]), F.unix_millis("timestamp")
+        ).alias("event_ms"),
+        F.coalesce(_field("source")["lsn"], F.lit(0).cast("bigint")).alias("lsn"),
     )
 
 
@@ -100,7 +103,7 @@ def classify(decoded: DataFrame, in_window: Column | None = None, keys: list[str
         .when(~F.col("action").isin("upsert", "delete", "truncate"), F.col("action"))
     )
     return (
-        decoded.withColumn("action", action)
+        computed_once(decoded, action=action)
         .withColumn("reason", reason)
         .withColumn(
             "row",
