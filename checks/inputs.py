@@ -139,7 +139,8 @@ def debezium_log(spark: SparkSession, sf: str, truncates: bool = False, partial:
     key = F.when((k == 22) | ((kind == "error") & (k < 25)), F.lit(None).cast("string")).otherwise(
         _json('{"payload":{"id":', user, "}}")
     )
-    return events(spark, sf).select(
+    # spread by key, as the partitions of a topic are
+    return events(spark, sf).repartition("user_id").select(
         F.lit(TOPIC).alias("topic"),
         F.pmod(user, F.lit(8)).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),
@@ -190,7 +191,7 @@ def canal_log(spark: SparkSession, sf: str) -> DataFrame:
     value = F.when(k == 13, "{bad").otherwise(
         _json('{"data":', data, ',"old":', old, ',"type":"', change, '","es":', F.unix_millis("ts"), "}")
     )
-    return events(spark, sf).select(
+    return events(spark, sf).repartition("user_id").select(
         F.lit(TOPIC).alias("topic"),
         F.pmod(user, F.lit(8)).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),

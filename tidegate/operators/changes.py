@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegate.functions.images import is_given, raw_cell, typed
 from tidegate.functions.values import DEFAULT_ZONE, computed_once, is_unsigned_number, local_time
 
 # Where a change stands: per key by log position and offset, against a truncate by time as
@@ -57,21 +58,6 @@ def route_topics(raw: DataFrame, routes: DataFrame, default_database: str) -> Da
     )
 
 
-def cell(row: str, name: str, data_type: T.DataType) -> Column:
-    """One cell of a row image in the target type; text keeps JSON, booleans become 1 and 0."""
-    raw = F.try_element_at(F.col(row), F.lit(name))
-    if isinstance(data_type, T.StringType):
-        flag = F.try_variant_get(raw, "$", "int").cast("string")
-        return F.when(F.schema_of_variant(raw) == "BOOLEAN", flag).otherwise(
-            F.try_variant_get(raw, "$", "string")
-        )
-    return F.try_variant_get(raw, "$", data_type.simpleString())
-
-
-def present(row: str, name: str) -> Column:
-    return F.coalesce(F.map_contains_key(F.col(row), F.lit(name)), F.lit(False))
-
-
 def order_of(columns: Sequence[str]) -> Column:
     position = F.col("position").cast("int") if "position" in columns else F.lit(0)
     return F.struct(
@@ -85,15 +71,17 @@ def project(classified: DataFrame, route: Route) -> DataFrame:
     A cell that does not fit its type, or a guarded column that is not a plain number, turns
     the change into a rejected one; so an older valid version of the row stays.
     """
+    kind = classified.schema["row"].dataType
     cells: dict[str, Column] = {}
     for f in route.schema.fields:
-        raw = F.try_element_at(F.col("row"), F.lit(f.name))
+        raw = raw_cell(F.col("row"), f.name, kind)
         if f.name in route.local_times:
-            cells[f"_v_{f.name}"] = local_time(cell("row", f.name, T.TimestampType()), route.zone)
+            value = local_time(typed(raw, T.TimestampType()), route.zone)
         else:
-            cells[f"_v_{f.name}"] = cell("row", f.name, f.dataType)
-        # a value other than null, absent or spelled out
-        cells[f"_g_{f.name}"] = raw.isNotNull() & ~F.is_variant_null(raw)
+            value = typed(raw, f.dataType)
+        cells[f"_v_{f.name}"] = value
+        cells[f"_p_{f.name}"] = raw.isNotNull()
+        cells[f"_g_{f.name}"] = is_given(raw)
         if f.name in route.guarded:
             cells[f"_n_{f.name}"] = is_unsigned_number(F.try_variant_get(raw, "$", "string"))
     is_upsert, is_row = F.col("action") == "upsert", F.col("action").isin("upsert", "delete")
@@ -109,7 +97,7 @@ def project(classified: DataFrame, route: Route) -> DataFrame:
             problems.append(F.when(is_row & ~given, f"{f.name}: key is missing"))
             columns.append(value.alias(f.name))
         else:
-            columns.append(F.struct(value.alias("value"), present("row", f.name).alias("present")).alias(f.name))
+            columns.append(F.struct(value.alias("value"), F.col(f"_p_{f.name}").alias("present")).alias(f.name))
     problem = F.nullif(F.concat_ws("; ", *problems), F.lit(""))
     applied = F.col("action").isin("upsert", "delete", "truncate")
     kept = applied & problem.isNull()
@@ -165,21 +153,25 @@ def flatten(folded: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Da
     return folded.select(*keys, *[F.col(v)["value"].alias(v) for v in values], "_deleted", ORDER)
 
 
-def latest(changes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """State rows that a whole change log leaves, tombstones included."""
-    kept = after_truncate(changes, truncate_epoch(changes))
+def latest(
+    changes: DataFrame, keys: Sequence[str], values: Sequence[str], epoch: Column | None = None
+) -> DataFrame:
+    """State rows that a whole change log leaves, tombstones included.
+
+    ``epoch`` comes from ``truncate_epoch``; formats without truncates need none.
+    """
+    kept = changes if epoch is None else after_truncate(changes, epoch)
     return flatten(fold(kept, keys, values), keys, values)
 
 
 def merge(
-    base: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str]
+    base: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str], epoch: Column
 ) -> DataFrame:
-    """A keyed state advanced by a change log.
+    """A keyed state advanced by a change log that follows it.
 
     The changes are folded first, so the join has one row per key on each side; a bucketed
     base is not shuffled. A change at or before a row's order was already applied.
     """
-    epoch = truncate_epoch(changes)
     state = after_truncate(base, epoch)
     news = fold(after_truncate(changes, epoch), keys, values)
     old, new = state.alias("old"), news.alias("new")

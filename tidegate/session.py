@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # dt partitions stay STRING when read back
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+    # methods above this size are never JIT-compiled; wide decode projections are split instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # deep pages fall back to a distributed sort instead of a per-task heap
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }

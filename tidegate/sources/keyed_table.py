@@ -116,11 +116,12 @@ class KeyedTable:
         news = self.changes(after=version)
         if version is None and news is None:
             return self.spark.createDataFrame([], self.state_schema)
-        if version is None:
-            return ch.latest(news, self.keys, self.values)
         if news is None:
             return self._snapshot(version)
-        return ch.merge(self._snapshot(version), news, self.keys, self.values)
+        epoch = ch.truncate_epoch(news)
+        if version is None:
+            return ch.latest(news, self.keys, self.values, epoch)
+        return ch.merge(self._snapshot(version), news, self.keys, self.values, epoch)
 
     def read(self) -> DataFrame:
         """The target as its readers see it."""

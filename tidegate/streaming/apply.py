@@ -26,8 +26,8 @@ def decode(raw: DataFrame, route: Route, in_window: Column | None = None) -> Dat
     """Classified changes of one topic in the route's format."""
     of_topic = raw.where(F.col("topic") == route.topic)
     if route.change_format == "canal":
-        return canal.classify(canal.decode(of_topic), list(route.keys))
-    return debezium.classify(debezium.decode(of_topic), in_window, list(route.keys))
+        return canal.classify(canal.decode(of_topic, route.schema.fieldNames()), route.keys)
+    return debezium.classify(debezium.decode(of_topic, route.schema.fieldNames()), in_window, route.keys)
 
 
 def _strict(changes: DataFrame) -> DataFrame:
