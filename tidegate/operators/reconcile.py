@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegate.functions.values import (
     ROW_SEPARATOR,
@@ -29,8 +30,6 @@ SNAPSHOT_LIMIT = 200_000
 OK, MISMATCH, SKIPPED, ERROR = "ok", "mismatch", "skipped", "error"
 TARGET_MISSING, SOURCE_ERROR = "target_missing", "source_error"
 
-# Exact distinct counts expand each row once per column, so wide profiles go in groups.
-DISTINCT_GROUP = 4
 DIFF_BUCKETS = 4096
 
 
@@ -156,30 +155,60 @@ def pk_digest(pairs: Sequence[Pair], keys: Sequence[str]) -> DataFrame:
     )
 
 
+PROFILE = ("count", "distinct", "min", "max")
+
+
+def _value_text(df: DataFrame, name: str) -> Column:
+    """Text that is equal exactly where the values are."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (F.col(name) + F.lit(0.0)).cast("string")  # one zero
+    if isinstance(kind, T.BinaryType):
+        return F.hex(name)
+    return F.col(name).cast("string")
+
+
+def _profile_parts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """Count, minimum, maximum in one pass; exact distinct counts over (column, value) pairs.
+
+    The pairs are combined before the shuffle, so a value that fills a column travels once per
+    task, and wide tables do not multiply the width of a row as several distinct counts in
+    one aggregate would.
+    """
+    aggregates: list[Column] = []
+    for i, name in enumerate(columns):
+        aggregates += [F.count(name).alias(f"n{i}"), F.min(name).alias(f"lo{i}"), F.max(name).alias(f"hi{i}")]
+    entry = lambda i, name: F.struct(
+        F.lit(name).alias("column"),
+        F.col(f"n{i}").cast("string").alias("count"),
+        F.lit(None).cast("string").alias("distinct"),
+        F.col(f"lo{i}").cast("string").alias("min"),
+        F.col(f"hi{i}").cast("string").alias("max"),
+    )
+    plain = df.agg(*aggregates).select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
+    pairs = F.array(
+        *[F.struct(F.lit(i).alias("at"), _value_text(df, c).alias("value")) for i, c in enumerate(columns)]
+    )
+    distinct = (
+        df.select(F.inline(pairs))
+        .where(F.col("value").isNotNull())
+        .groupBy("at", "value")
+        .agg(F.lit(1))
+        .groupBy("at")
+        .agg(F.count("*").cast("string").alias("distinct"))
+        .select(
+            F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("at") + 1).alias("column"), "distinct"
+        )
+    )
+    return [plain, distinct]
+
+
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, exact distinct count, minimum and maximum per column, as text."""
-    groups = [columns[i : i + DISTINCT_GROUP] for i in range(0, len(columns), DISTINCT_GROUP)]
-    frames = []
-    for group in groups:
-        aggregates: list[Column] = []
-        for i, name in enumerate(group):
-            aggregates += [
-                F.count(name).alias(f"n{i}"),
-                F.count_distinct(F.col(name)).alias(f"d{i}"),
-                F.min(name).alias(f"lo{i}"),
-                F.max(name).alias(f"hi{i}"),
-            ]
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("column"),
-                    F.array(*[canon(f"{part}{i}") for part in ("n", "d", "lo", "hi")]).alias("values"),
-                )
-                for i, name in enumerate(group)
-            ]
-        )
-        frames.append(df.agg(*aggregates).select(F.inline(entries)))
-    return _union(frames)
+    both = functools.reduce(
+        lambda x, y: x.unionByName(y, allowMissingColumns=True), _profile_parts(df, columns)
+    )
+    return both.groupBy("column").agg(*[F.max(part).alias(part) for part in PROFILE])
 
 
 def field_value(pairs: Sequence[Pair], columns: Sequence[str]) -> DataFrame:
@@ -187,25 +216,32 @@ def field_value(pairs: Sequence[Pair], columns: Sequence[str]) -> DataFrame:
     if not columns:
         raise ValueError("a field profile needs columns")
     frames = [
-        profile(df, columns).select(F.lit(p.table).alias("table"), F.lit(side).alias("side"), "column", "values")
+        part.select(F.lit(p.table).alias("table"), F.lit(side).alias("side"), "*")
         for p in pairs
         for side, df in _sides(p)
+        for part in _profile_parts(df, columns)
     ]
-    return (
-        _union(frames)
-        .groupBy("table", "column")
-        .agg(_of("source", "values"), _of("target", "values"))
-        .select(
-            "table",
-            "column",
-            F.array_join("source_values", "|").alias("source_values"),
-            F.array_join("target_values", "|").alias("target_values"),
-            _status(
-                F.col("source_values") == F.col("target_values"),
-                F.col("source_values").isNotNull(),
-                F.col("target_values").isNotNull(),
-            ).alias("status"),
-        )
+    every = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+    both = every.groupBy("table", "column").agg(
+        *[_of(side, part) for side in ("source", "target") for part in PROFILE],
+        F.bool_or(F.col("side") == "source").alias("in_source"),
+        F.bool_or(F.col("side") == "target").alias("in_target"),
+    )
+    # a column without values has no distinct entry
+    shown = lambda side, part: (
+        F.coalesce(f"{side}_{part}", F.lit("0")) if part == "distinct" else canon(f"{side}_{part}")
+    )
+    text = lambda side: F.when(
+        F.col(f"in_{side}"), F.concat_ws("|", *[shown(side, part) for part in PROFILE])
+    )
+    return both.select(
+        "table", "column", text("source").alias("source_values"), text("target").alias("target_values"),
+        "in_source", "in_target",
+    ).select(
+        "table", "column", "source_values", "target_values",
+        _status(
+            F.col("source_values") == F.col("target_values"), F.col("in_source"), F.col("in_target")
+        ).alias("status"),
     )
 
 

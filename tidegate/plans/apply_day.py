@@ -22,7 +22,7 @@ def day_changes(raw: DataFrame, route: Route, day: str, zone: str = DEFAULT_ZONE
 
 def run(
     spark: SparkSession, bronze_path: str, routes: Sequence[Route], target_root: str, day: str | None = None,
-    zone: str = DEFAULT_ZONE, dry_run: bool = False, buckets: int = 8,
+    zone: str = DEFAULT_ZONE, dry_run: bool = False, buckets: int | None = None,
 ) -> dict[str, DataFrame]:
     """Apply a day (default: yesterday in the zone) and return the counters per target.
 

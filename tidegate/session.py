@@ -36,6 +36,8 @@ def local_session(cpus: int | str = "*", app: str = "tidegate", **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # call sites of every column expression are looked up otherwise
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(name, value)

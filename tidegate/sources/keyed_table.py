@@ -21,26 +21,39 @@ from tidegate.operators.changes import ACTION, ORDER, ORDER_TYPE, Route
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, path: str, route: Route, buckets: int = 8):
-        self.spark, self.path, self.route, self.buckets = spark, path.rstrip("/"), route, buckets
+    """``buckets`` is for new snapshots and defaults to the session's shuffle partitions.
+
+    Spark joins a bucketed side in place when it has at least that many buckets. Each snapshot
+    carries its bucket count in its folder, so the count may change from one to the next.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, route: Route, buckets: int | None = None):
+        self.spark, self.path, self.route = spark, path.rstrip("/"), route
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.keys, self.values = list(route.keys), route.values
 
     # ------------------------------------------------------------------ layout
 
-    def _published(self, kind: str) -> list[int]:
-        """Numbers of the finished folders of a kind, ascending."""
+    def _published(self, pattern: str) -> list[str]:
+        """Finished folders below the table's path."""
         jvm = self.spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}=*/_SUCCESS")
+        marker = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}/_SUCCESS")
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        found = pattern.getFileSystem(conf).globStatus(pattern) or []
-        numbers = (re.search(rf"{kind}=(\d+)", f.getPath().getParent().getName()) for f in found)
-        return sorted(int(n.group(1)) for n in numbers if n)
+        found = marker.getFileSystem(conf).globStatus(marker) or []
+        return [f.getPath().getParent().toString() for f in found]
 
     def batches(self) -> list[int]:
-        return self._published("batch")
+        """Numbers of the published batches, ascending."""
+        return sorted(int(p.rsplit("=", 1)[1]) for p in self._published("batch=*"))
+
+    def snapshot(self) -> tuple[int, int] | None:
+        """Version and bucket count of the newest published snapshot."""
+        names = (re.search(r"buckets=(\d+)/version=(\d+)$", p) for p in self._published("buckets=*/version=*"))
+        return max(((int(n.group(2)), int(n.group(1))) for n in names if n), default=None)
 
     def version(self) -> int | None:
-        return max(self._published("version"), default=None)
+        newest = self.snapshot()
+        return None if newest is None else newest[0]
 
     @property
     def state_schema(self) -> T.StructType:
@@ -49,20 +62,23 @@ class KeyedTable:
             schema = schema.add(name, self.route.schema[name].dataType)
         return schema.add("_deleted", T.BooleanType()).add(ORDER, T._parse_datatype_string(ORDER_TYPE))
 
-    def _table(self, version: int) -> str:
-        """Catalog name of a snapshot version, the same in every session."""
-        return f"snapshot_{hashlib.md5(self.path.encode()).hexdigest()[:12]}_{version}"
+    def _table(self, version: int, buckets: int) -> str:
+        """Catalog name of a snapshot, the same in every session."""
+        return f"snapshot_{hashlib.md5(self.path.encode()).hexdigest()[:12]}_{version}_{buckets}"
+
+    def _folder(self, version: int, buckets: int) -> str:
+        return f"{self.path}/buckets={buckets}/version={version}"
 
-    def _snapshot(self, version: int) -> DataFrame:
+    def _read_snapshot(self, version: int, buckets: int) -> DataFrame:
         """A snapshot with its bucketing, declared over its folder so no catalog must survive."""
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.state_schema.fields)
         by = ", ".join(f"`{k}`" for k in self.keys)
+        name = self._table(version, buckets)
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self._table(version)} ({columns}) USING parquet "
-            f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS "
-            f"LOCATION '{self.path}/version={version}'"
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+            f"INTO {buckets} BUCKETS LOCATION '{self._folder(version, buckets)}'"
         )
-        return self.spark.table(self._table(version))
+        return self.spark.table(name)
 
     # ----------------------------------------------------------------- writing
 
@@ -89,8 +105,8 @@ class KeyedTable:
             .format("parquet")
             .bucketBy(self.buckets, *self.keys)
             .sortBy(*self.keys)
-            .option("path", f"{self.path}/version={newest}")
-            .saveAsTable(self._table(newest))
+            .option("path", self._folder(newest, self.buckets))
+            .saveAsTable(self._table(newest, self.buckets))
         )
         return newest
 
@@ -112,16 +128,16 @@ class KeyedTable:
 
     def state(self) -> DataFrame:
         """Latest row per key, tombstones included."""
-        version = self.version()
-        news = self.changes(after=version)
-        if version is None and news is None:
+        newest = self.snapshot()
+        news = self.changes(after=None if newest is None else newest[0])
+        if newest is None and news is None:
             return self.spark.createDataFrame([], self.state_schema)
         if news is None:
-            return self._snapshot(version)
+            return self._read_snapshot(*newest)
         epoch = ch.truncate_epoch(news)
-        if version is None:
+        if newest is None:
             return ch.latest(news, self.keys, self.values, epoch)
-        return ch.merge(self._snapshot(version), news, self.keys, self.values, epoch)
+        return ch.merge(self._read_snapshot(*newest), news, self.keys, self.values, epoch)
 
     def read(self) -> DataFrame:
         """The target as its readers see it."""
