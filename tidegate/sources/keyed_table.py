@@ -55,6 +55,18 @@ class KeyedTable:
         newest = self.snapshot()
         return None if newest is None else newest[0]
 
+    @property
+    def batch_schema(self) -> T.StructType:
+        """Rows of a batch folder; declared, because a batch without changes writes no file."""
+        schema = T.StructType([self.route.schema[k] for k in self.keys])
+        for name in self.values:
+            cell = T.StructType([T.StructField("value", self.route.schema[name].dataType)])
+            schema = schema.add(name, cell.add("present", T.BooleanType()))
+        schema = schema.add(ACTION, "string").add("_reason", "string").add(ORDER, T._parse_datatype_string(ORDER_TYPE))
+        for name in ("_raw_topic", "_raw_key", "_raw_value", "_usable"):
+            schema = schema.add(name, "string")
+        return schema
+
     @property
     def state_schema(self) -> T.StructType:
         schema = T.StructType([self.route.schema[k] for k in self.keys])
@@ -116,8 +128,8 @@ class KeyedTable:
         if not batches:
             return None
         folders = [f"{self.path}/batch={b}" for b in batches]
-        frames = self.spark.read.option("basePath", self.path).parquet(*folders)
-        return frames.where(F.col("_usable").cast("boolean") == usable)
+        rows = self.spark.read.schema(self.batch_schema).option("basePath", self.path).parquet(*folders)
+        return rows.where(F.col("_usable") == str(usable).lower())
 
     def changes(self, after: int | None = None) -> DataFrame | None:
         return self._batch_rows([b for b in self.batches() if after is None or b > after], True)
