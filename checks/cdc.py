@@ -294,16 +294,18 @@ def apply_one_day(spark, sf):
     return shown(KeyedTable(spark, f"{root}/target/accounts", ROUTE).read())
 
 
-def _stream(spark, raw, route, parts=3, **policy):
-    """Write a log in offset order as several files and drain it one file per micro-batch."""
+def _stream(spark, raw, route, parts=3, files=8, **policy):
+    """Write a log in offset order, several files per part, and drain one part per micro-batch."""
     root = scratch_path(spark, "stream")
-    last = raw.agg(F.max("offset")).first()[0]
+    raw.write.parquet(f"{root}/whole")
+    whole = spark.read.schema(bronze.RAW_SCHEMA).parquet(f"{root}/whole")
+    last = whole.agg(F.max("offset")).first()[0]
     step = last // parts + 1
     for n in range(parts):
-        part = raw.where((F.col("offset") >= n * step) & (F.col("offset") < (n + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/log")
+        part = whole.where((F.col("offset") >= n * step) & (F.col("offset") < (n + 1) * step))
+        part.repartition(files, "partition", "offset").write.mode("append").parquet(f"{root}/log")
     table = KeyedTable(spark, f"{root}/target", route)
-    stream = bronze.table_stream(spark, f"{root}/log", max_files_per_trigger=1)
+    stream = bronze.table_stream(spark, f"{root}/log", max_files_per_trigger=files)
     streaming.start(stream, table, f"{root}/checkpoint", drain=True, skip_bad=True, **policy).awaitTermination()
     return table
 

@@ -75,11 +75,8 @@ def edges(extracted: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def nodes(edge_rows: DataFrame) -> DataFrame:
     """Every table that is read or written."""
-    return (
-        edge_rows.select(F.col("source_table").alias("table_name"))
-        .union(edge_rows.select("target_table"))
-        .distinct()
-    )
+    both = F.array("source_table", "target_table")
+    return edge_rows.select(F.explode(both).alias("table_name")).distinct()
 
 
 def by_target(edge_rows: DataFrame) -> DataFrame:

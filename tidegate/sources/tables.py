@@ -22,12 +22,12 @@ def load(df: DataFrame, path: str, truncate: bool = True) -> None:
 def write_days(df: DataFrame, path: str) -> None:
     """ORC by ``dt``: the days in ``df`` are replaced, all others stay.
 
-    Rows are spread by day and row hash first: a day gets several files of its own instead of
-    one from every task, and a day with most of the rows is no single task's work.
+    Rows are gathered by day before the write, so a day gets a few files instead of one from
+    every task; the rebalance splits a day with very many rows over several tasks.
     """
-    spread = df.repartition(F.col(DAY), F.pmod(F.xxhash64(*df.columns), F.lit(16)))
     (
-        spread.write.mode("overwrite")
+        df.hint("rebalance", F.col(DAY))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY)
         .orc(path)
