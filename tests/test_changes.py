@@ -171,6 +171,12 @@ def test_bucket_count_may_change(spark, tmp_path):
         table.compact()
         assert table.snapshot() == (batch, buckets)
     assert rows(table.read()) == final(spark, ENTRIES[:6])
+    table.expire(keep=1)
+    assert table.snapshots() == [(2, 5)]
+    assert rows(table.read()) == final(spark, ENTRIES[:6])
+    assert table.quarantine().count() == 1
+    table.append(3, ch.project(decode(log(spark, ENTRIES[6:], 6), ROUTE), ROUTE))
+    assert rows(table.read()) == final(spark, ENTRIES)
 
 
 def test_compaction_does_not_shuffle_the_snapshot(spark, tmp_path):
@@ -196,12 +202,12 @@ def test_day_job_is_repeatable_and_counts(spark, tmp_path):
     ]
     bronze.append(debezium.decode(log(spark, entries)), f"{tmp_path}/bronze")
     run = lambda day, **k: apply_day.run(spark, f"{tmp_path}/bronze", [ROUTE], f"{tmp_path}/out", day, **k)
-    counted = run("2026-09-01", dry_run=True)["t"].first()
-    assert (counted.consumed, counted.upsert, counted["delete"]) == (2, 1, 1)
+    counted = run("2026-09-01", dry_run=True)["t"]
+    assert (counted["consumed"], counted["upsert"], counted["delete"]) == (2, 1, 1)
     table = KeyedTable(spark, f"{tmp_path}/out/t", ROUTE)
     assert table.batches() == []
     for _ in range(2):
-        run("2026-09-01")
+        assert run("2026-09-01")["t"] == counted | {"rejected": 0}
         assert rows(table.read()) == [(1, "x", 1)]
     # the event of the next day was kept, not lost
     run("2026-09-02")

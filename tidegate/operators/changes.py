@@ -197,10 +197,18 @@ def visible(state: DataFrame) -> DataFrame:
     return state.where(~F.col("_deleted")).drop("_deleted", ORDER)
 
 
+# What a run counts besides everything it consumed.
+COUNTED = ("bad_message", "out_of_window", "unknown_op", "no_after", "upsert", "delete", "truncate")
+
+
+def counters(action: str, extra: Sequence[str] = ()) -> list[Column]:
+    """Aggregates over the named action column, for ``agg`` or for ``observe``."""
+    return [
+        F.count("*").alias("consumed"),
+        *[F.count_if(F.col(action) == name).alias(name) for name in (*COUNTED, *extra)],
+    ]
+
+
 def action_counts(classified: DataFrame) -> DataFrame:
     """Counters of a run: everything consumed, and each action."""
-    names = ["bad_message", "out_of_window", "unknown_op", "no_after", "upsert", "delete", "truncate"]
-    return classified.agg(
-        F.count("*").alias("consumed"),
-        *[F.count_if(F.col("action") == n).alias(n) for n in names],
-    )
+    return classified.agg(*counters("action"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.values import DEFAULT_ZONE, in_day, yesterday
@@ -23,23 +23,28 @@ def day_changes(raw: DataFrame, route: Route, day: str, zone: str = DEFAULT_ZONE
 def run(
     spark: SparkSession, bronze_path: str, routes: Sequence[Route], target_root: str, day: str | None = None,
     zone: str = DEFAULT_ZONE, dry_run: bool = False, buckets: int | None = None,
-) -> dict[str, DataFrame]:
+) -> dict[str, dict[str, int]]:
     """Apply a day (default: yesterday in the zone) and return the counters per target.
 
     The bronze table keeps every record under its event date, so an early run loses nothing
-    and a repeated run of a day replaces what it wrote before. ``dry_run`` counts only.
+    and a repeated run of a day replaces what it wrote before. The counters are taken while
+    the changes are written; ``dry_run`` counts only.
     """
     day = day or yesterday(zone)
     counters = {}
     for route in routes:
         raw = bronze.read_day(spark, bronze_path, day, [route.topic])
         classified = day_changes(raw, route, day, zone)
-        counters[route.table] = ch.action_counts(classified)
-        if not dry_run:
-            table = KeyedTable(spark, f"{target_root}/{route.table}", route, buckets)
-            # the day number keeps batches in date order
-            table.append(int(day.replace("-", "")), ch.project(classified, route))
-            table.compact()
+        if dry_run:
+            counters[route.table] = ch.action_counts(classified).first().asDict()
+            continue
+        seen = Observation(f"{route.table} {day}")
+        changes = ch.project(classified, route).observe(seen, *ch.counters(ch.ACTION, ("rejected",)))
+        table = KeyedTable(spark, f"{target_root}/{route.table}", route, buckets)
+        # the day number keeps batches in date order
+        table.append(int(day.replace("-", "")), changes)
+        counters[route.table] = dict(seen.get)
+        table.compact()
     return counters
 
 

@@ -34,22 +34,28 @@ class KeyedTable:
 
     # ------------------------------------------------------------------ layout
 
+    def _path(self, name: str):
+        """A path below the table and the file system it is on."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _published(self, pattern: str) -> list[str]:
         """Finished folders below the table's path."""
-        jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}/_SUCCESS")
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        found = marker.getFileSystem(conf).globStatus(marker) or []
-        return [f.getPath().getParent().toString() for f in found]
+        marker, files = self._path(f"{pattern}/_SUCCESS")
+        return [f.getPath().getParent().toString() for f in files.globStatus(marker) or []]
 
     def batches(self) -> list[int]:
         """Numbers of the published batches, ascending."""
         return sorted(int(p.rsplit("=", 1)[1]) for p in self._published("batch=*"))
 
-    def snapshot(self) -> tuple[int, int] | None:
-        """Version and bucket count of the newest published snapshot."""
+    def snapshots(self) -> list[tuple[int, int]]:
+        """Versions of the published snapshots with their bucket counts, ascending."""
         names = (re.search(r"buckets=(\d+)/version=(\d+)$", p) for p in self._published("buckets=*/version=*"))
-        return max(((int(n.group(2)), int(n.group(1))) for n in names if n), default=None)
+        return sorted((int(n.group(2)), int(n.group(1))) for n in names if n)
+
+    def snapshot(self) -> tuple[int, int] | None:
+        """The newest published snapshot."""
+        return max(self.snapshots(), default=None)
 
     def version(self) -> int | None:
         newest = self.snapshot()
@@ -122,6 +128,22 @@ class KeyedTable:
         )
         return newest
 
+    def expire(self, keep: int = 2) -> None:
+        """Remove all but the newest snapshots and the changes the oldest kept one has folded.
+
+        Rejected changes stay for inspection. Keep at least two, for readers still on the last.
+        """
+        kept = self.snapshots()[-max(keep, 1) :]
+        for version, buckets in self.snapshots():
+            if (version, buckets) not in kept:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(version, buckets)}")
+                folder, files = self._path(f"buckets={buckets}/version={version}")
+                files.delete(folder, True)
+        for batch in self.batches():
+            if kept and batch <= kept[0][0]:
+                folder, files = self._path(f"batch={batch}/_usable=true")
+                files.delete(folder, True)
+
     # ----------------------------------------------------------------- reading
 
     def _batch_rows(self, batches: list[int], usable: bool) -> DataFrame | None:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidegate.operators.changes import ACTION, Route, project
+from tidegate.operators.changes import ACTION, Route, counters, project
 from tidegate.sources import canal, debezium
 from tidegate.sources.keyed_table import KeyedTable
 
@@ -52,12 +52,10 @@ def batch_writer(
         changes = project(decode(raw, table.route), table.route)
         # counted while the batch is written, not by a second pass
         counts = Observation(f"batch-{batch}")
-        action = F.col(ACTION)
         observed = (changes if skip_bad else _strict(changes)).observe(
             counts,
-            F.count("*").alias("consumed"),
-            *[F.count_if(action == a).alias(a) for a in USABLE],
-            F.count_if(~action.isin(*USABLE)).alias("quarantined"),
+            *counters(ACTION, ("rejected",)),
+            F.count_if(~F.col(ACTION).isin(*USABLE)).alias("quarantined"),
         )
         table.append(batch, observed)
         if on_counts is not None:
