@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import near
+from tidegate.llm import near, repeats
 from tidegate.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,28 @@ WORDS = r"'[^\x20\x09-\x0D]+'"
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near.linked(table(spark, sf_dir, "documents"), size=3, percent=85)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query(
+    "op9_repeats",
+    f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS ws FROM documents),
+    v AS (
+        SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)
+    ), r AS (SELECT doc_id, i FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+    g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+    k AS (
+        SELECT w.doc_id, len(ws) AS n, coalesce(len(gone), 0) AS m,
+            [ws[i] FOR i IN range(1, len(ws) + 1) IF NOT list_contains(coalesce(gone, []), i)] AS kept
+        FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+    )
+    SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed,
+        sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+    FROM k
+    """,
+)
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), width=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -131,3 +131,20 @@ def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[p
         last = [c[-1] for c in columns]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``key``, cut anew so that none of its groups is divided."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(values, values[-1]))
+        if cut:
+            yield batch.slice(0, cut)
+        held = batch.slice(cut)
+    if held is not None:
+        yield held
