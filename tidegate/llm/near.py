@@ -30,7 +30,7 @@ from tidegate.llm.store import saved
 ROWS = 6
 BANDS = 36
 #: Members of a bucket in one block; two blocks are compared at a time.
-BLOCK = 256
+BLOCK = 512
 _rng = np.random.default_rng(20240607)
 FACTOR = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 SHIFT = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
