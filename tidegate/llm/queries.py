@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, near, packing, repeats, sharding, topk, urls
+from tidegate.llm import decontaminate, language, near, packing, repeats, sharding, topk, urls
 from tidegate.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,11 @@ RULES = (
 @query("op1_urls")
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.trained(docs.filter(language.fold(4) != 2))
+    found = language.identified(docs, model, ["doc_id"])
+    return found.select("doc_id", (language.fold(4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
