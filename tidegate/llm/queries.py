@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, language, near, packing, repeats, sharding, topk, urls
+from tidegate.llm import decontaminate, hmm, language, near, packing, repeats, sharding, topk, urls
 from tidegate.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.trained(docs.filter(language.fold(4) != 2))
     found = language.identified(docs, model, ["doc_id"])
     return found.select("doc_id", (language.fold(4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
+@query("op5_hmm")
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(table(spark, sf_dir, "documents"), language.fold(5) == 1)
