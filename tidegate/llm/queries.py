@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, hmm, language, near, packing, repeats, sharding, topk, urls
+from tidegate.llm import decontaminate, hmm, language, near, packing, pii, repeats, sharding, topk, urls
 from tidegate.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_hmm")
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scored(table(spark, sf_dir, "documents"), language.fold(5) == 1)
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.reported(table(spark, sf_dir, "documents"))
