@@ -5,7 +5,7 @@ smallest hash, so equal windows have equal minimisers. Consecutive windows that
 as one packed string to the bucket of that minimiser, where sorting counts windows.
 
 First only minimisers are counted. A window whose minimiser stands nowhere else has no second occurrence, and
-strings of such windows stay at home. They are told by a bit map of fixed size (2**25 bits): where it fills up, more
+strings of such windows stay at home. They are told by a bit map of at most 2**27 bits: where it fills up, more
 strings travel, and the result is the same. Equal strings are combined before the shuffle, so a passage of
 thousands of documents is one string with a count. A bucket of more than ``CROWD`` different strings (a line common
 in different surroundings) is dealt out by single windows instead.
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from tidegate.llm import text as tx
 from tidegate.llm.store import saved
 
-SEED = 8
-SLOTS = 25
+SEED = 16
+#: Bits of a slot number in the bit map, at least and at most.
+SLOTS = 20, 27
 CROWD = 2000
 
 
@@ -75,8 +76,16 @@ class Split:
         return out.tobytes(), starts, ends
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> tx.U(64 - SLOTS)).astype(np.int64)
+class BitMap:
+    """Which slots (the first bits) of 64-bit hashes are taken."""
+
+    def __init__(self, slots: int):
+        self.slots = slots
+        self.words = np.zeros(1 << (slots - 5), np.uint32)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> tx.U(64 - self.slots)
+        return (self.words[slot >> tx.U(5)] >> (slot & tx.U(31)).astype(np.uint32)) & 1 == 1
 
 
 def _minimisers(width: int):
@@ -97,11 +106,10 @@ STRINGS = "minimiser long, words binary, id long, text_hash long, first int, cou
 
 def _strings(width: int, repeated):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(repeated.value, np.uint8), bitorder="little").view(bool)
         for piece in tx.pieces(batches, "text"):
             data, offsets = tx.bytes_of(piece.column("text"))
             split = Split(data, offsets, width)
-            keep = np.flatnonzero(bits[_slots(split.minimiser)])
+            keep = np.flatnonzero(repeated.value.has(split.minimiser))
             if not len(keep):
                 continue
             buffer, starts, ends = split.packed()
@@ -213,18 +221,18 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bit_map(minimisers: DataFrame) -> bytes:
-    """The slots of the repeated minimisers, as bits; its size is fixed."""
+def _bit_map(repeated: DataFrame) -> BitMap:
+    """The slots of the repeated minimisers; sixteen slots for each of them, within the bounds."""
+    least, most = SLOTS
+    out = BitMap(min(max((16 * repeated.count()).bit_length(), least), most))
     words = (
-        minimisers.filter("n > 1")
-        .select(F.shiftrightunsigned("minimiser", 64 - SLOTS).alias("slot"))
+        repeated.select(F.shiftrightunsigned("minimiser", 64 - out.slots).alias("slot"))
         .groupBy(F.shiftright("slot", 5).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, int(slot % 32)))").alias("bits"))
         .toArrow()
     )
-    out = np.zeros(1 << (SLOTS - 5), np.uint32)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-    return out.tobytes()
+    out.words[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
 
 
 def _identity() -> Column:
@@ -235,7 +243,8 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """Per document ``doc_id, n_words, n_removed, kept``: its words (UTF-8, one blank between them) that no repeated window covers."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _identity(), "text")
     minimisers = texts.mapInArrow(_minimisers(width), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    repeated = docs.sparkSession.sparkContext.broadcast(_bit_map(minimisers))
+    repeated = saved(minimisers.filter("n > 1").select("minimiser"), "repeated")
+    repeated = docs.sparkSession.sparkContext.broadcast(_bit_map(repeated))
     strings = saved(texts.mapInArrow(_strings(width, repeated), STRINGS), "strings")
     different = strings.groupBy("minimiser", "words").agg(F.count("*").alias("n"))
     different = saved(different, "different")

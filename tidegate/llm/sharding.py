@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidegate.llm.store import saved
 
-RANGE = 20_000
+RANGE = 2_000
 
 
 def _before(counts: DataFrame, keys: list[str], part: str) -> DataFrame:
