@@ -19,7 +19,7 @@ REQUESTS = "WITH " + i.REQUESTS_SQL + """,
 kept AS (SELECT * FROM req WHERE path LIKE '/api/%' OR path LIKE '/admin/%'
   OR NOT (path LIKE '/static/%' OR path LIKE '/favicon.ico%' OR path LIKE '%.js' OR path LIKE '%.css'
           OR path LIKE '%.png' OR path LIKE '%.ico')),
-win AS (SELECT * FROM kept WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 90 DAY)
+win AS (SELECT * FROM kept WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 365 DAY)
 """
 
 
@@ -28,7 +28,7 @@ def recorded(spark, sf):
 
 
 def recent_days(spark, sf):
-    """The longest window there is; days above it are pulled in."""
+    """A year."""
     return rq.window(recorded(spark, sf), NOW, 365)
 
 
@@ -40,7 +40,7 @@ def ingest_filter(spark, sf):
 @query("ops_window", REQUESTS + """
 SELECT event_id, path FROM kept WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY""")
 def window(spark, sf):
-    return rq.window(recorded(spark, sf), NOW, "not a number").select("event_id", "path")
+    return rq.window(recorded(spark, sf), NOW).select("event_id", "path")
 
 
 @query("ops_totals", REQUESTS + """
@@ -130,15 +130,15 @@ def load_gated(spark, sf):
     return result.differences.groupBy("change").agg(F.count("*").alias("n"))
 
 
-DAY = "2024-01-10"
+DAY, EMPTY_DAY = "2024-01-10", "2024-01-11"
 
 
 @query("ods_partition_reload", "WITH " + i.EVENTS_SQL + f"""
 SELECT strftime(ts, '%Y-%m-%d') AS dt, count(*) AS n,
   CAST(sum(CAST(amount AS DECIMAL(10,2)) * CASE WHEN strftime(ts, '%Y-%m-%d') = '{DAY}' THEN 2 ELSE 1 END) AS VARCHAR) AS amount
-FROM ev GROUP BY 1""")
+FROM ev WHERE strftime(ts, '%Y-%m-%d') <> '{EMPTY_DAY}' GROUP BY 1""")
 def partition_reload(spark, sf):
-    """All days loaded, then one day again with doubled amounts; the other days stay."""
+    """All days loaded, then one day again with doubled amounts and one with no rows; the other days stay."""
     path = scratch_path(spark, "ods")
     amount = F.col("amount").cast("decimal(10,2)")
     days = i.events(spark, sf).select(
@@ -150,6 +150,7 @@ def partition_reload(spark, sf):
     staged = scratch_path(spark, "ods-day")
     tables.load(again, staged)
     tables.load_day(spark.read.parquet(staged), path, DAY)
+    tables.load_day(spark.read.parquet(staged).limit(0), path, EMPTY_DAY)
     return tables.read_days(spark, path).groupBy("dt").agg(
         F.count("*").alias("n"), F.sum("amount").cast("string").alias("amount")
     )
@@ -182,12 +183,20 @@ def order_detail(spark, sf):
     return tables.transform(spark, DETAIL, "1998-06-15", orders=dated, customer=i.table(spark, sf, "customer"))
 
 
+MONTHS = """
+SELECT date_format(o.o_orderdate, 'yyyy-MM') AS month, c.c_mktsegment AS segment, count(*) AS orders,
+       CAST(sum(o.o_totalprice) AS STRING) AS amount
+FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey
+WHERE o.o_orderdate >= CAST(:dt AS DATE)
+GROUP BY 1, 2
+"""
+
+
 @query("dwd_order_detail_all_days", """
 SELECT strftime(o_orderdate, '%Y-%m') AS month, c_mktsegment AS segment, count(*) AS orders,
   CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS VARCHAR) AS amount
 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL""")
 def order_detail_all(spark, sf):
-    joined = i.orders(spark, sf).join(i.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy(
-        F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("c_mktsegment").alias("segment")
-    ).agg(F.count("*").alias("orders"), F.sum("o_totalprice").cast("string").alias("amount"))
+    return tables.transform(
+        spark, MONTHS, "1900-01-01", orders=i.orders(spark, sf), customer=i.table(spark, sf, "customer")
+    )

@@ -159,7 +159,7 @@ def test_unpublished_work_is_not_read(spark, tmp_path):
     assert table.batches() == [0] and table.version() is None
     assert rows(table.read()) == [(1, "x", 1), (2, "y", 2)]
     table.append(1, project(ENTRIES[2:4], 2))
-    assert table.compact() == 1
+    assert table.compact() == 0
     assert rows(table.read()) == [(1, "x", 7)]
 
 
@@ -203,7 +203,7 @@ def test_day_job_is_repeatable_and_counts(spark, tmp_path):
     bronze.append(debezium.decode(log(spark, entries)), f"{tmp_path}/bronze")
     run = lambda day, **k: apply_day.run(spark, f"{tmp_path}/bronze", [ROUTE], f"{tmp_path}/out", day, **k)
     counted = run("2026-09-01", dry_run=True)["t"]
-    assert (counted["consumed"], counted["upsert"], counted["delete"]) == (2, 1, 1)
+    assert (counted["consumed"], counted["out_of_window"], counted["upsert"], counted["delete"]) == (3, 1, 1, 1)
     table = KeyedTable(spark, f"{tmp_path}/out/t", ROUTE)
     assert table.batches() == []
     for _ in range(2):
@@ -218,3 +218,59 @@ def test_a_hot_key_is_combined_before_the_shuffle(spark):
     changes = ch.project(decode(log(spark, ENTRIES), ROUTE), ROUTE)
     plan = ch.fold(changes, ["id"], ROUTE.values)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_max_by") > plan.index("Exchange hashpartitioning")
+
+
+def changes_of(spark, entries, start=0):
+    return ch.project(decode(log(spark, entries, start), ROUTE), ROUTE)
+
+
+def test_batches_below_the_snapshot_take_effect(spark, tmp_path):
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE)
+    table.append(20240110, changes_of(spark, ENTRIES[:1]))
+    table.compact()
+    table.append(20240110, changes_of(spark, ENTRIES[:2]))  # the day again, with a late row
+    assert rows(table.read()) == [(1, "x", 1), (2, "y", 2)]
+    table.compact()
+    table.append(20240109, changes_of(spark, ENTRIES[2:4], 2))  # a day before it
+    for _ in range(3):
+        expected = final(spark, ENTRIES[:4])
+        assert rows(table.read()) == expected
+        table.compact()
+        table.expire(keep=1)
+    assert rows(table.read()) == expected
+
+
+def test_folders_stay_bounded(spark, tmp_path):
+    import os
+
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, buckets=2)
+    for batch in range(8):
+        table.append(batch, changes_of(spark, [ENTRIES[batch % len(ENTRIES)]], batch))
+        table.compact()
+    folders = [n for n in os.listdir(tmp_path / "t") if n.startswith("batch=")]
+    assert len(folders) == 1 and len(table.snapshots()) == 2 and len(os.listdir(tmp_path / "t/epochs")) <= 4
+
+
+@pytest.mark.parametrize("compact", [False, True])
+def test_a_truncate_outlives_compaction(spark, tmp_path, compact):
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE)
+    entries = [(message("c", {"id": 1, "a": "x", "b": 1}), 1), (message("t"), 5), (message("c", {"id": 2, "a": "y", "b": 2}), 9)]
+    late = log(spark, [(message("c", {"id": 3, "a": "late", "b": 3}), 2)]).withColumn("partition", F.lit(1))
+    table.append(0, changes_of(spark, entries))
+    if compact:
+        table.compact()
+    table.append(1, ch.project(decode(late, ROUTE), ROUTE))  # from before the truncate, of another partition
+    if compact:
+        table.compact()
+    assert [r[0] for r in rows(table.read())] == [2]
+
+
+def test_a_day_of_another_zone_is_whole(spark, tmp_path):
+    noon = 1788192000000 + 12 * 3_600_000
+    entries = [
+        (message("c", {"id": 1, "a": "x", "b": 1}, ts_ms=noon), 1),
+        (message("c", {"id": 2, "a": "y", "b": 2}, ts_ms=noon + 10 * 3_600_000), 2),  # the next day in Shanghai
+    ]
+    bronze.append(debezium.decode(log(spark, entries)), f"{tmp_path}/bronze")
+    counted = apply_day.run(spark, f"{tmp_path}/bronze", [ROUTE], f"{tmp_path}/out", "2026-09-01", zone="UTC")
+    assert counted["t"]["upsert"] == 2

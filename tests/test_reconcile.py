@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate.operators import reconcile as rc
+from tidegate.operators.catalog import COLUMNS_DDL
 from tidegate.operators.reconcile import Pair
 from tidegate.plans import reconcile_run
 from tidegate.plans.reconcile_run import Task
@@ -70,12 +71,11 @@ def test_key_diff_with_one_hot_key(spark):
     assert fewer.count() == 2999
 
 
-def test_snapshot_above_the_limit_compares_counts(spark):
+def test_snapshot_finds_different_keys_of_equal_number(spark):
     other = frame(spark).withColumn("id", F.col("id") + 1000)
-    row = rc.pk_snapshot([Pair("t", frame(spark), other)], ["id"], limit=10).first()
-    assert (row.status, row.sampled, row.source_hash) == ("ok", True, None)
-    plan = rc.pk_snapshot([Pair("t", frame(spark), other)], ["id"], 10)._jdf.queryExecution().optimizedPlan().toString()
-    assert "scalar-subquery" in plan
+    found = rc.pk_snapshot([Pair("t", frame(spark), other), Pair("u", other, other.orderBy(F.desc("id")))], ["id"])
+    assert {r.table: r.status for r in found.collect()} == {"t": "mismatch", "u": "ok"}
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_profiles_treat_zeroes_and_nothing_alike(spark):
@@ -97,7 +97,7 @@ def opener(**tables):
 
 def test_task_validation():
     for task in (
-        Task("a", "row_count", ()), Task("a", "pk_snapshot", ("t",)), Task("a", "metric", ("t",)),
+        Task("a", "pk_snapshot", ("t",)), Task("a", "metric", ("t",)),
         Task("a", "unknown", ("t",)),
     ):
         with pytest.raises(ValueError):
@@ -130,3 +130,21 @@ def test_skipped_and_metric(spark):
     assert none.status == "ok"
     with pytest.raises(ValueError):
         rc.metric([Pair("t; drop", frame(spark), frame(spark))], sql)
+
+
+def test_a_task_without_tables_takes_the_catalog(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reconcile_run, "GROUP", 1)
+    names = spark.createDataFrame([("a",), ("a",), ("b",)], "table_name string")
+    source, target = opener(a=frame(spark), b=frame(spark), columns=names), opener(a=frame(spark))
+    run = reconcile_run.record(spark, Task("all", "row_count"), source, target, str(tmp_path))
+    assert (run["total"], run["ok"], run["totals"]["missing"]) == (2, 1, 1)
+
+
+def test_metadata_keeps_absent_tables(spark):
+    rows_ = [("d", "s", "t", n, i + 1, "int", "int(11)", None, True, None, 10, 0, "") for i, n in enumerate("ab")]
+    columns = spark.createDataFrame(rows_, COLUMNS_DDL)
+    task = Task("m", "metadata", ("t", "nowhere"))
+    found = reconcile_run.details(spark, task, opener(columns=columns), opener(columns=columns.limit(0)))
+    assert {r.table: r.status for r in found.collect()} == {"t": "target_missing", "nowhere": "source_error"}
+    found = reconcile_run.details(spark, task, opener(), opener(columns=columns))
+    assert {r.status for r in found.collect()} == {"source_error"}

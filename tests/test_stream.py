@@ -4,7 +4,7 @@ from test_changes import ENTRIES, ROUTE, final, log, message, rows
 
 from tidegate.operators.catalog import COLUMNS_DDL
 from tidegate.plans import apply_day, repair
-from tidegate.sources import bronze
+from tidegate.sources import bronze, debezium
 from tidegate.sources.keyed_table import KeyedTable
 from tidegate.streaming import apply, drift
 
@@ -43,6 +43,19 @@ def test_an_unreadable_message_stops_the_stream_and_publishes_nothing(spark, tmp
     assert table.batches() == [0] and table.quarantine().count() == 1
 
 
+def test_a_stream_reads_what_bronze_keeps(spark, tmp_path):
+    bronze.append(debezium.decode(log(spark, ENTRIES)), f"{tmp_path}/log")
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE)
+    run(spark, tmp_path, table, skip_bad=True, compact_every=2)
+    assert rows(table.read()) == final(spark, ENTRIES)
+    late = bronze.table_stream(spark, f"{tmp_path}/log", startup="latest")
+    other = KeyedTable(spark, f"{tmp_path}/u", ROUTE)
+    apply.start(late, other, f"{tmp_path}/checkpoint2", drain=True).awaitTermination()
+    assert rows(other.read()) == []
+    with pytest.raises(ValueError):
+        bronze.table_stream(spark, f"{tmp_path}/log", startup="timestamp")
+
+
 def columns(spark, *names):
     rows_ = [("d", "s", "t", n, i + 1, "int", "int(11)", None, True, None, 10, 0, "") for i, n in enumerate(names)]
     return spark.createDataFrame(rows_, COLUMNS_DDL)

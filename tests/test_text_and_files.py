@@ -76,7 +76,10 @@ def test_requests(spark):
     # 16:00 UTC is the next day in Shanghai
     assert sorted((str(r.day), r["count"]) for r in rq.by_day(kept).collect()) == [("2024-05-01", 1), ("2024-05-02", 2)]
     now = dt.datetime(2024, 5, 2, 16)
-    assert rq.window(kept, now, 0).count() == 2 and rq.window(kept, now, 1000).count() == 3
+    assert rq.window(kept, now, 1).count() == 2 and rq.window(kept, now, 1000).count() == 3
+    for wrong in (0, "x"):
+        with pytest.raises(ValueError):
+            rq.window(kept, now, wrong)
 
 
 def test_top_paths_break_ties_by_name(spark):
@@ -96,6 +99,9 @@ def test_day_partitions(spark, tmp_path):
     spark.sql("MSCK REPAIR TABLE ods_days")
     assert tables.drop_old_days(spark, "ods_days", "2024-01-09") == ["2024-01-01"]
     assert spark.table("ods_days").count() == 101
+    assert tables.read_days(spark, path).count() == 101  # the files are gone as well
+    tables.load_day(spark.createDataFrame([], "id bigint"), path, "2024-01-03")
+    assert tables.read_days(spark, path).count() == 1
     spark.sql("DROP TABLE ods_days")
 
 

@@ -36,7 +36,7 @@ CONSTRAINTS_DDL = (
 )
 
 # Page size limits of the dictionary.
-PAGE_DEFAULT, PAGE_MAX = 300, 2000
+PAGE_DEFAULT = 300
 
 
 def ordered_names(position: Column, name: Column) -> Column:
@@ -253,15 +253,14 @@ PAGE_ORDER = ("database", "schema_name", "table_name", "ordinal_position", "name
 def page(
     found: DataFrame, limit: int | str = PAGE_DEFAULT, offset: int | str = 0, after: Sequence | None = None
 ) -> DataFrame:
-    """One page in catalog order; limits out of range are pulled in, unreadable ones default.
+    """One page in catalog order, of any size.
 
     Deep pages are cheaper with ``after``, the order values of the last row seen: the filter
     replaces the offset.
     """
-    try:
-        limit, offset = max(1, min(int(limit), PAGE_MAX)), max(0, int(offset))
-    except (TypeError, ValueError):
-        limit, offset = PAGE_DEFAULT, 0
+    limit, offset = int(limit), int(offset)
+    if limit < 1 or offset < 0:
+        raise ValueError(f"no such page: limit {limit}, offset {offset}")
     if after is not None:
         found = found.where(F.struct(*PAGE_ORDER) > F.struct(*[F.lit(v) for v in after]))
     return found.orderBy(*PAGE_ORDER).offset(offset).limit(limit)

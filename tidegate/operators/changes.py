@@ -17,6 +17,7 @@ from tidegate.functions.values import DEFAULT_ZONE, computed_once, is_unsigned_n
 ORDER = "_order"
 ACTION = "_action"
 ORDER_TYPE = "struct<lsn:bigint,offset:bigint,position:int,event_ms:bigint,partition:int>"
+EPOCH_TYPE = "struct<lsn:bigint,event_ms:bigint,partition:int,offset:bigint>"
 
 
 @dataclass(frozen=True)

@@ -25,8 +25,7 @@ from tidegate.functions.values import (
 )
 from tidegate.operators import schema as structure
 
-# Row limit of a key snapshot and the status names.
-SNAPSHOT_LIMIT = 200_000
+# The status names.
 OK, MISMATCH, SKIPPED, ERROR = "ok", "mismatch", "skipped", "error"
 TARGET_MISSING, SOURCE_ERROR = "target_missing", "source_error"
 
@@ -88,47 +87,29 @@ def row_count(pairs: Sequence[Pair]) -> DataFrame:
     )
 
 
-def _snapshot(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Count and md5 of all keys in key order; the hash is NULL above ``limit`` rows.
-
-    The row count is a scalar subquery, so above the limit no key is collected at all and
-    below it the list is bounded.
-    """
-    columns = df.select(*keys)
-    total = columns.agg(F.count("*")).scalar()
-    text = F.concat(row_text(list(keys)), F.lit(ROW_SEPARATOR))
-    kept = columns.where(total <= limit).select(F.struct(*keys, text.alias("_text")).alias("row"))
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list("row")), lambda r: r["_text"]), ""
-    )
-    return kept.agg(F.md5(joined).alias("_md5"), F.count("*").alias("_kept")).select(
-        total.alias("count"),
-        F.when(total <= limit, F.col("_md5")).alias("hash"),
-    )
+def _snapshot(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count of the keys and two independent sums of their hashes, as text: no list, at any size."""
+    text = row_text(list(keys))
+    sums = [F.coalesce(F.sum(portable_hash(t)), F.lit(0)).cast("string") for t in (text, F.concat(text, F.lit(ROW_SEPARATOR)))]
+    return df.agg(F.count("*").alias("count"), F.concat_ws(":", *sums).alias("hash"))
 
 
-def pk_snapshot(
-    pairs: Sequence[Pair], keys: Sequence[str], limit: int = SNAPSHOT_LIMIT
-) -> DataFrame:
-    """Ordered digest of the primary keys; above the limit only the counts decide."""
+def pk_snapshot(pairs: Sequence[Pair], keys: Sequence[str]) -> DataFrame:
+    """Whether both sides hold the same primary keys, compared by count and hash sums of all of them."""
     if not keys:
         raise ValueError("a key snapshot needs primary key columns")
     snapshots = [
-        _snapshot(df, keys, limit).select(F.lit(p.table).alias("table"), F.lit(side).alias("side"), "count", "hash")
+        _snapshot(df, keys).select(F.lit(p.table).alias("table"), F.lit(side).alias("side"), "count", "hash")
         for p in pairs
         for side, df in _sides(p)
     ]
-    sampled = F.col("source_count") > limit
-    same = (F.col("source_count") == F.col("target_count")) & (
-        sampled | (F.col("source_hash") == F.col("target_hash"))
-    )
+    same = (F.col("source_count") == F.col("target_count")) & (F.col("source_hash") == F.col("target_hash"))
     return _paired(snapshots, "count", "hash").select(
         "table",
         "source_count",
         "target_count",
         "source_hash",
         "target_hash",
-        sampled.alias("sampled"),
         _status(same, F.col("source_count").isNotNull(), F.col("target_count").isNotNull()).alias("status"),
     )
 

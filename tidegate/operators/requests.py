@@ -13,7 +13,7 @@ from tidegate.functions.values import DEFAULT_ZONE, local_date
 KEPT_PREFIXES = ["/api/", "/admin/"]
 STATIC_PREFIXES = ["/static/", "/favicon.ico"]
 STATIC_SUFFIXES = [".js", ".css", ".png", ".ico"]
-DAYS_DEFAULT, DAYS_MAX = 7, 90
+DAYS_DEFAULT = 7
 ERROR_STATUS = 400
 TOP_PATHS, RECENT = 12, 30
 
@@ -38,11 +38,10 @@ def ingest(requests: DataFrame) -> DataFrame:
 
 
 def window(requests: DataFrame, now: dt.datetime, days: int | str = DAYS_DEFAULT) -> DataFrame:
-    """Requests of the last ``days`` days, 1 to 90."""
-    try:
-        days = max(1, min(int(days), DAYS_MAX))
-    except (TypeError, ValueError):
-        days = DAYS_DEFAULT
+    """Requests of the last ``days`` days, any positive number of them."""
+    days = int(days)
+    if days < 1:
+        raise ValueError(f"not a positive number of days: {days}")
     return requests.where(F.col("created_at") >= F.lit(now - dt.timedelta(days=days)))
 
 

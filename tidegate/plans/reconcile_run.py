@@ -6,7 +6,7 @@ import datetime as dt
 import time
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +16,17 @@ from tidegate.operators import reconcile as rc
 from tidegate.operators.reconcile import Pair
 
 Opener = Callable[[str], DataFrame]
+# Tables in one plan of a recorded run: planning time grows faster than their number.
+GROUP = 40
 
 
 @dataclass(frozen=True)
 class Task:
-    """What to compare: a check, its tables and the columns, keys or SQL the check needs."""
+    """What to compare: a check, its tables (none: the source's whole catalog) and what the check needs."""
 
     name: str
     kind: str
-    tables: tuple[str, ...]
+    tables: tuple[str, ...] = ()
     columns: tuple[str, ...] = ()
     keys: tuple[str, ...] = ()
     metric_sql: str = ""
@@ -45,8 +47,6 @@ CHECKS: dict[str, Callable[[Task, Sequence[Pair]], DataFrame]] = {
 
 
 def validate(task: Task) -> None:
-    if not task.tables:
-        raise ValueError("a task needs tables")
     if task.kind not in (*CHECKS, "metadata"):
         raise ValueError(f"unknown check: {task.kind}")
     if task.kind in ("pk_snapshot", "pk_digest") and not task.keys:
@@ -71,13 +71,34 @@ def open_pairs(task: Task, source: Opener, target: Opener) -> list[Pair]:
     return pairs
 
 
+def resolved(task: Task, source: Opener) -> Task:
+    """The task with its tables: those it names, or all that the source's column catalog lists."""
+    if task.tables:
+        return task
+    listed = source("columns").select("table_name").distinct().orderBy("table_name").collect()
+    return replace(task, tables=tuple(r[0] for r in listed))
+
+
+def _metadata(spark: SparkSession, task: Task, source: Opener, target: Opener) -> DataFrame:
+    """Structure findings of the task's tables; a table that neither catalog lists is a source error."""
+    wanted = spark.createDataFrame([(t,) for t in task.tables], "table_name string")
+    (left, left_error), (right, right_error) = _open(source, "columns"), _open(target, "columns")
+    if left is None or right is None:
+        return wanted.select(
+            F.col("table_name").alias("table"),
+            F.lit(rc.SOURCE_ERROR if left is None else rc.TARGET_MISSING).alias("status"),
+            F.lit(left_error or right_error).alias("message"),
+        )
+    found = wanted.join(rc.metadata(left, right, **task.options), "table_name", "left")
+    return found.withColumn("status", F.coalesce("status", F.lit(rc.SOURCE_ERROR))).withColumnRenamed("table_name", "table")
+
+
 def details(spark: SparkSession, task: Task, source: Opener, target: Opener) -> DataFrame:
     """One row per finding of the task's check, missing tables included."""
     validate(task)
+    task = resolved(task, source)
     if task.kind == "metadata":
-        return rc.metadata(source("columns"), target("columns"), **task.options).where(
-            F.col("table_name").isin(list(task.tables))
-        ).withColumnRenamed("table_name", "table")
+        return _metadata(spark, task, source, target)
     if task.kind == "field_value" and not task.columns:
         return _skipped(spark, task)
     pairs = open_pairs(task, source, target)
@@ -108,11 +129,16 @@ def record(
     )
     status, error, totals = "success", None, None
     try:
-        rows = stamp(details(spark, task, source, target))
         if history:
             folder = f"{history}/details/task_type={task.kind}/run={run_id}"
-            rows.drop("task_type").write.mode("overwrite").parquet(folder)
-            rows = spark.read.parquet(folder)
+            every = resolved(task, source)
+            for at in range(0, max(len(every.tables), 1), GROUP):
+                part = replace(every, tables=every.tables[at : at + GROUP])
+                if part.tables:
+                    stamp(details(spark, part, source, target)).drop("task_type").write.mode("append").parquet(folder)
+            rows = spark.read.option("mergeSchema", "true").parquet(folder)
+        else:
+            rows = stamp(details(spark, task, source, target))
         totals = rc.summary(rows).first().asDict()
     except ValueError:
         raise

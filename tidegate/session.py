@@ -47,9 +47,15 @@ def local_session(cpus: int | str = "*", app: str = "tidegate", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a test folder where unset."""
+    """The folder all executors see, ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process gets a folder of its own; a cluster has to name one, as executors
+    would each write to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidegate-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

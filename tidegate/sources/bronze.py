@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,9 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 
+# as it is stored: topic and event date are folders
+TABLE_SCHEMA = T.StructType([*RAW_SCHEMA.fields, T.StructField("event_date", T.StringType())])
+
 STARTUP_MODES = ("earliest", "latest", "timestamp")
 
 
@@ -69,12 +75,25 @@ def kafka_batch(spark: SparkSession, servers: str, topics: list[str]) -> DataFra
     return text_columns(spark.read.format("kafka").options(**options).load())
 
 
-def table_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The bronze folder as a stream, for replays and where no broker is at hand."""
-    reader = spark.readStream.schema(RAW_SCHEMA)
+def table_stream(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None, startup: str = "earliest",
+    timestamp_ms: int | None = None,
+) -> DataFrame:
+    """The bronze folder as a stream, for replays and where no broker is at hand.
+
+    ``startup`` is as for Kafka: from the first record, from a dated one, or only what is recorded from now on.
+    """
+    if startup not in STARTUP_MODES:
+        raise ValueError(f"unknown startup mode: {startup}")
+    if startup == "timestamp" and timestamp_ms is None:
+        raise ValueError("startup 'timestamp' needs timestamp_ms")
+    reader = spark.readStream.schema(TABLE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.option("recursiveFileLookup", "true").parquet(path)
+    rows = reader.parquet(path).select(*RAW_SCHEMA.fieldNames())
+    if startup == "latest":
+        timestamp_ms = int(time.time() * 1000)
+    return rows if startup == "earliest" else since(rows, timestamp_ms)
 
 
 def with_event_date(decoded: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
@@ -85,14 +104,23 @@ def with_event_date(decoded: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
 
 
 def append(decoded: DataFrame, path: str, zone: str = DEFAULT_ZONE) -> None:
-    """Keep every raw record, also those outside any day, under its topic and event date."""
+    """Keep every raw record, also those outside any day, under its topic and event date.
+
+    Rows are gathered by folder before the write; a folder with very many rows is split over several tasks.
+    """
     raw = with_event_date(decoded, zone).select(*RAW_SCHEMA.fieldNames(), "event_date")
-    raw.write.mode("append").partitionBy("topic", "event_date").parquet(path)
+    raw.hint("rebalance", F.col("topic"), F.col("event_date")).write.mode("append").partitionBy("topic", "event_date").parquet(path)
 
 
 def read_day(spark: SparkSession, path: str, day: str, topics: list[str] | None = None) -> DataFrame:
-    """Raw records of one local event date; only its folders are read."""
-    table = spark.read.parquet(path).where(F.col("event_date") == day)
+    """Raw records that may belong to a day in any zone.
+
+    Folders are dated in the zone of ``append``, which may be another one: those of the neighbouring days and of
+    unknown dates are read as well, and the caller's window decides.
+    """
+    date = dt.date.fromisoformat(day)
+    days = [(date + dt.timedelta(days=n)).isoformat() for n in (-1, 0, 1)]
+    table = spark.read.schema(TABLE_SCHEMA).parquet(path).where(F.col("event_date").isin(*days, "unknown"))
     if topics:
         table = table.where(F.col("topic").isin(topics))
     return table.select(*RAW_SCHEMA.fieldNames())

@@ -5,19 +5,26 @@ own, which makes a repeated batch harmless; ``compact`` folds them into a new sn
 with one full outer join. The snapshot is bucketed by key, so the join shuffles the changes
 only. Spark's ``_SUCCESS`` marker, written last, publishes a batch or a version; files of a
 run that died are never read and are overwritten by its repeat. One writer per table.
+
+A published batch is news until a snapshot holds it, whatever its number: repeats of a day,
+backfills and replays take effect. After a fold its batches get a ``_folded`` marker, which
+writing the batch again removes; the next fold deletes them, so readers of the last snapshot
+are not disturbed and the number of folders stays bounded. Folding a change twice is harmless,
+as the rows keep their order. The order of the last truncate is kept with the snapshot.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.operators import changes as ch
-from tidegate.operators.changes import ACTION, ORDER, ORDER_TYPE, Route
+from tidegate.operators.changes import ACTION, EPOCH_TYPE, ORDER, ORDER_TYPE, Route
 
 
 class KeyedTable:
@@ -44,9 +51,13 @@ class KeyedTable:
         marker, files = self._path(f"{pattern}/_SUCCESS")
         return [f.getPath().getParent().toString() for f in files.globStatus(marker) or []]
 
+    def _marked(self, marker: str) -> set[int]:
+        pattern, files = self._path(f"batch=*/{marker}")
+        return {int(f.getPath().getParent().getName().rsplit("=", 1)[1]) for f in files.globStatus(pattern) or []}
+
     def batches(self) -> list[int]:
-        """Numbers of the published batches, ascending."""
-        return sorted(int(p.rsplit("=", 1)[1]) for p in self._published("batch=*"))
+        """Numbers of the published batches that no snapshot holds yet, ascending."""
+        return sorted(self._marked("_SUCCESS") - self._marked("_folded"))
 
     def snapshots(self) -> list[tuple[int, int]]:
         """Versions of the published snapshots with their bucket counts, ascending."""
@@ -111,12 +122,27 @@ class KeyedTable:
             .parquet(f"{self.path}/batch={batch}")
         )
 
-    def compact(self) -> int | None:
-        """Fold all published batches into a new snapshot version and return it."""
+    def _remove_folded(self) -> None:
+        """Delete the changes that the newest snapshot holds; the rejected ones go to the quarantine."""
+        for batch in self._marked("_folded"):
+            folder, files = self._path(f"batch={batch}")
+            rejected, _ = self._path(f"batch={batch}/_usable=false")
+            if files.exists(rejected):
+                kept, _ = self._path(f"quarantine/batch={batch}")
+                files.mkdirs(kept)
+                for status in files.listStatus(rejected):
+                    files.rename(status.getPath(), kept)
+            files.delete(folder, True)
+
+    def compact(self, keep: int = 2) -> int | None:
+        """Fold all batches that are news into a new snapshot version and return it; old ones expire."""
+        self._remove_folded()
         batches, version = self.batches(), self.version()
-        if not batches or (version is not None and batches[-1] <= version):
+        if not batches:
             return version
-        newest = batches[-1]
+        newest = 0 if version is None else version + 1
+        epoch = self._epoch()
+        self._write_epoch(newest, self.spark.range(1).select(epoch.alias("e")).first()["e"])
         (
             self.state()
             .write.mode("overwrite")
@@ -126,22 +152,36 @@ class KeyedTable:
             .option("path", self._folder(newest, self.buckets))
             .saveAsTable(self._table(newest, self.buckets))
         )
+        for batch in batches:
+            marker, files = self._path(f"batch={batch}/_folded")
+            files.create(marker, True).close()
+        self.expire(keep)
         return newest
 
-    def expire(self, keep: int = 2) -> None:
-        """Remove all but the newest snapshots and the changes the oldest kept one has folded.
+    def _write_epoch(self, version: int, epoch) -> None:
+        path, files = self._path(f"epochs/{version}")
+        out = files.create(path, True)
+        out.write(bytearray(json.dumps(None if epoch is None else epoch.asDict()).encode()))
+        out.close()
+
+    def _epoch(self) -> Column:
+        """Order of the last truncate, of those that the snapshot has folded and of the news."""
+        folded, newest, news = F.lit(None).cast(EPOCH_TYPE), self.version(), self.changes()
+        if newest is not None:
+            path, _ = self._path(f"epochs/{newest}")
+            text = self.spark.read.text(path.toString(), wholetext=True).first()[0]
+            folded = F.from_json(F.lit(text), EPOCH_TYPE)
+        return folded if news is None else F.greatest(folded, ch.truncate_epoch(news))
 
-        Rejected changes stay for inspection. Keep at least two, for readers still on the last.
-        """
+    def expire(self, keep: int = 2) -> None:
+        """Remove all but the newest snapshots; keep at least two, for readers still on the last."""
         kept = self.snapshots()[-max(keep, 1) :]
         for version, buckets in self.snapshots():
             if (version, buckets) not in kept:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._table(version, buckets)}")
                 folder, files = self._path(f"buckets={buckets}/version={version}")
                 files.delete(folder, True)
-        for batch in self.batches():
-            if kept and batch <= kept[0][0]:
-                folder, files = self._path(f"batch={batch}/_usable=true")
+                folder, files = self._path(f"epochs/{version}")
                 files.delete(folder, True)
 
     # ----------------------------------------------------------------- reading
@@ -153,22 +193,29 @@ class KeyedTable:
         rows = self.spark.read.schema(self.batch_schema).option("basePath", self.path).parquet(*folders)
         return rows.where(F.col("_usable") == str(usable).lower())
 
-    def changes(self, after: int | None = None) -> DataFrame | None:
-        return self._batch_rows([b for b in self.batches() if after is None or b > after], True)
+    def changes(self) -> DataFrame | None:
+        """The changes that no snapshot holds yet."""
+        return self._batch_rows(self.batches(), True)
 
     def quarantine(self) -> DataFrame | None:
         """Rejected changes with their reason and raw text."""
-        return self._batch_rows(self.batches(), False)
+        recent = self._batch_rows(sorted(self._marked("_SUCCESS")), False)
+        folder, files = self._path("quarantine")
+        if not files.exists(folder):
+            return recent
+        schema = T.StructType([f for f in self.batch_schema.fields if f.name != "_usable"])
+        older = self.spark.read.schema(schema).parquet(folder.toString()).withColumn("_usable", F.lit("false"))
+        older = older.select(*self.batch_schema.fieldNames())
+        return older if recent is None else recent.select(*older.columns).unionByName(older)
 
     def state(self) -> DataFrame:
         """Latest row per key, tombstones included."""
-        newest = self.snapshot()
-        news = self.changes(after=None if newest is None else newest[0])
+        newest, news = self.snapshot(), self.changes()
         if newest is None and news is None:
             return self.spark.createDataFrame([], self.state_schema)
         if news is None:
             return self._read_snapshot(*newest)
-        epoch = ch.truncate_epoch(news)
+        epoch = self._epoch()
         if newest is None:
             return ch.latest(news, self.keys, self.values, epoch)
         return ch.merge(self._read_snapshot(*newest), news, self.keys, self.values, epoch)

@@ -35,15 +35,14 @@ def write_days(df: DataFrame, path: str) -> None:
 
 
 def load_day(df: DataFrame, path: str, day: str) -> None:
-    """Reload one day."""
+    """Reload one day: its folder is replaced as a whole, also by no rows."""
     dt.date.fromisoformat(day)
     (
         df.drop(DAY)
-        .withColumn(DAY, F.lit(day))
+        .hint("rebalance")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY)
-        .orc(path)
+        .option("partitionOverwriteMode", "static")
+        .orc(f"{path.rstrip('/')}/{DAY}={day}")
     )
 
 
@@ -79,13 +78,19 @@ def retention(
 
 
 def drop_old_days(spark: SparkSession, table: str, today: str, keep_back: int = KEEP_BACK) -> list[str]:
-    """Drop day partitions below the bound; the partition list is the catalog's, not the data's."""
+    """Drop day partitions below the bound, and their files, which an external table keeps otherwise.
+
+    The partition list is the catalog's, not the data's.
+    """
     check_identifier(table)
     lower = (dt.date.fromisoformat(today) - dt.timedelta(days=keep_back)).isoformat()
     listed = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
     old = sorted(d for d in listed if d < lower)
     for day in old:
+        where = spark.sql(f"DESCRIBE FORMATTED {table} PARTITION ({DAY}='{day}')").where("col_name = 'Location'")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where.first()["data_type"])
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({DAY}='{day}')")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return old
 
 

@@ -39,11 +39,12 @@ def _strict(changes: DataFrame) -> DataFrame:
 
 def batch_writer(
     table: KeyedTable, skip_bad: bool = False, before: Callable[[DataFrame, int], None] | None = None,
-    compact_every: int | None = None, on_counts: Callable[[int, dict], None] | None = None,
+    compact_every: int | None = 64, on_counts: Callable[[int, dict], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """What happens to one micro-batch.
 
-    Unreadable messages stop the stream, or go to the quarantine with ``skip_bad``.
+    Unreadable messages stop the stream, or go to the quarantine with ``skip_bad``. Every
+    ``compact_every`` batches are folded into the snapshot and their folders removed.
     """
 
     def write(raw: DataFrame, batch: int) -> None:
