@@ -254,8 +254,11 @@ def test_folders_stay_bounded(spark, tmp_path):
 @pytest.mark.parametrize("compact", [False, True])
 def test_a_truncate_outlives_compaction(spark, tmp_path, compact):
     table = KeyedTable(spark, f"{tmp_path}/t", ROUTE)
-    entries = [(message("c", {"id": 1, "a": "x", "b": 1}), 1), (message("t"), 5), (message("c", {"id": 2, "a": "y", "b": 2}), 9)]
-    late = log(spark, [(message("c", {"id": 3, "a": "late", "b": 3}), 2)]).withColumn("partition", F.lit(1))
+    entries = [
+        (message("c", {"id": 1, "a": "x", "b": 1}), 1), (message("t", ts_ms=2_000), None),
+        (message("c", {"id": 2, "a": "y", "b": 2}, ts_ms=3_000), 2),
+    ]
+    late = log(spark, [(message("c", {"id": 3, "a": "late", "b": 3}, ts_ms=1_500), 3)]).withColumn("partition", F.lit(1))
     table.append(0, changes_of(spark, entries))
     if compact:
         table.compact()

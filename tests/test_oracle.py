@@ -6,9 +6,10 @@ import pytest
 from oracle import connect, differences
 
 import __spark_entry__ as driver
+from checks.registry import ORACLES as SQL
+from checks.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,7 @@ def results(spark, request):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
 
 
 def test_entry(spark):
