@@ -135,7 +135,66 @@ RULES = (
 )
 
 
-@query("op1_urls")
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}')"
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _node(url: str) -> str:
+    query = f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^?#]*\\?([^#]*)', 1)"
+    query = f"regexp_replace(regexp_replace({query}, '(^|&)(utm_[^&=]*|gclid|fbclid)=[^&]*', '', 'g'), '^&', '')"
+    name = f"concat_ws('?', {_host(url)} || regexp_replace({_path(url)}, '/$', ''), nullif({query}, ''))"
+    return f"CASE WHEN {_host(url)} <> '' THEN {name} END"
+
+
+def _found(tag: str, value: str) -> str:
+    return f"regexp_extract(regexp_extract(html, {_sql_text(tag)}), {_sql_text(value)}, 1)"
+
+
+URL_SQL = f"""
+WITH RECURSIVE rules(rule_host, rule_path, action) AS (VALUES {", ".join(map(str, RULES))}),
+links AS (
+    SELECT url, unnest([{_found(urls.CANONICAL, urls.HREF)}, {_found(urls.REFRESH, urls.CONTENT_URL)},
+        {_found(urls.OG_URL, urls.CONTENT)}]) AS href
+    FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), targets AS (
+    SELECT url, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+        WHEN starts_with(href, '//') THEN 'http:' || href
+        WHEN starts_with(href, '/') AND {_host("url")} <> '' THEN 'http://' || {_host("url")} || href END AS target
+    FROM links WHERE href <> ''
+), addresses AS (
+    SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT url FROM targets WHERE target IS NOT NULL
+    UNION SELECT target FROM targets WHERE target IS NOT NULL
+), parts AS (SELECT url, {_host("url")} AS host, {_path("url")} AS path, {_node("url")} AS node FROM addresses),
+decided AS (
+    SELECT url, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+        arg_max(action, length(rule_host || rule_path)) AS action
+    FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY url
+), edges AS (
+    SELECT {_node("url")} AS u, {_node("target")} AS v FROM targets WHERE target IS NOT NULL
+), both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reached(node, member) AS (
+    SELECT DISTINCT node, node FROM parts WHERE node IS NOT NULL
+    UNION SELECT r.node, b.v FROM reached r JOIN both_ways b ON b.u = r.member
+), verdicts AS (
+    SELECT r.node, bool_or(coalesce(d.action = 'block', false)) AND NOT bool_or(coalesce(d.action = 'allow', false)) AS blocked
+    FROM reached r JOIN parts p ON p.node = r.member LEFT JOIN decided d ON d.url = p.url GROUP BY r.node
+)
+SELECT page_id, {_host("pages.url")} AS host, {_path("pages.url")} AS path, d.rule,
+    coalesce(d.action, CASE WHEN v.blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN decided d ON d.url = pages.url LEFT JOIN verdicts v ON v.node = {_node("pages.url")}
+"""
+
+
+@query("op1_urls", URL_SQL)
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), RULES)
 
