@@ -212,3 +212,37 @@ def test_foreign_keys_in_both_layouts(spark):
         "constraint_schema string, constraint_name string, table_name string, column_name string",
     )
     assert shown(views.information_schema_constraints(cons, usage, "db", "postgresql", referenced)) == expected
+
+
+def test_postgresql_comments_and_indexes(spark):
+    from tidegate.sources import catalog_views as views
+
+    make = spark.createDataFrame
+    namespaces = make([(1, "shop"), (2, "pg_catalog")], "oid long, nspname string")
+    classes = make(
+        [(10, "t", 1), (11, "t_pk", 1), (12, "t_ab", 1), (20, "sys", 2)], "oid long, relname string, relnamespace long"
+    )
+    attributes = make(
+        [(10, 1, "id"), (10, 2, "a"), (10, 3, "b"), (20, 1, "x")], "attrelid long, attnum int, attname string"
+    )
+    index = make(
+        [(11, 10, True, True, "1"), (12, 10, False, False, "3 0 2")],
+        "indexrelid long, indrelid long, indisunique boolean, indisprimary boolean, indkey string",
+    )
+    found = views.postgresql_indexes(index, classes, namespaces, attributes, "d")
+    assert {r.name: (r.schema_name, r.table_name, r.is_primary, r.column_names) for r in found.collect()} == {
+        "t_pk": ("shop", "t", True, ["id"]), "t_ab": ("shop", "t", False, ["b", "a"]),
+    }
+    texts = make([("shop", "t", "t_pk", "CREATE")], "schemaname string, tablename string, indexname string, indexdef string")
+    found = views.postgresql_indexes(index, classes, namespaces, attributes, "d", texts)
+    assert {r.name: r.definition for r in found.collect()} == {"t_pk": "CREATE", "t_ab": ""}
+    descriptions = make(
+        [(10, 1259, 0, "a table"), (10, 1259, 2, "a column"), (10, 7, 0, "no relation"), (20, 1259, 0, "system")],
+        "objoid long, classoid long, objsubid int, description string",
+    )
+    of_tables, of_columns = views.postgresql_comments(descriptions, classes, namespaces, attributes, "d")
+    assert [tuple(r) for r in of_tables.collect()] == [("d", "shop", "t", "a table")]
+    assert [tuple(r) for r in of_columns.collect()] == [("d", "shop", "t", "a", "a column")]
+    columns = make([("d", "shop", "t", n, "") for n in ("id", "a")], "database string, schema_name string, table_name string, name string, comment string")
+    shown = catalog.with_comments(columns, of_columns, (*catalog.TABLE, "name"))
+    assert {r.name: r.comment for r in shown.collect()} == {"id": "", "a": "a column"}

@@ -30,6 +30,10 @@ VIEWS = {
         "referenced": "information_schema.constraint_column_usage",
         "indexes": "pg_catalog.pg_index",
         "attributes": "pg_catalog.pg_attribute",
+        "classes": "pg_catalog.pg_class",
+        "namespaces": "pg_catalog.pg_namespace",
+        "descriptions": "pg_catalog.pg_description",
+        "index_definitions": "pg_catalog.pg_indexes",
     },
     "oracle": {
         "tables": "user_tables",
@@ -51,6 +55,8 @@ SYSTEM_SCHEMAS = {
 }
 SYSTEM_PREFIXES = {"postgresql": ["pg_toast", "pg_temp"]}
 PARTITION_NOTE = "partition column: "
+# Fixed value: the object class of tables, views and their columns in pg_description.
+PG_CLASS = 1259
 
 
 def read(spark: SparkSession, kind: str, view: str, host: str, database: str, user: str, password: str,
@@ -135,6 +141,78 @@ def information_schema_columns(rows: DataFrame, database: str, kind: str) -> Dat
     )
 
 
+def _pg_relations(classes: DataFrame, namespaces: DataFrame, database: str) -> DataFrame:
+    """PostgreSQL's tables, views and indexes by their number, with the schema they are in."""
+    spaces = namespaces.select(F.col("oid").cast("long").alias("space"), F.col("nspname").alias("schema_name"))
+    relations = classes.select(
+        F.col("oid").cast("long").alias("oid"), F.col("relname"), F.col("relnamespace").cast("long").alias("space")
+    ).join(spaces, "space")
+    return user_schemas(relations, "postgresql", "schema_name").select(
+        "oid", F.lit(database).alias("database"), "schema_name", "relname"
+    )
+
+
+def postgresql_indexes(
+    indexes: DataFrame, classes: DataFrame, namespaces: DataFrame, attributes: DataFrame, database: str,
+    definitions: DataFrame | None = None,
+) -> DataFrame:
+    """Indexes from the catalog's own tables; key numbers come as text (``1 2``) over JDBC, 0 is an expression."""
+    relations = _pg_relations(classes, namespaces, database)
+    tables = relations.select(
+        F.col("oid").alias("indrelid"), "database", "schema_name", F.col("relname").alias("table_name")
+    )
+    names = relations.select(F.col("oid").alias("indexrelid"), F.col("relname").alias("name"))
+    keys = F.transform(
+        F.filter(F.split(F.trim(F.col("indkey").cast("string")), r"\s+"), lambda k: k.rlike("^[0-9]+$")),
+        lambda k: k.cast("int"),
+    )
+    listed = (
+        indexes.select(
+            F.col("indexrelid").cast("long").alias("indexrelid"), F.col("indrelid").cast("long").alias("indrelid"),
+            F.col("indisunique").alias("is_unique"), F.col("indisprimary").alias("is_primary"), keys.alias("index_keys"),
+        )
+        .join(tables, "indrelid")
+        .join(names, "indexrelid")
+        .select(*catalog.TABLE, "name", "is_unique", "is_primary", "index_keys")
+    )
+    columns = attributes.select(
+        F.col("attrelid").cast("long").alias("indrelid"), F.col("attnum").cast("int").alias("ordinal_position"),
+        F.col("attname").alias("name"),
+    ).join(tables, "indrelid")
+    expanded = catalog.expand_indexes(listed, columns.select(*catalog.TABLE, "ordinal_position", "name"))
+    if definitions is None:
+        return expanded.withColumn("definition", F.lit(""))
+    texts = definitions.select(
+        F.lit(database).alias("database"), F.col("schemaname").alias("schema_name"),
+        F.col("tablename").alias("table_name"), F.col("indexname").alias("name"), F.col("indexdef").alias("definition"),
+    )
+    return expanded.join(texts, [*catalog.TABLE, "name"], "left").withColumn(
+        "definition", F.coalesce("definition", F.lit(""))
+    )
+
+
+def postgresql_comments(
+    descriptions: DataFrame, classes: DataFrame, namespaces: DataFrame, attributes: DataFrame, database: str
+) -> tuple[DataFrame, DataFrame]:
+    """Comments of tables and of columns, for ``catalog.with_comments``."""
+    relations = _pg_relations(classes, namespaces, database).withColumnRenamed("relname", "table_name")
+    notes = descriptions.where(F.col("classoid").cast("long") == PG_CLASS).select(
+        F.col("objoid").cast("long").alias("oid"), F.col("objsubid").cast("int").alias("part"),
+        F.col("description").alias("comment"),
+    ).join(relations, "oid")
+    of_columns = notes.where("part > 0").join(
+        attributes.select(
+            F.col("attrelid").cast("long").alias("oid"), F.col("attnum").cast("int").alias("part"),
+            F.col("attname").alias("name"),
+        ),
+        ["oid", "part"],
+    )
+    return (
+        notes.where("part = 0").select(*catalog.TABLE, "comment"),
+        of_columns.select(*catalog.TABLE, "name", "comment"),
+    )
+
+
 def mysql_indexes(rows: DataFrame, database: str) -> DataFrame:
     parts = user_schemas(rows, "mysql", "table_schema").select(
         F.lit(database).alias("database"),
