@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidegate.llm import text as tx
 from tidegate.llm.store import saved
 
-SEED = 16
+SEED = 8
 #: Bits of a slot number in the bit map, at least and at most.
 SLOTS = 20, 27
 CROWD = 2000
@@ -77,14 +77,14 @@ class Split:
 
 
 class BitMap:
-    """Which slots (the first bits) of 64-bit hashes are taken."""
+    """Which slots (the last bits: the first ones of a minimum are mostly zero) of 64-bit hashes are taken."""
 
     def __init__(self, slots: int):
         self.slots = slots
         self.words = np.zeros(1 << (slots - 5), np.uint32)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes >> tx.U(64 - self.slots)
+        slot = hashes & tx.U((1 << self.slots) - 1)
         return (self.words[slot >> tx.U(5)] >> (slot & tx.U(31)).astype(np.uint32)) & 1 == 1
 
 
@@ -226,7 +226,7 @@ def _bit_map(repeated: DataFrame) -> BitMap:
     least, most = SLOTS
     out = BitMap(min(max((16 * repeated.count()).bit_length(), least), most))
     words = (
-        repeated.select(F.shiftrightunsigned("minimiser", 64 - out.slots).alias("slot"))
+        repeated.select(F.col("minimiser").bitwiseAND(F.lit((1 << out.slots) - 1)).alias("slot"))
         .groupBy(F.shiftright("slot", 5).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, int(slot % 32)))").alias("bits"))
         .toArrow()
@@ -262,9 +262,9 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     )
     twice = alone.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window")
     found = found.union(alone.join(twice, "window", "left_semi").select("words", "lo", F.col("lo").alias("hi")))
-    found = saved(found.select(F.md5("words").alias("name"), "lo", "hi"), "repeats")
+    found = saved(found.select(F.unhex(F.md5("words")).alias("name"), "lo", "hi"), "repeats")
     ranges = (
-        strings.select(F.md5("words").alias("name"), "id", "text_hash", "first")
+        strings.select(F.unhex(F.md5("words")).alias("name"), "id", "text_hash", "first")
         .join(found, "name")
         .select("id", "text_hash", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + width).alias("hi"))
         .groupBy("id", "text_hash")
