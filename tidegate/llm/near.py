@@ -3,7 +3,7 @@
 ``linked(docs)`` gives each document the component it belongs to when two documents are linked by a Jaccard
 similarity of their word-shingle sets of at least ``percent`` hundredths. Equal sets meet by fingerprint first, so
 groups of copies of any size cost one row. The different sets then meet in bands of their minima (a pair at the
-threshold misses all bands once in 10**8), and every link is confirmed on the full sets.
+threshold shares none once in 2 * 10**7), and every link is confirmed on the full sets.
 
 A band's bucket may be large, so its members are first compared with one of them: each set with the hub it shares
 most bands with. Components of these links come next. Pairs of one bucket that are then still in different
@@ -16,6 +16,7 @@ part and gets a null component. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +29,25 @@ from tidegate.llm.graph import components
 from tidegate.llm.store import saved
 
 ROWS = 6
-BANDS = 36
+#: How often a pair exactly at the threshold may share no band; the number of bands follows.
+MISS = 5e-8
 #: Members of a bucket in one block; two blocks are compared at a time.
 BLOCK = 512
-_rng = np.random.default_rng(20240607)
-FACTOR = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
-SHIFT = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 #: Standard deviations by which an estimate from signatures may fall short before a pair is dropped.
 SLACK = 6.0
 
 
+def bands_for(percent: int) -> int:
+    """36 for a threshold of 85 hundredths, 56 for 80."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-min((percent / 100) ** ROWS, 1 - 1e-9))))
+
+
+def hash_functions(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of k universal hash functions."""
+    rng = np.random.default_rng(20240607)
+    return rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
+
+
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' distinct shingle hashes, ascending within a text, and where each text begins."""
     data, offsets = tx.bytes_of(texts)
@@ -74,8 +84,11 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 SKETCH = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, sig binary"
 
 
-def _sketches(size: int):
+def _sketches(size: int, percent: int):
+    many = bands_for(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor, shift = hash_functions(ROWS * many)
         for piece in tx.pieces(batches, "text"):
             h, bounds = shingle_sets(piece.column("text"), size)
             counts = np.diff(bounds)
@@ -88,11 +101,11 @@ def _sketches(size: int):
                 for k, out in enumerate(sums):
                     out[full] = np.add.reduceat(tx.mix(h + tx.U(k + 1)), at).view(np.int64)
                 low = (h >> tx.U(32)).astype(np.uint32)
-                minima = np.empty((n, ROWS * BANDS), np.uint32)
-                for k in range(ROWS * BANDS):
-                    minima[:, k] = np.minimum.reduceat(low * FACTOR[k] + SHIFT[k], at)
-                rows = minima.reshape(n, BANDS, ROWS).astype(tx.U)
-                band = np.broadcast_to(np.arange(BANDS, dtype=tx.U), (n, BANDS)).copy()
+                minima = np.empty((n, ROWS * many), np.uint32)
+                for k in range(ROWS * many):
+                    minima[:, k] = np.minimum.reduceat(low * factor[k] + shift[k], at)
+                rows = minima.reshape(n, many, ROWS).astype(tx.U)
+                band = np.broadcast_to(np.arange(many, dtype=tx.U), (n, many)).copy()
                 for r in range(ROWS):
                     band = tx.mix(band + rows[:, :, r])
                 band = band.view(np.int64)
@@ -128,19 +141,19 @@ def _sets(size: int):
 
 def _least_agreement(percent: int) -> float:
     """Equal signature bytes below which the threshold is ruled out."""
-    wanted, k = percent / 100, ROWS * BANDS
+    wanted, k = percent / 100, ROWS * bands_for(percent)
     return k * (wanted - SLACK * (wanted * (1 - wanted) / k) ** 0.5)
 
 
 def _agreeing(percent: int):
     """Keeps the pairs whose signatures don't rule the threshold out."""
-    least = _least_agreement(percent)
+    least, k = _least_agreement(percent), ROWS * bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, ROWS * BANDS)
+                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, k)
                     for c in ("sig_u", "sig_v")
                 )
                 yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= least))
@@ -204,7 +217,7 @@ def _compared(percent: int, exact: bool):
         across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
         band = t.column("band")[0].as_py()
         bands = np.array(t.column("bands").to_pylist(), np.int64)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, ROWS * BANDS)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, ROWS * bands_for(percent))
         before = int(np.flatnonzero(bands[0] == band)[0])
         sets = [np.frombuffer(x.as_buffer(), tx.U) for x in t.column("shingles")] if exact else None
         out = []
@@ -243,7 +256,7 @@ def _compared(percent: int, exact: bool):
 def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = saved(texts.mapInArrow(_sketches(size), SKETCH), "sketches")
+    sketches = saved(texts.mapInArrow(_sketches(size, percent), SKETCH), "sketches")
     fp = ["n_shingles", "fp_a", "fp_b"]
     of_set = saved(
         sketches.filter("fp_a is not null").groupBy(*fp).agg(F.min("doc_id").alias("node")).filter("node is not null"),
