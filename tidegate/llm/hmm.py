@@ -30,7 +30,9 @@ from tidegate.llm.store import saved
 FREQUENT = 4096
 SUFFIXES = 1024
 STRETCH = 64
-CHUNK = 2 << 20
+CHUNK = 3 << 20
+#: Bits of a count beside the place of its word; frequent words, whose counts are largest, are not asked for.
+COUNT_BITS = 40
 STATES = 8
 ROUNDS = 4
 END_HASH = np.uint64(0x9C1E57A3D0B4F26B)
@@ -68,7 +70,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _list(piece.column("doc_id")),
                 _list(piece.column("held")),
                 _list(pa.array(lengths.astype(np.int32))),
-                pa.array([tokens.astype("<u4").tobytes()], pa.binary()),
+                pa.array([tokens.astype(_width(len(words))).tobytes()], pa.binary()),
                 _list(pa.array(words.view(np.int64))),
                 _list(pa.array(suffix[first])),
                 _list(pa.array(counts.astype(np.int32))),
@@ -78,6 +80,11 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk += 1
 
 
+def _width(words: int) -> str:
+    """Numbers of a chunk's words take two bytes where that is enough."""
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
 def _list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
@@ -191,7 +198,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[dict]:
 def _sequence(row: dict, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """The class of each of the chunk's words, and the words' numbers along the texts."""
     of_word = classes.of(row["words"].to_numpy().view(tx.U), row["suffixes"].to_numpy())
-    return of_word, np.frombuffer(row["tokens"].as_buffer(), "<u4")
+    return of_word, np.frombuffer(row["tokens"].as_buffer(), _width(len(of_word)))
 
 
 def _expectation(parameters, classes):
@@ -248,8 +255,9 @@ def _score(parameters, classes, facts):
                 counts = np.zeros(len(of_word), np.int64)
                 own = of_word < frequent
                 counts[own] = f.counts[of_word[own]]
-                if row["places"] is not None:
-                    counts[row["places"].to_numpy()] = row["found"].to_numpy()
+                if row["answers"] is not None:
+                    answers = row["answers"].to_numpy()
+                    counts[answers >> COUNT_BITS] = answers & ((1 << COUNT_BITS) - 1)
                 base = np.log10((counts + 0.5) / (f.tokens + 0.5 * (f.words + 1)))
                 group = np.maximum(of_word - frequent, 0)
                 share = np.log10((counts + 0.5) / (f.class_tokens[group] + 0.5 * (f.class_words[group] + 1)))
@@ -285,7 +293,8 @@ def scored(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int
     coded = saved(texts.mapInArrow(_code, CODED), "coded")
     entries = coded.select("chunk", F.posexplode(F.arrays_zip("words", "suffixes", "counts")).alias("place", "e"))
     entries = entries.select("chunk", "place", "e.words", "e.suffixes", "e.counts")
-    vocabulary = saved(entries.groupBy("words", "suffixes").agg(F.sum("counts").alias("c")).filter("c > 0"), "vocabulary")
+    trained = entries.filter("counts > 0").groupBy("words", "suffixes").agg(F.sum("counts").alias("c"))
+    vocabulary = saved(trained, "vocabulary")
     tokens, words = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = vocabulary.filter(F.col("c") * FREQUENT >= max(tokens, 1)).select("words", "c").toArrow()
     hashes, counts = top.column("words").to_numpy().view(tx.U), top.column("c").to_numpy()
@@ -306,8 +315,9 @@ def scored(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int
         sums = sum(np.frombuffer(x.as_buffer()) for x in found.column("sums"))
         parameters = maximised(sums, states, weights)
     asked = entries.select("chunk", "place", "words").join(seldom.select("words", "c"), "words")
-    answers = asked.groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("a"))
-    answers = answers.select("chunk", F.col("a.place").alias("places"), F.col("a.c").alias("found"))
+    # place and count of a word in one number: such lists are a quarter of those of structs
+    answer = F.expr(f"shiftleft(bigint(place), {COUNT_BITS}) | c")
+    answers = asked.groupBy("chunk").agg(F.collect_list(answer).alias("answers"))
     return (
         coded.drop("counts")
         .join(answers, "chunk", "left")
