@@ -301,6 +301,15 @@ def test_language(spark):
     assert language.identified(empty(spark), model, ["doc_id"]).count() == 0
 
 
+def test_models_keep_rare_runs(spark):
+    texts = [f"{'abc ' * 100_000}{'qxz'[k % 3] * (k + 2)}" for k in range(6)]  # 2.4 million runs, some seen once
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    learned = [r.text for r in docs.filter("pmod(xxhash64(text), 16) <> 0").collect()]
+    runs = np.unique(language.grams_of([w for t in learned for w in set(t.split())])[0])
+    model = language.trained(docs)
+    assert np.array_equal(model.orders[-1][0], np.sort(language.tx.mix(runs)))
+
+
 def test_kneser_ney_is_a_distribution():
     runs, lengths = language.grams_of(["abab", "abba", "baab", "aabb"])
     values, counts = np.unique(runs, return_counts=True)

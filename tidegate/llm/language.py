@@ -2,8 +2,9 @@
 
 Each language has a model of the characters of its words, of order four, with a word's ends as characters. Only the
 counts of four-character runs come from the corpus, over all training texts; those of lower orders are Kneser-Ney's
-continuation counts. Models lie in arrays sorted by hash, a column per language, so one binary search serves all
-languages. A run rarer than one in ``GRAMS`` of its language's is left out, which bounds a model by ``GRAMS`` runs.
+continuation counts. Every run counts, however rare: discounts and continuation counts rest on those seen once or
+twice. Models lie in arrays sorted by hash, a column per language, so one binary search serves all languages; they
+grow with the different runs of the languages, not with the texts.
 
 A text's language is the one with the lowest cross-entropy per character. A sixteenth of the labelled texts is kept
 from counting and calibrates: the temperature that turns cross-entropies into a probability (the score), and per
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from tidegate.llm import text as tx
 
 ORDER = 4
-GRAMS = 1_000_000
 DEVIATIONS = 16.0
 #: Words whose score a task remembers.
 KNOWN = 300_000
@@ -210,14 +210,13 @@ def trained(docs: DataFrame) -> Model:
     labelled = docs.select("text", "lang").filter("text is not null and lang is not null")
     aside = F.pmod(F.xxhash64("text"), F.lit(16)) == 0
     counts = labelled.filter(~aside).mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(totals), "lang").filter(F.col("n") * GRAMS >= F.col("total")).drop("total").toArrow()
+    found = counts.toArrow().combine_chunks()
     by_lang = {}
-    names = kept.column("lang").to_numpy(zero_copy_only=False) if kept.num_rows else np.zeros(0, str)
-    runs, n = kept.column("gram").to_numpy().view(tx.U), kept.column("n").to_numpy().astype(float)
-    for lang in sorted(set(names.tolist())):
-        mine = names == lang
-        by_lang[lang] = runs[mine], n[mine]
+    if found.num_rows:
+        names = pa.concat_arrays(found.column("lang").chunks).dictionary_encode()
+        of_run = names.indices.to_numpy()
+        runs, n = found.column("gram").to_numpy().view(tx.U), found.column("n").to_numpy().astype(float)
+        by_lang = {lang: (runs[of_run == k], n[of_run == k]) for k, lang in enumerate(names.dictionary.to_pylist())}
     if not by_lang:
         return Model([], (np.zeros(0, tx.U), np.zeros((1, 0), np.float32)), [])
     model = fitted(by_lang)
