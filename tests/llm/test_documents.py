@@ -310,6 +310,33 @@ def test_models_keep_rare_runs(spark):
     assert np.array_equal(model.orders[-1][0], np.sort(language.tx.mix(runs)))
 
 
+@pytest.mark.parametrize("unknown", ["de", "es", "fr"])
+def test_language_nobody_learned_is_rejected(spark, unknown):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    # one text in a hundred of the unknown language goes by another's name
+    other = "es" if unknown == "fr" else "fr"
+    labels = F.when(F.col("lang") != unknown, F.col("lang")).when(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(100)) == 0, other)
+    model = language.trained(docs.withColumn("lang", labels))
+    assert unknown not in model.langs
+    found = language.identified(docs, model, ["doc_id", "lang"])
+    shares = found.groupBy(F.col("lang") == unknown).agg(F.avg(F.col("accepted").cast("double"))).collect()
+    shares = dict(map(tuple, shares))
+    assert shares[True] < 0.05
+    assert shares[False] > 0.98
+
+
+def test_limits_do_not_follow_wrong_labels():
+    rng = np.random.default_rng(0)
+    own = rng.normal(1.5, 0.05, 5000)
+    for wrong in (0, 25):  # texts of another language, above the stated share of rejections
+        texts = np.append(own, np.full(wrong, 3.3))
+        told = len(texts), *np.quantile(texts, [0.5, 0.9, 1 - language.REJECTED])
+        (limits,) = language._limits({(0, 0): told, (0, 1): (3, 1.5, 1.5, 1.5)}, 1)
+        assert (own > limits[0]).mean() <= language.REJECTED
+        assert limits[0] < 3
+        assert limits[1] == limits[0]
+
+
 def test_kneser_ney_is_a_distribution():
     runs, lengths = language.grams_of(["abab", "abba", "baab", "aabb"])
     values, counts = np.unique(runs, return_counts=True)

@@ -7,8 +7,12 @@ twice. Models lie in arrays sorted by hash, a column per language, so one binary
 grow with the different runs of the languages, not with the texts.
 
 A text's language is the one with the lowest cross-entropy per character. A sixteenth of the labelled texts is kept
-from counting and calibrates: the temperature that turns cross-entropies into a probability (the score), and per
-language the cross-entropy above which a text is rejected: ``DEVIATIONS`` standard deviations above the mean.
+from counting and calibrates: the temperature that turns cross-entropies into a probability (the score), and the
+cross-entropy above which a text is rejected, per language and by length, as short texts vary more. The limit of 4^b
+characters comes from the first 4^b characters of all texts set aside that are that long: it rejects ``REJECTED`` of
+them, or what lies more than ``SPREADS`` times as far above the median as the ninth decile does, whichever is lower:
+few wrongly labelled texts move neither median nor decile. Texts that another language's model fits better do not
+calibrate, as they would not be judged by this limit either.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected; so is everything if nothing is
 labelled. Null labels don't train. Rows are predicted one by one, repeated or not. Extra columns are ignored.
@@ -27,7 +31,13 @@ from pyspark.sql import functions as F
 from tidegate.llm import text as tx
 
 ORDER = 4
-DEVIATIONS = 16.0
+#: Share of a language's own texts that its limit may reject.
+REJECTED = 0.001
+SPREADS = 8.0
+#: The least distance of the ninth decile from the median, and the fewest texts that tell both.
+LEAST_SPREAD, LEAST_TEXTS = 0.1, 30
+#: Limits are for texts of at least 1, 4, 16, ... characters.
+LENGTHS = 4 ** np.arange(8)
 #: Words whose score a task remembers.
 KNOWN = 300_000
 BEGIN, END = 1, 2
@@ -89,7 +99,7 @@ class Model(NamedTuple):
     single: tuple[np.ndarray, np.ndarray]
     orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     temperature: float = 1.0
-    limits: tuple[float, ...] = ()
+    limits: np.ndarray = np.zeros((0, len(LENGTHS)))
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -134,6 +144,11 @@ def _at(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(hit, at, len(hashes))
 
 
+def _entropy(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = sums[:, -1].round()
+    return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
+
+
 class Scorer:
     """Cross-entropies of texts; words scored once are remembered."""
 
@@ -154,8 +169,8 @@ class Scorer:
         ends = np.cumsum(lengths)
         return np.column_stack([logs[ends] - logs[ends - lengths], lengths])
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy of each text in each language, and its number of characters."""
+    def _sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the words before each word of log probabilities and characters, and where texts begin and end."""
         found = distinct_words(texts)
         new = np.flatnonzero(_at(self.hashes, found.hashes) == len(self.hashes))
         if len(new):
@@ -166,10 +181,21 @@ class Scorer:
             self.hashes = hashes[order]
             self.scores = np.vstack([self.scores, self._words([found.words[k] for k in new])])[order]
         rows = self.scores[_at(self.hashes, found.hashes)][found.number]
-        sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, axis=0)])
-        sums = sums[found.bounds[1:]] - sums[found.bounds[:-1]]
+        return np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, axis=0)]), found.bounds
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy of each text in each language, and its number of characters."""
+        sums, bounds = self._sums(texts)
+        return _entropy(sums[bounds[1:]] - sums[bounds[:-1]])
+
+    def beginnings(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By length: its number, the texts that long, and their words' cross-entropies up to there."""
+        sums, bounds = self._sums(texts)
         n = sums[:, -1].round()
-        return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
+        for k, length in enumerate(LENGTHS):
+            at = np.searchsorted(n, n[bounds[:-1]] + length)
+            long = np.flatnonzero(at <= bounds[1:])
+            yield k, long, _entropy(sums[at[long]] - sums[bounds[:-1][long]])[0]
 
 
 def _shares(entropy: np.ndarray, n: np.ndarray, temperature) -> np.ndarray:
@@ -180,7 +206,7 @@ def _shares(entropy: np.ndarray, n: np.ndarray, temperature) -> np.ndarray:
 
 
 def _calibration(model):
-    """Per true language: texts, sum and sum of squares of its cross-entropy, and log likelihoods by temperature."""
+    """By true language: its number, cross-entropies of its texts by number of length; log likelihoods by temperature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
@@ -191,19 +217,42 @@ def _calibration(model):
             ok = np.flatnonzero((true >= 0) & (n > 0))
             if not len(ok):
                 continue
-            entropy, n, true = entropy[ok], n[ok], true[ok]
-            own = entropy[np.arange(len(ok)), true]
-            fit = np.stack([np.log(_shares(entropy, n, t)[np.arange(len(ok)), true] + 1e-12) for t in TEMPERATURES], axis=1)
-            for k in np.unique(true):
-                mine = true == k
-                stats = [float(mine.sum()), own[mine].sum(), (own[mine] ** 2).sum(), *fit[mine].sum(axis=0)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(k)] * len(stats)), pa.array(list(range(len(stats)))), pa.array(stats)], ["lang", "stat", "value"]
-                )
+            fit = [np.log(_shares(entropy[ok], n[ok], t)[np.arange(len(ok)), true[ok]] + 1e-12).sum() for t in TEMPERATURES]
+            found = [(np.full(len(fit), -1), np.arange(len(fit)), np.array(fit))]
+            own = (true >= 0) & (n > 0) & (entropy.argmin(axis=1) == true)
+            for length, texts, beginning in scorer.beginnings(piece.column("text")):
+                mine = own[texts]
+                lang = true[texts[mine]]
+                found.append((lang, np.full(len(lang), length), beginning[mine][np.arange(len(lang)), lang]))
+            columns = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["lang", "stat", "value"]
+            )
 
     return run
 
 
+def _limits(spreads: dict[tuple[int, int], tuple[int, float, float, float]], langs: int) -> np.ndarray:
+    """Per language and length the highest cross-entropy accepted, from (language or -1 for all, length): number of
+    texts, median, ninth decile, and quantile at 1 - ``REJECTED``. Too few texts take those of all languages, then the
+    limit of the next shorter length, which is no lower for texts that vary less."""
+    limits = np.full((langs, len(LENGTHS)), np.inf)
+    for lang in range(langs):
+        for length in range(len(LENGTHS)):
+            tried = [spreads[k, length] for k in (lang, -1) if (k, length) in spreads]
+            told = next((x for x in tried if x[0] >= LEAST_TEXTS), None)
+            if told is None and length:
+                limits[lang, length] = limits[lang, length - 1]
+                continue
+            if told is None and tried:
+                told = tried[-1]
+            if told is not None:
+                n, median, decile, top = told
+                limit = median + SPREADS * max(decile - median, LEAST_SPREAD)
+                limits[lang, length] = min(limit, top) if n * REJECTED >= 1 else limit
+    return limits
+
+
 def trained(docs: DataFrame) -> Model:
     """The calibrated model of labelled documents (text, lang)."""
     spark = docs.sparkSession
@@ -222,29 +271,35 @@ def trained(docs: DataFrame) -> Model:
     model = fitted(by_lang)
     held = spark.sparkContext.broadcast(model)
     rows = labelled.filter(aside).mapInArrow(_calibration(held), "lang long, stat long, value double")
-    stats = np.zeros((len(model.langs), 3 + len(TEMPERATURES)))
-    for k, stat, value in rows.groupBy("lang", "stat").agg(F.sum("value")).collect():
-        stats[k, stat] = value
-    total = stats.sum(axis=0)
-    if not total[0]:
-        return model._replace(limits=(np.inf,) * len(model.langs))
-    limits = []
-    for mine in stats:
-        n, s, q = (mine if mine[0] >= 30 else total)[:3]  # a language with few texts set aside takes the spread of all
-        limits.append(s / n + DEVIATIONS * max(q / n - (s / n) ** 2, 0.01) ** 0.5)
-    return model._replace(temperature=float(TEMPERATURES[int(np.argmax(total[3:]))]), limits=tuple(limits))
+    quantiles = F.percentile_approx("value", [0.5, 0.9, 1 - REJECTED], 100_000)
+    fits, spreads = np.zeros(len(TEMPERATURES)), {}
+    for fit, stat, lang, n, total, (median, decile, top) in (
+        rows.withColumn("fit", F.col("lang") < 0)
+        .rollup("fit", "stat", "lang")
+        .agg(F.count("*"), F.sum("value"), quantiles)
+        .filter("stat is not null")
+        .collect()
+    ):
+        if fit:
+            fits[stat] = total
+        else:
+            spreads[-1 if lang is None else lang, stat] = n, median, decile, top
+    limits = _limits(spreads, len(model.langs))
+    return model._replace(temperature=float(TEMPERATURES[int(np.argmax(fits))]) if fits.any() else 1.0, limits=limits)
 
 
 def _predict(model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, langs = Scorer(model.value), [*model.value.langs, "und"]
-        limits = np.array([*model.value.limits, -np.inf])
+        limits = np.vstack([model.value.limits, np.full(len(LENGTHS), -np.inf)])
         for piece in tx.pieces(batches, "text", 4 << 20):
             best = np.full(piece.num_rows, len(langs) - 1)
             score, lowest = np.zeros(piece.num_rows), np.full(piece.num_rows, np.inf)
+            length = np.zeros(piece.num_rows, int)
             if len(langs) > 1:
                 entropy, n = scorer(piece.column("text"))
                 some = np.flatnonzero(n > 0)
+                length[some] = np.searchsorted(LENGTHS, n[some], "right") - 1
                 best[some], lowest[some] = entropy[some].argmin(axis=1), entropy[some].min(axis=1)
                 score[some] = _shares(entropy[some], n[some], model.value.temperature).max(axis=1) if len(some) else 0
             yield pa.RecordBatch.from_arrays(
@@ -253,7 +308,7 @@ def _predict(model, columns: list[str]):
                     pa.array([langs[k] for k in best], pa.string()),
                     pa.array(score),
                     pa.array(lowest),
-                    pa.array(lowest <= limits[best]),
+                    pa.array(lowest <= limits[best, length]),
                 ],
                 [*columns, "lang_pred", "score", "cross_entropy", "accepted"],
             )
