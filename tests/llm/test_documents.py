@@ -272,6 +272,18 @@ def test_contexts_discover_identifiers(spark):
     assert pii.masked(df).columns == df.columns
 
 
+def test_promoted_values_support_further_patterns(spark):
+    secret = [hashlib.sha256(str(k).encode()).hexdigest()[:20] for k in range(30)]
+    chain = ["token =", "sid:", "ref:", "case#", "key=", "lot:"]  # each shares eight short values with the one before
+    docs = [f"a token = {s} here" for s in secret]
+    for g in range(len(chain) - 1):
+        docs += [f"a {label} q{g}{k} here" for k in range(8) for label in chain[g : g + 2]]
+    docs += ["the lot: z9 alone", "the page: z8 alone"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.reported(df).collect()}
+    assert [found[k].n_id for k in range(len(docs))] == [1] * (len(docs) - 1) + [0]
+
+
 def test_personal_data_of_awkward_rows(spark):
     docs = documents(spark)
     assert pii.masked(docs).count() == docs.count()

@@ -3,8 +3,10 @@
 Base kinds are found by their patterns and checks (octets, Luhn sum, number of digits). Seeds are the base spans, and
 long tokens that mix letters and digits. A pattern is a label before a token with a digit (``key=``, ``id:``, ``token =``).
 Patterns and the values they stand before form a graph, which is scored in rounds: a pattern by the mean score of its
-different values, a value by its best pattern, seeds with 1. Values behind a pattern of high score that enough seeds
-support are reported as kind ``id``, also those that no seed resembles.
+different values, a value by its best pattern, seeds with 1. A pattern counts if enough values of high score support
+it, seeds or not. After ``ROUNDS`` rounds the values of high score are known like seeds, all others start anew, and
+the rounds are repeated until no further pattern reaches a high score. Values behind such a pattern are reported as
+kind ``id``, also those that no seed resembles.
 
 Positions are code points, ends exclusive. A span's place is the sum of the lengths of what stands before it, a window
 over the text's matches; texts without a digit or ``@`` are only scanned. Null text is empty. Spans belong to
@@ -124,17 +126,24 @@ def _discovered(tokens: DataFrame, base: DataFrame) -> DataFrame:
     )
     seen = saved(seen.select(*key, "start", "end", "pattern", "value", "covered", "seed"), "labelled")
     graph = saved(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
-    values = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("s"))
-    for _ in range(ROUNDS):
-        patterns = (
-            graph.join(values, "value")
-            .groupBy("pattern")
-            .agg((F.sum("s") / (F.count("*") + DOUBT)).alias("p"), F.count_if("seed").alias("support"))
-            .filter(F.col("support") >= SUPPORT)
-        )
-        patterns = saved(patterns, "patterns")
-        best = graph.join(patterns, "pattern", "left").groupBy("value")
-        values = saved(best.agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("p"), F.lit(0.0))).alias("s")), "values")
+    sure = 0
+    while True:
+        values = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("s"))
+        for _ in range(ROUNDS):
+            patterns = (
+                graph.join(values, "value")
+                .groupBy("pattern")
+                .agg((F.sum("s") / (F.count("*") + DOUBT)).alias("p"), F.count_if(F.col("s") >= CONFIDENT).alias("support"))
+                .filter(F.col("support") >= SUPPORT)
+            )
+            patterns = saved(patterns, "patterns")
+            best = graph.join(patterns, "pattern", "left").groupBy("value")
+            values = saved(best.agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("p"), F.lit(0.0))).alias("s")), "values")
+        found = patterns.filter(F.col("p") >= CONFIDENT).count()
+        if found == sure:  # further values are known only behind further patterns
+            break
+        sure = found
+        graph = saved(graph.join(values, "value").select("pattern", "value", (F.col("s") >= CONFIDENT).alias("seed")), "graph")
     sure = patterns.filter(F.col("p") >= CONFIDENT).select("pattern")
     return (
         seen.filter("not covered").join(sure, "pattern").select(*key, F.lit(KINDS.index("id")).alias("kind"), "start", "end").distinct()
