@@ -203,6 +203,22 @@ def test_masks_find_three_substitutions_in_fifteen_words():
         )
 
 
+@pytest.mark.parametrize("n", range(16))
+def test_items_of_every_length(n):
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    item = [f"w{k}" for k in range(n)]
+    scan = decontaminate.Scan(decontaminate.items_of([1], pa.array([" ".join(item)])), 15, 80)
+    allowed = n // 5 if n >= 8 else 0  # substitutions
+    for many in range(min(n, allowed + 1) + 1):
+        cases = list(combinations(range(n), many))
+        texts = [" ".join(["before", *(f"x{k}" if k in gone else w for k, w in enumerate(item)), "after"]) for gone in cases]
+        found = {row[0] for row in scan(pa.array(texts))}
+        assert found == (set(range(len(cases))) if n and many <= allowed else set())
+
+
 # --- personal data -----------------------------------------------------------------------------------------------
 
 PERSONAL = [

@@ -3,12 +3,13 @@
 A seed is the hash of the words that a fixed mask takes from a stretch of text; substituted words at the places
 it skips don't change it. Training texts are scanned for the seeds of the benchmark. Around each hit the item is
 laid over the text at that shift, and counts as found where ``least`` hundredths of ``window`` consecutive words
-(of the whole item, if it is shorter) are equal. The masks find every overlap of 15 words with up to three substitutions.
+(of the whole item, if it is shorter) are equal. The masks find every overlap of 15 words with up to three substitutions,
+and every one that 80 hundredths allow in shorter items; those of 10 and 11 words need stretches of three words for it.
 
 The benchmark is broadcast in blocks of about ``BLOCK_WORDS`` words, whatever its size; each block scans the texts
 once, and texts are never shuffled. Words are lower-cased A-Z and end at white space or ASCII punctuation. Null
-texts have no words. Items of fewer than ``LEAST_WORDS`` words are no evidence and never match. Equal items match
-each; extra columns are ignored (or kept, by ``decontaminated``).
+texts have no words. Of items of fewer than ``LEAST_WORDS`` words all words must be equal; items without words never
+match. Equal items match each; extra columns are ignored (or kept, by ``decontaminated``).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from tidegate.llm import text as tx
 #: Word places that a seed looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5))
 LEAST_WORDS = 8
+#: Stretches of 1, 2, ... words, for short items only.
+STRETCHES = tuple(tuple(range(n)) for n in range(1, LEAST_WORDS))
 BLOCK_WORDS = 200_000
 FILTER_BITS = 22
 
@@ -43,9 +46,17 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tx.spans_hash(data, starts, ends), bounds
 
 
+def _takes(number: int, lengths: np.ndarray) -> np.ndarray:
+    """Whether items of these numbers of words have seeds of mask ``number``."""
+    if number < len(MASKS):
+        return lengths >= LEAST_WORDS
+    n = len(STRETCHES[number - len(MASKS)])
+    return (lengths == n) | ((n == 3) & ((lengths == 10) | (lengths == 11)))
+
+
 def _seeds(words: np.ndarray, number: int) -> np.ndarray:
     """The seed of mask ``number`` at each word that it fits behind."""
-    mask = MASKS[number]
+    mask = (MASKS + STRETCHES)[number]
     n = max(len(words) - mask[-1], 0)
     out = np.full(n, number, tx.U)
     for k, at in enumerate(mask):
@@ -62,23 +73,26 @@ class Items(NamedTuple):
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    masks: list[int]  # the numbers of the masks that the items take
 
 
 def items_of(ids: list, texts: pa.Array) -> Items:
     words, bounds = words_of(texts)
     owner = tx.owners(bounds)
-    long = np.diff(bounds) >= LEAST_WORDS
-    seeds, item, place = [], [], []
-    for number, mask in enumerate(MASKS):
+    seeds, item, place, masks = [], [], [], []
+    for number, mask in enumerate(MASKS + STRETCHES):
+        takes = _takes(number, np.diff(bounds))
+        if takes.any():
+            masks.append(number)
         found = _seeds(words, number)
         at = np.arange(len(found))
-        ok = (owner[: len(found)] == owner[mask[-1] :]) & long[owner[: len(found)]] if len(found) else at > 0
+        ok = (owner[: len(found)] == owner[mask[-1] :]) & takes[owner[: len(found)]] if len(found) else at > 0
         seeds.append(found[ok])
         item.append(owner[at[ok]])
         place.append(at[ok] - bounds[owner[at[ok]]])
     seeds, item, place = (np.concatenate(x) for x in (seeds, item, place))
     order = np.argsort(seeds, kind="stable")
-    return Items(ids, words, bounds, seeds[order], item[order], place[order])
+    return Items(ids, words, bounds, seeds[order], item[order], place[order], masks)
 
 
 class Scan:
@@ -91,8 +105,9 @@ class Scan:
 
     def _shifts(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Rows (text, item, place of the item's first word in the text), each once."""
-        items, owner, out = self.items, tx.owners(bounds), []
-        for number, mask in enumerate(MASKS):
+        items, owner, out = self.items, tx.owners(bounds), [np.zeros((0, 3), np.int64)]
+        for number in items.masks:
+            mask = (MASKS + STRETCHES)[number]
             seeds = _seeds(words, number)
             at = np.flatnonzero(self.bits[seeds >> tx.U(64 - FILTER_BITS)])
             at = at[owner[at] == owner[at + mask[-1]]]
@@ -117,7 +132,8 @@ class Scan:
                 continue
             same = item[a:b] == text[a + shift : b + shift]
             sums = np.cumsum(np.append(0, same))
-            good = np.flatnonzero(100 * (sums[width:] - sums[:-width]) >= self.least * width)
+            least = self.least if len(item) >= LEAST_WORDS else 100
+            good = np.flatnonzero(100 * (sums[width:] - sums[:-width]) >= least * width)
             if len(good):
                 lo, hi = int(good[0]), int(good[-1]) + width
                 row = d, k, a + lo + shift, a + lo, hi - lo, int(sums[hi] - sums[lo])
