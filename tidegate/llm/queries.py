@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, hmm, language, near, packing, pii, repeats, sharding, topk, urls
+from tidegate.llm import decontaminate, hmm, jaccard, language, near, packing, pii, repeats, sharding, topk, urls
 from tidegate.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,3 +215,28 @@ def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pii")
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.reported(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_jaccard",
+    f"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), {WORDS}) AS ws
+        FROM documents
+    ), s AS (
+        SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh
+        FROM w
+    ), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+    p AS (
+        SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS c
+        FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+    ), l AS (SELECT u, v FROM p WHERE 100 * c >= 80 * (nu + nv - c)),
+    b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+    r AS (SELECT doc_id, doc_id AS m FROM s UNION SELECT r.doc_id, b.v FROM r JOIN b ON b.u = r.m)
+    SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(m) AS component_id
+    FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, sh
+    """,
+)
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), size=5, percent=80)
