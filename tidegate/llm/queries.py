@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, hmm, jaccard, language, near, packing, pii, repeats, sharding, topk, urls
+from tidegate.llm import decontaminate, divergence, hmm, jaccard, language, near, packing, pii, repeats, sharding, topk, urls
 from tidegate.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,3 +240,47 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
+SHARES = "1 + (CAST(1000000000 AS HUGEINT) * ({} + 5)) // ({} + 5 * v)"
+SOURCES_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+    FROM documents
+), e AS (SELECT id, lang, source, unnest(ts) AS t FROM d),
+kept AS (SELECT lang, t FROM e GROUP BY lang, t HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, t, count(*) AS n FROM e JOIN kept USING (lang, t) GROUP BY ALL),
+l AS (SELECT lang, t, sum(n) AS n FROM c GROUP BY ALL),
+g AS (
+    SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = o.lang AND c.source = o.source), 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM d) o
+), w AS (SELECT lang, sum(total) AS total FROM g GROUP BY lang),
+p AS (
+    SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, {SHARES.format("coalesce(c.n, 0)", "total")} AS p
+    FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t
+), q AS (
+    SELECT l.lang, l.t, {SHARES.format("l.n", "total")} AS q FROM l JOIN w ON w.lang = l.lang JOIN v ON v.lang = l.lang
+), f AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+), r AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL
+    SELECT p.lang, p.source, 'term', p.t, p - q FROM p JOIN q ON q.lang = p.lang AND q.t = p.t WHERE n > 0 AND p > q
+), k AS (
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+        CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM r
+)
+SELECT * FROM k WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_divergence", SOURCES_SQL)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"), least=30, top=50)
