@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, divergence, hmm, jaccard, language, near, packing, pii, repeats, sharding, topk, urls
+from tidegate.llm import decontaminate, divergence, hmm, jaccard, language, near, packing, pii, repair, repeats, sharding, topk, urls
 from tidegate.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,3 +284,103 @@ SELECT * FROM k WHERE part = 'pair' OR rank <= 50
 @query("op11_divergence", SOURCES_SQL)
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+CRC = """
+xor(4294967295, list_reduce(
+    [4294967295::UBIGINT] || [ascii(x)::UBIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')],
+    lambda c, b: list_reduce([xor(c, b)] || [0::UBIGINT FOR z IN range(8)], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))
+))
+"""
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _way(state: str, cost: str, letters: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letters}'}}"
+
+
+def _if(condition: str, way: str) -> str:
+    return f"CASE WHEN {condition} THEN {way} ELSE {{'c': 1000000000, 'a': ''}} END"
+
+
+def _kept(initial: str, *states: str) -> str:
+    return ", ".join(_if(f"stays AND c = '{initial}'", _way(s, "t", "K")) for s in states)
+
+
+def _reroled(*states: str) -> str:
+    return ", ".join(_if("stays", _way(s, "2 + t", "R")) for s in states)
+
+
+INSERTED = f"""
+s0, s1, list_min([s2, {_way("s0", "2", "I")}, {_way("s1", "2", "I")}, {_way("s3", "2", "I")}]) AS i2,
+list_min([s3, {_way("s2", "2", "I")}, {_way("s0", "4", "II")}, {_way("s1", "4", "II")}]) AS i3
+"""
+CONVERSATIONS_SQL = f"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC} % 20 AS h FROM conversations),
+d AS (
+    SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+        CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM h WHERE h <> 0
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS c,
+        rtrim(text, {BLANKS}) AS z
+    FROM d
+), f AS (
+    SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+            WHEN right(z, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS joint
+    FROM o
+), k AS (SELECT conv_id, i, c, fault NOT IN ('blank', 'duplicate') AS stays, (fault = 'truncated')::INT AS t FROM f),
+walk AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': ''}} AS s0, {{'c': 1000000000, 'a': ''}} AS s1,
+        {{'c': 1000000000, 'a': ''}} AS s2, {{'c': 1000000000, 'a': ''}} AS s3
+    FROM conversations
+    UNION ALL
+    SELECT conv_id, i, {_way("s0", "3", "D")}, list_min([{_way("s1", "3", "D")}, {_kept("s", "s0")}]),
+        list_min([{_way("i2", "3", "D")}, {_kept("u", "s0", "s1", "i3")}, {_reroled("s0", "s1", "i3")}]),
+        list_min([{_way("i3", "3", "D")}, {_kept("a", "i2")}, {_reroled("i2")}])
+    FROM (SELECT w.conv_id, k.i, k.c, k.stays, k.t, {INSERTED} FROM walk w JOIN k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND k.i = w.i + 1)
+), e AS (
+    SELECT conv_id, list_min([s0, i3]) AS b FROM (
+        SELECT conv_id, {INSERTED} FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)
+), a AS (SELECT conv_id, b.c AS cost, b.a AS audit, unnest(range(1, length(b.a) + 1)) AS j FROM e),
+m AS (
+    SELECT conv_id, j, audit[j] AS x,
+        count(*) FILTER (audit[j] <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i,
+        count(*) FILTER (audit[j] <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS n
+    FROM a
+), r AS (
+    SELECT m.conv_id, m.j, m.x, m.n, o.role, o.text,
+        max((m.n = 1 AND m.x = 'K' AND o.c = 's')::INT) OVER (PARTITION BY m.conv_id) AS s
+    FROM m LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM m.conv_id AND o.i = m.i AND m.x <> 'I' WHERE m.x <> 'D'
+), w AS (
+    SELECT conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN (n - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+        || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS lines
+    FROM r GROUP BY conv_id
+), n AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (joint NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM f GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.c AS BIGINT) AS cost, b.a AS audit,
+    sha256(coalesce(lines, '')) AS repaired_sha256
+FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def damaged(turns: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The damage of the contract: the rows, which of them are gone, and how often each stands there."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", part("conv_id"), part("turn"))) % 20
+    rows = turns.select("conv_id", "turn", part("role").alias("role"), part("text").alias("text"), fault.alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text).withColumn("role", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")))
+    return rows, F.col("fault") == 0, F.when(F.col("fault") == 3, 2).otherwise(1)
+
+
+@query("op12_conversations", CONVERSATIONS_SQL)
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.Repair(*damaged(table(spark, sf_dir, "conversations"))).summary()
