@@ -7,9 +7,11 @@ and names the component of each. Nothing is estimated: every linked pair of diff
 2. Two linked sets share a shingle among the first ``n - ceil(n * percent / 100) + 1`` of each in any common order.
    The order is by how often a shingle's cell of a count table was seen, then by hash: shingles of passages that many
    documents hold come last and seldom count among the first.
-3. Sets that share such a shingle are its bucket. Each set is first compared with the bucket smallest node it shares
-   most buckets with; components of these links come next.
-4. Buckets that still hold different components are cut into bands of size (two linked sets are in one band or in
+3. Sets that share such a shingle are its bucket. Each set is compared with the smallest and the largest node of each of
+   its buckets: two rows for each member, and all there is to compare in buckets of up to three. Of the pairs that the
+   bitmaps (see 4) leave, those with the largest shared number of buckets are confirmed first; the others only where
+   they join different components.
+4. Larger buckets that still hold different components are cut into bands of size (two linked sets are in one band or in
    neighbours) and these into tiles of bounded size. In a tile a pair's bitmaps bound its overlap from above: half of
    the two sizes less the differing bits. What the bound lets pass is intersected as sorted arrays.
 
@@ -195,16 +197,14 @@ def most_common(x: np.ndarray, y: np.ndarray, n_x, n_y) -> np.ndarray:
     return (n_x + n_y - differing) // 2
 
 
-SETS = "node long, n int, bits binary, tokens binary, shingles binary"
+SETS = "node long, n int, bits binary, shingles binary"
 
 
-def _sets(size: int, percent: int, levels: Broadcast):
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tx.pieces(batches, "text"):
             h, bounds = shingle_sets(piece.column("text"), size)
             node = _fingerprints(h, bounds, 1)
-            token, owner = first_shingles(h, bounds, levels.value, percent)
-            ends = np.searchsorted(owner, np.arange(len(node) + 1))
             full = np.flatnonzero(np.diff(bounds))
             own = [h[bounds[d] : bounds[d + 1]] for d in full]
             yield pa.RecordBatch.from_arrays(
@@ -212,34 +212,51 @@ def _sets(size: int, percent: int, levels: Broadcast):
                     pa.array(node[full]),
                     pa.array(np.diff(bounds)[full].astype(np.int32)),
                     pa.array([bitmap(s) for s in own], pa.binary()),
-                    pa.array([np.sort(token[ends[d] : ends[d + 1]]).tobytes() for d in full], pa.binary()),
                     pa.array([s.tobytes() for s in own], pa.binary()),
                 ],
-                ["node", "n", "bits", "tokens", "shingles"],
+                ["node", "n", "bits", "shingles"],
             )
 
     return run
 
 
+def _likely(percent: int):
+    """Of pairs with both sets' bitmaps those that may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("bits_u", "bits_v", "n_u", "n_v"))
+            for bits_u, bits_v, n_u, n_v in zip(*columns, strict=True):
+                x, y = _folded([bits_u, bits_v])
+                both = most_common(x, y, n_u, n_v)
+                keep.append(bool(100 * both >= percent * (n_u + n_v - both)))
+            yield batch.select(["u", "v", "shared"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _linked(percent: int):
-    """Of pairs with both sets' bitmaps and shingles those that are linked."""
+    """Of pairs with both sets' shingles those that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for bits_u, bits_v, a, b in zip(*(batch.column(c) for c in ("bits_u", "bits_v", "set_u", "set_v")), strict=True):
+            for a, b in zip(batch.column("set_u"), batch.column("set_v"), strict=True):
                 a, b = np.frombuffer(a.as_buffer(), tx.U), np.frombuffer(b.as_buffer(), tx.U)
-                x, y = _folded([bits_u.as_py(), bits_v.as_py()])
-                enough = lambda both: 100 * both >= percent * (len(a) + len(b) - both)  # noqa: E731, B023
-                keep.append(
-                    bool(enough(most_common(x, y, len(a), len(b))))
-                    and enough(len(np.intersect1d(a, b, assume_unique=True)))
-                )
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+    found = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInArrow(_linked(percent), "u long, v long")
+    return saved(found, "links")
+
+
 def _band(percent: int) -> Column:
     """Number of a set's size band: a band reaches up to slightly more than the largest ratio of two linked sets."""
     return F.floor(F.log("n") / (math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9)).cast("long").alias("band")
@@ -265,15 +282,11 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     return tiled.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "node")
 
 
-def _first_common(a: bytes, b: bytes) -> int:
-    return int(np.intersect1d(np.frombuffer(a, tx.U), np.frombuffer(b, tx.U), assume_unique=True)[:1].view(np.int64)[0])
-
-
 def _compared(percent: int, exact: bool):
     """Compares what stands in one tile and is in different components.
 
-    Without ``exact``: the members that have a partner by the bound of the bitmaps. With it: the linked pairs, by
-    intersection, each in the bucket of the first shingle that the pair shares.
+    Without ``exact``: the members (token, node) that have a partner by the bound of the bitmaps; where ``near`` names
+    the buckets of each member, only in the first bucket of a pair. With it: the linked pairs, by intersection.
     """
 
     def tile(t: pa.Table) -> list[tuple[int, int]]:
@@ -284,9 +297,8 @@ def _compared(percent: int, exact: bool):
         across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
         bits = _folded(t.column("bits").to_pylist())
         token = t.column("token")[0].as_py()
-        if exact:
-            tokens = t.column("tokens").to_pylist()
-            sets = [np.frombuffer(x.as_buffer(), tx.U) for x in t.column("shingles")]
+        near = [np.array(x, np.int64) for x in t.column("near").to_pylist()] if "near" in t.column_names else None
+        sets = [np.frombuffer(x.as_buffer(), tx.U) for x in t.column("shingles")] if exact else []
         out: set[tuple[int, int]] = set()
         for x in range(len(node) - 1):
             rest = slice(x + 1, None)
@@ -298,17 +310,13 @@ def _compared(percent: int, exact: bool):
             if len(y):
                 both = most_common(bits[y], bits[x], n[y], n[x])
                 y = y[100 * both >= percent * (n[x] + n[y] - both)]
-            if not len(y):
-                continue
-            if not exact:
-                out.update((token, int(k)) for k in node[y])
-                out.add((token, int(node[x])))
-                continue
             for k in y.tolist():
-                if _first_common(tokens[x], tokens[k]) == token:
+                if exact:
                     both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
                     if 100 * both >= percent * (len(sets[x]) + len(sets[k]) - both):
                         out.add((int(node[x]), int(node[k])))
+                elif near is None or np.intersect1d(near[x], near[k], assume_unique=True)[0] == token:
+                    out |= {(token, int(node[x])), (token, int(node[k]))}
         return list(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,38 +340,56 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     levels = context.broadcast(_levels(measured))
 
     prefixes = saved(named.mapInArrow(_prefixes(size, percent, levels), "token long, node long, n int"), "prefixes")
-    buckets = prefixes.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last")
-    members = saved(prefixes.join(buckets.drop("last"), "token").distinct(), "members")
+    buckets = prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+    members = saved(prefixes.join(buckets, "token").distinct(), "members")
     active = saved(members.select("node").distinct(), "active")
     chosen = facts.filter("doc_id is not null").join(active, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = saved(
         named.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-        .mapInArrow(_sets(size, percent, levels), SETS)
+        .mapInArrow(_sets(size), SETS)
         .dropDuplicates(["node"]),
         "sets",
     )
     levels.unpersist()
-    stars = (
-        members.filter("node <> hub").groupBy("node", "hub").count()
-        .groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("v"))
-        .select(F.col("node").alias("u"), "v")
+    pairs = (
+        members.select("node", F.explode(F.array("lo", "hi")).alias("hub")).filter("node <> hub")
+        .groupBy(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).agg(F.count("*").alias("shared"))
     )
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("shingles").alias(f"set_{x}"))
-    first = saved(stars.join(side("u"), "u").join(side("v"), "v").mapInArrow(_linked(percent), "u long, v long"), "links")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    alike = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
+    likely = pairs.join(side("u"), "u").join(side("v"), "v").filter(alike)
+    likely = saved(likely.mapInArrow(_likely(percent), "u long, v long, shared long"), "likely")
+    best = likely.groupBy(F.col("v").alias("node")).agg(F.max_by("u", F.struct("shared", "u")).alias("u"))
+    links = _confirmed(best.select("u", F.col("node").alias("v")), sets, percent)
+    label = saved(components(links), "components")
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    apart = likely.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    more = _confirmed(apart.filter(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")), sets, percent)
+    if not more.isEmpty():
+        links = links.union(more)
+        label = saved(components(links), "components")
 
-    label = saved(components(first), "components")
     placed = saved(
         members.join(label, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c")), "placed"
     )
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
-    apart = placed.join(mixed, "token", "left_semi").join(sets.select("node", "bits"), "node")
-    near = saved(
-        _tiles(apart, percent).mapInArrow(_compared(percent, False), "token long, node long").distinct(), "near"
+    mixed = (
+        placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("sets"))
+        .filter("lo <> hi and sets > 3").select("token")
+    )
+    apart = placed.join(mixed, "token", "left_semi")
+    bits = sets.select("node", "bits")
+    members_left = lambda df: saved(
+        _tiles(df, percent).mapInArrow(_compared(percent, False), "token long, node long").distinct(), "near"
     )
+    near = members_left(apart.join(bits, "node"))
+    # the same once more, each pair in one bucket, before whole sets travel
+    buckets_of = near.groupBy("node").agg(F.collect_list("token").alias("near"))
+    apart = near.join(placed, ["token", "node"])
+    near = members_left(apart.join(bits, "node").join(buckets_of, "node"))
     whole = near.join(placed, ["token", "node"]).join(sets.drop("n"), "node")
-    second = saved(_tiles(whole, percent).mapInArrow(_compared(percent, True), "u long, v long"), "links")
-    if not second.isEmpty():
-        label = saved(components(first.union(second)), "components")
+    more = saved(_tiles(whole, percent).mapInArrow(_compared(percent, True), "u long, v long"), "links")
+    if not more.isEmpty():
+        label = saved(components(links.union(more)), "components")
 
     # a component is named by its smallest id
     grouped = facts.filter("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"))
