@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tidegate.llm import text as tx
 from tidegate.llm.graph import components
 from tidegate.llm.near import shingle_sets
+from tidegate.llm.repeats import SLOTS, BitMap
 from tidegate.llm.store import importable, saved
 
 #: Cells of the count table, and of one of the chunks it travels in. Four bytes a cell in a task, one when sent along.
@@ -150,8 +151,19 @@ def first_shingles(h: np.ndarray, bounds: np.ndarray, levels: np.ndarray, percen
     return h[order][kept], owner[kept]
 
 
-def _prefixes(size: int, percent: int, levels: Broadcast):
-    """Rows (token, node, n); copies that one task meets send theirs once."""
+def _bit_map(values: DataFrame) -> BitMap:
+    """Of the one column of ``values``; 16 MB at most. Where it is too small it also holds values that are not there."""
+    name = values.columns[0]
+    out = BitMap(min(max((16 * values.count()).bit_length(), SLOTS[0]), SLOTS[1]))
+    slot = F.col(name).bitwiseAND(F.lit((1 << out.slots) - 1))
+    bits = F.bit_or(F.expr("shiftleft(1L, int(slot % 32))")).alias("bits")
+    words = values.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(bits).toArrow()
+    out.words[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _prefixes(size: int, percent: int, levels: Broadcast, shared: Broadcast | None = None):
+    """Rows (token, node, n), of the shared tokens if they are told; copies that one task meets send theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -167,6 +179,8 @@ def _prefixes(size: int, percent: int, levels: Broadcast):
                 seen.clear()
             token, owner = first_shingles(h, bounds, levels.value, percent)
             keep = fresh[owner]
+            if shared is not None:
+                keep &= shared.value.has(token)
             token, owner = token[keep], owner[keep]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(token.view(np.int64)), pa.array(node[owner]), pa.array(np.diff(bounds)[owner].astype(np.int32))],
@@ -200,17 +214,39 @@ def most_common(x: np.ndarray, y: np.ndarray, n_x, n_y) -> np.ndarray:
 SETS = "node long, n int, bits binary, shingles binary"
 
 
-def _sets(size: int):
+def _chosen(node: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """Hash of a set and a document that has it."""
+    return tx.mix(tx.mix(doc_id.view(tx.U)) + node.view(tx.U))
+
+
+def _with_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = _chosen(*(batch.column(c).to_numpy() for c in ("node", "doc_id")))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["chosen"])
+
+
+def _sets(size: int, chosen: Broadcast):
+    """Bitmap and shingles of the sets of the chosen documents, once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for piece in tx.pieces(batches, "text"):
             h, bounds = shingle_sets(piece.column("text"), size)
             node = _fingerprints(h, bounds, 1)
-            full = np.flatnonzero(np.diff(bounds))
-            own = [h[bounds[d] : bounds[d + 1]] for d in full]
+            doc_id = piece.column("doc_id").cast(pa.int64()).to_numpy()
+            full = np.flatnonzero((np.diff(bounds) > 0) & chosen.value.has(_chosen(node, doc_id)))
+            fresh = []
+            for d in full.tolist():
+                if (value := int(node[d])) not in seen:
+                    seen.add(value)
+                    fresh.append(d)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            own = [h[bounds[d] : bounds[d + 1]] for d in fresh]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(node[full]),
-                    pa.array(np.diff(bounds)[full].astype(np.int32)),
+                    pa.array(node[fresh], pa.int64()),
+                    pa.array(np.diff(bounds)[fresh].astype(np.int32)),
                     pa.array([bitmap(s) for s in own], pa.binary()),
                     pa.array([s.tobytes() for s in own], pa.binary()),
                 ],
@@ -271,12 +307,14 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     own = members.withColumn("band", _band(percent)).withColumn("guest", F.lit(False))
     placed = own.union(own.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True)))
     many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    # bands without sets of their own, or with one set alone, compare nothing
+    # bands without sets of their own, or of one component, compare nothing
     counts = (
-        placed.groupBy("token", "band").agg(many.alias("blocks"), F.count_if(~F.col("guest")).alias("own_sets"), F.count("*").alias("sets"))
-        .filter("own_sets > 0 and sets > 1").drop("own_sets", "sets")
+        placed.groupBy("token", "band")
+        .agg(many.alias("blocks"), F.min(F.when(~F.col("guest"), F.col("n"))).alias("smallest"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        .filter("smallest is not null and lo <> hi").drop("lo", "hi")
     )
-    tiled = placed.join(counts, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiled = placed.join(counts, ["token", "band"]).filter(F.col("n") * 100 >= F.col("smallest") * percent).drop("smallest")
+    tiled = tiled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     tiled = tiled.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
     return tiled.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "node")
@@ -339,17 +377,19 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = texts.filter("doc_id is not null")
     levels = context.broadcast(_levels(measured))
 
-    prefixes = saved(named.mapInArrow(_prefixes(size, percent, levels), "token long, node long, n int"), "prefixes")
-    buckets = prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    members = saved(prefixes.join(buckets, "token").distinct(), "members")
+    tokens = lambda shared: named.mapInArrow(_prefixes(size, percent, levels, shared), "token long, node long, n int")
+    buckets = tokens(None).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+    buckets = saved(buckets, "buckets")
+    shared = context.broadcast(_bit_map(buckets.select("token")))
+    members = saved(tokens(shared).join(buckets, "token").distinct(), "members")
+    shared.unpersist()
     active = saved(members.select("node").distinct(), "active")
     chosen = facts.filter("doc_id is not null").join(active, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = saved(
-        named.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-        .mapInArrow(_sets(size), SETS)
-        .dropDuplicates(["node"]),
-        "sets",
-    )
+    chosen = context.broadcast(_bit_map(chosen.mapInArrow(_with_chosen, "chosen long")))
+    sets = saved(named.mapInArrow(_sets(size, chosen), SETS), "sets")
+    again = saved(sets.groupBy("node").count().filter("count > 1").select("node"), "sets-again")  # few: of several tasks
+    sets = sets.join(again, "node", "left_anti").union(sets.join(again, "node", "left_semi").dropDuplicates(["node"]))
+    chosen.unpersist()
     levels.unpersist()
     pairs = (
         members.select("node", F.explode(F.array("lo", "hi")).alias("hub")).filter("node <> hub")
