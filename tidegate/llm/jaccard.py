@@ -145,7 +145,8 @@ def first_shingles(h: np.ndarray, bounds: np.ndarray, levels: np.ndarray, percen
     """The shingles of each set two linked sets share one of, and the sets' numbers, set by set."""
     counts = np.diff(bounds)
     owner = tx.owners(bounds)
-    order = np.lexsort((h, levels[(h & tx.U(CELLS - 1)).astype(np.int64)], owner))
+    # hashes ascend within a set already
+    order = np.argsort((owner << 8) + levels[(h & tx.U(CELLS - 1)).astype(np.int64)], kind="stable")
     rank = np.arange(len(h)) - bounds[:-1][owner]
     kept = rank < (counts - -(-counts * percent // 100) + 1)[owner]
     return h[order][kept], owner[kept]
@@ -288,11 +289,17 @@ def _linked(percent: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    sets = _only(sets, pairs.select(F.explode(F.array("u", "v")).alias("node")))
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
     found = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInArrow(_linked(percent), "u long, v long")
     return saved(found, "links")
 
 
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of these nodes, filtered before they are shuffled where the nodes are few."""
+    return sets.join(saved(nodes.select("node").distinct(), "nodes"), "node", "left_semi")
+
+
 def _band(percent: int) -> Column:
     """Number of a set's size band: a band reaches up to slightly more than the largest ratio of two linked sets."""
     return F.floor(F.log("n") / (math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9)).cast("long").alias("band")
@@ -419,15 +426,15 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     apart = placed.join(mixed, "token", "left_semi")
     bits = sets.select("node", "bits")
     members_left = lambda df: saved(
-        _tiles(df, percent).mapInArrow(_compared(percent, False), "token long, node long").distinct(), "near"
+        _tiles(saved(df, "apart"), percent).mapInArrow(_compared(percent, False), "token long, node long").distinct(), "near"
     )
     near = members_left(apart.join(bits, "node"))
     # the same once more, each pair in one bucket, before whole sets travel
     buckets_of = near.groupBy("node").agg(F.collect_list("token").alias("near"))
     apart = near.join(placed, ["token", "node"])
     near = members_left(apart.join(bits, "node").join(buckets_of, "node"))
-    whole = near.join(placed, ["token", "node"]).join(sets.drop("n"), "node")
-    more = saved(_tiles(whole, percent).mapInArrow(_compared(percent, True), "u long, v long"), "links")
+    whole = near.join(placed, ["token", "node"]).join(_only(sets, near).drop("n"), "node")
+    more = saved(_tiles(saved(whole, "whole"), percent).mapInArrow(_compared(percent, True), "u long, v long"), "links")
     if not more.isEmpty():
         label = saved(components(links.union(more)), "components")
 
