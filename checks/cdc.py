@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,16 +12,19 @@ from checks.registry import query
 from tidegate.functions.images import raw_cell, typed
 from tidegate.functions.values import in_day, is_unsigned_number, local_time
 from tidegate.operators import changes as ch
+from tidegate.operators import schema
+from tidegate.operators.catalog import COLUMNS_DDL
 from tidegate.operators.changes import Route
-from tidegate.plans import apply_day
+from tidegate.plans import apply_day, repair
 from tidegate.session import scratch_path
 from tidegate.sources import bronze, canal, debezium
 from tidegate.sources.keyed_table import KeyedTable
 from tidegate.streaming import apply as streaming
+from tidegate.streaming import control, drift
 
-DAY = "2024-01-10"
-# Shanghai midnights around that day
-DAY_MS = (1704816000000, 1704902400000)
+DAY, NEXT_DAY = "2024-01-10", "2024-01-11"
+# Shanghai midnights around these days
+DAY_MS = (1704816000000, 1704902400000, 1704988800000)
 REPLAY_MS = 1705276800000
 
 SCHEMA = T.StructType(
@@ -33,7 +38,7 @@ SCHEMA = T.StructType(
         T.StructField("seen_at", T.StringType()),
     ]
 )
-ROUTE = Route(i.TOPIC, "accounts", ("id",), SCHEMA, guarded=("price",), local_times=("seen_at",))
+ROUTE = Route(i.TOPIC, "accounts", ("id",), SCHEMA, guarded=("price",), local_times=("seen_at",), whole_images=True)
 # partial images lack the price, so nothing guards it
 PARTIAL = Route(i.TOPIC, "accounts", ("id",), SCHEMA, local_times=("seen_at",))
 CANAL_SCHEMA = T.StructType(
@@ -189,7 +194,7 @@ FROM newest WHERE applied = 'upsert'"""
 APPLIED = "WITH " + i.log_sql() + ", kept AS (SELECT * FROM guarded)," + STATE
 IN_DAY = (
     "WITH " + i.log_sql()
-    + f", kept AS (SELECT * FROM guarded WHERE event_ms >= {DAY_MS[0]} AND event_ms < {DAY_MS[1]})," + STATE
+    + f", kept AS (SELECT * FROM guarded WHERE event_ms >= {DAY_MS[0]} AND event_ms < {DAY_MS[2]})," + STATE
 )
 
 
@@ -201,7 +206,7 @@ def replayed(raw, route):
     """State after a whole log; its truncates are looked for in the few texts that may hold one."""
     suspects = streaming.decode(raw.where(debezium.may_truncate(F.col("value"))), route)
     epoch = ch.truncate_epoch(ch.project(suspects, route))
-    return ch.latest(ch.project(streaming.decode(raw, route), route), list(route.keys), route.values, epoch)
+    return ch.latest(ch.project(streaming.decode(raw, route), route), list(route.keys), route.values, epoch, route.whole_images)
 
 
 @query("cdc_apply_latest", APPLIED + VISIBLE)
@@ -286,28 +291,56 @@ def apply_canal(spark, sf):
 
 
 @query("cdc_apply_day", IN_DAY + VISIBLE)
-def apply_one_day(spark, sf):
-    """Bronze by event date, the day job, and the target table as its readers see it."""
+def apply_two_days(spark, sf):
+    """Bronze by event date, the day job for two days, and the target table as its readers see it."""
     root = scratch_path(spark, "apply-day")
     bronze.append(debezium.decode(i.debezium_log(spark, sf)), f"{root}/bronze")
-    apply_day.run(spark, f"{root}/bronze", [ROUTE], f"{root}/target", DAY)
+    for day in (DAY, NEXT_DAY):
+        apply_day.run(spark, f"{root}/bronze", [ROUTE], f"{root}/target", day)
     return shown(KeyedTable(spark, f"{root}/target/accounts", ROUTE).read())
 
 
-def _stream(spark, raw, route, parts=3, files=8, **policy):
-    """Write a log in offset order, several files per part, and drain one part per micro-batch."""
-    root = scratch_path(spark, "stream")
-    raw.write.parquet(f"{root}/whole")
-    whole = spark.read.schema(bronze.RAW_SCHEMA).parquet(f"{root}/whole")
-    last = whole.agg(F.max("offset")).first()[0]
-    step = last // parts + 1
-    for n in range(parts):
-        part = whole.where((F.col("offset") >= n * step) & (F.col("offset") < (n + 1) * step))
-        part.repartition(files, "partition", "offset").write.mode("append").parquet(f"{root}/log")
-    table = KeyedTable(spark, f"{root}/target", route)
-    stream = bronze.table_stream(spark, f"{root}/log", max_files_per_trigger=files)
-    streaming.start(stream, table, f"{root}/checkpoint", drain=True, skip_bad=True, **policy).awaitTermination()
-    return table
+PARTS = 3
+# where a log in three parts is cut
+CUT_SQL = f"(SELECT max(event_id) // {PARTS} + 1 FROM events)"
+
+
+class Live:
+    """A log that arrives in bronze part by part, and streams that read it."""
+
+    def __init__(self, spark, raw, route):
+        self.spark, self.root, self.route = spark, scratch_path(spark, "stream"), route
+        raw.write.parquet(f"{self.root}/whole")
+        self.whole = spark.read.schema(bronze.RAW_SCHEMA).parquet(f"{self.root}/whole")
+        self.step = self.whole.agg(F.max("offset")).first()[0] // PARTS + 1
+
+    def arrive(self, part):
+        rows = self.whole.where((F.col("offset") >= part * self.step) & (F.col("offset") < (part + 1) * self.step))
+        if self.route.change_format == "canal":  # its messages carry no time of their own
+            dated = rows.withColumn("event_ms", F.unix_millis("timestamp"))
+        else:
+            dated = debezium.decode(rows)
+        bronze.append(dated, f"{self.root}/bronze")
+
+    def table(self, route=None):
+        return KeyedTable(self.spark, f"{self.root}/target", route or self.route)
+
+    def start(self, checkpoint="checkpoint", drain=True, interval="0 seconds", route=None, startup="earliest", timestamp_ms=None, **policy):
+        path = f"{self.root}/{checkpoint}"
+        rows = bronze.table_stream(self.spark, f"{self.root}/bronze", None, startup, timestamp_ms, path)
+        return streaming.start(rows, self.table(route), path, drain, interval, **{"skip_bad": True} | policy)
+
+    def run(self, **options):
+        self.start(**options).awaitTermination()
+
+
+def _stream(spark, raw, route, **policy):
+    """The stream is started anew for every part that has arrived."""
+    live = Live(spark, raw, route)
+    for part in range(PARTS):
+        live.arrive(part)
+        live.run(**policy)
+    return live.table()
 
 
 @query("stream_debezium_apply", APPLIED + VISIBLE)
@@ -331,3 +364,118 @@ SELECT count(*) AS rows, applied AS action FROM guarded WHERE applied NOT IN ('u
 def stream_quarantine(spark, sf):
     rejected = _stream(spark, i.debezium_log(spark, sf), ROUTE).quarantine()
     return rejected.groupBy(F.col(ch.ACTION).alias("action")).agg(F.count("*").alias("rows"))
+
+
+@query("stream_second_checkpoint", "WITH " + i.log_sql()
+       + f", kept AS (SELECT * FROM guarded WHERE event_id < {CUT_SQL} OR ms + 2000 >= {REPLAY_MS})," + STATE + VISIBLE)
+def stream_second_checkpoint(spark, sf):
+    """A stream with another checkpoint, from a record time on, beside what the first has written and no fold has."""
+    live = Live(spark, i.debezium_log(spark, sf), ROUTE)
+    live.arrive(0)
+    live.run()
+    for part in range(1, PARTS):
+        live.arrive(part)
+    live.run(checkpoint="another", startup="timestamp", timestamp_ms=REPLAY_MS)
+    return shown(live.table().read())
+
+
+@query("stream_startup_latest", "WITH " + i.log_sql()
+       + f", kept AS (SELECT * FROM guarded WHERE event_id >= {CUT_SQL})," + STATE + VISIBLE)
+def stream_startup_latest(spark, sf):
+    """Started at the latest record; the second part arrives while the stream is down."""
+    live = Live(spark, i.debezium_log(spark, sf), ROUTE)
+    live.arrive(0)
+    live.run(startup="latest")
+    for part in range(1, PARTS):
+        live.arrive(part)
+        live.run(startup="latest")
+    return shown(live.table().read())
+
+
+@query("stream_drain_idle", APPLIED + VISIBLE)
+def stream_drain_idle(spark, sf):
+    """A continuous stream that is stopped when nothing has come for a second."""
+    live = Live(spark, i.debezium_log(spark, sf), ROUTE)
+    for part in range(PARTS):
+        live.arrive(part)
+    drained = control.drain(live.start(drain=False), idle=1.0, longest=600.0)
+    if drained.reason != "idle":
+        raise RuntimeError(f"the drain ended by {drained.reason}")
+    return shown(live.table().read())
+
+
+def _schema(*without):
+    return T.StructType([f for f in SCHEMA.fields if f.name not in without])
+
+
+EARLY = Route(i.TOPIC, "accounts", ("id",), _schema("tags"), guarded=("price",), local_times=("seen_at",))
+LATE = Route(i.TOPIC, "accounts", ("id",), SCHEMA, guarded=("price",), local_times=("seen_at",))
+# a row that changed last before its table had the column, or was deleted since, has none
+TAGGED_LATE = "WITH " + i.log_sql() + ", kept AS (SELECT * FROM guarded)," + STATE + VISIBLE.replace(
+    "'{\"k\":' || k || '}' AS tags", f"CASE WHEN event_id >= {CUT_SQL} THEN '{{\"k\":' || k || '}}' END AS tags"
+)
+
+
+def _catalog(spark, names, types):
+    rows = [("shop", "public", "accounts", n, k + 1, types[n][0], types[n][1], None, True, None, None, None, "") for k, n in enumerate(names)]
+    return spark.createDataFrame(rows, COLUMNS_DDL)
+
+
+@query("stream_drift_repair", TAGGED_LATE)
+def stream_drift_repair(spark, sf):
+    """The source gets a column while the stream runs: the guard stops the batch, the target is evolved, the stream reads on."""
+    raw = i.debezium_log(spark, sf)
+    cut = raw.agg(F.max("offset")).first()[0] // PARTS + 1
+    bare = F.regexp_replace("value", r',"tags":\{"k":[0-9]+\}', "")
+    live = Live(spark, raw.withColumn("value", F.when(F.col("offset") < cut, bare).otherwise(F.col("value"))), EARLY)
+    arrived = lambda: spark.read.schema(bronze.TABLE_SCHEMA).parquet(f"{live.root}/bronze")
+    now = {"route": EARLY, "types": {f.name: "text" for f in EARLY.schema.fields}}
+
+    def source():
+        tagged = not arrived().where(F.col("value").contains('"tags"')).isEmpty()
+        names = (LATE if tagged else EARLY).schema.fieldNames()
+        return _catalog(spark, names, dict.fromkeys(names, ("text", "text")))
+
+    def target():
+        mapped = schema.match_columns(source(), source().limit(0)).select("name", "mapped_type").collect()
+        kinds = {r.name: r.mapped_type for r in mapped}
+        return _catalog(spark, now["route"].schema.fieldNames(), {n: (k, k) for n, k in kinds.items()})
+
+    def evolve(plan):
+        added = {r.column_name for r in plan.where("action = 'add'").collect()}
+        now["route"] = dataclasses.replace(EARLY, schema=_schema(*({"tags"} - added)))
+
+    def declared():
+        names = now["route"].schema.fieldNames()
+        return _catalog(spark, names, dict.fromkeys(names, ("text", "text")))
+
+    def start():
+        return live.start(route=now["route"], before=drift.guard(declared(), source, "debezium"))
+
+    def mend(query):
+        return repair.repair(query, declared(), source, target, evolve, start, "debezium")
+
+    changed = lambda: not drift.check(declared(), source(), "debezium").isEmpty()
+    steps = []
+    for part in range(PARTS):
+        live.arrive(part)
+        steps += repair.supervise(start, mend, changed).steps
+    if steps != ["stopped", "evolved", "resumed"]:
+        raise RuntimeError(f"unexpected repair: {steps}")
+    return shown(live.table(now["route"]).read())
+
+
+NARROW = Route(i.TOPIC, "accounts", ("id",), T.StructType(
+    [T.StructField("id", T.IntegerType()), *_schema("id", "tags").fields]), guarded=("price",), local_times=("seen_at",))
+
+
+@query("stream_schema_change", TAGGED_LATE)
+def stream_schema_change(spark, sf):
+    """Restarted on its checkpoint with one more column and a wider key; files of both kinds are read together."""
+    live = Live(spark, i.debezium_log(spark, sf), NARROW)
+    live.arrive(0)
+    live.run(compact_every=1)
+    for part in range(1, PARTS):
+        live.arrive(part)
+        live.run(route=LATE, compact_every=None)
+    return shown(live.table(LATE).read())

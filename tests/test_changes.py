@@ -1,4 +1,6 @@
+import dataclasses
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import types as T
 from tidegate.operators import changes as ch
 from tidegate.operators.changes import Route
 from tidegate.plans import apply_day
-from tidegate.sources import bronze, debezium
+from tidegate.sources import bronze, debezium, keyed_table
 from tidegate.sources.keyed_table import KeyedTable
 from tidegate.streaming.apply import decode
 
@@ -122,7 +124,7 @@ ENTRIES = [
 @pytest.mark.parametrize("split", [[10], [3, 7], [1, 4, 5], [2, 2, 2, 2, 2]])
 @pytest.mark.parametrize("compact", [False, True])
 def test_any_split_into_batches_gives_the_same_state(spark, tmp_path, split, compact):
-    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, buckets=4)
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, parts=4)
     start = 0
     for batch, size in enumerate(split):
         changes = ch.project(decode(log(spark, ENTRIES[start : start + size], start), ROUTE), ROUTE)
@@ -145,52 +147,79 @@ def test_replayed_changes_do_not_undo_newer_ones(spark, tmp_path):
 
 
 def test_unpublished_work_is_not_read(spark, tmp_path):
-    import pathlib
-
-    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE)
-    project = lambda part, start: ch.project(decode(log(spark, part, start), ROUTE), ROUTE)
-    table.append(0, project(ENTRIES[:2], 0))
-    table.append(1, project(ENTRIES[2:4], 2))
-    # a batch and a version whose jobs died before the marker was written
-    pathlib.Path(f"{tmp_path}/t/batch=1/_SUCCESS").unlink()
-    dead = pathlib.Path(f"{tmp_path}/t/buckets=8/version=9")
-    dead.mkdir(parents=True)
-    (dead / "part-00000.parquet").write_text("half a file")
-    assert table.batches() == [0] and table.version() is None
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, parts=4)
+    table.append(0, changes_of(spark, ENTRIES[:2]))
+    # a run and a version that died before their rows of commits and folds were written
+    kept, table._add = table._add, lambda *row: None
+    table.append(1, changes_of(spark, ENTRIES[2:4], 2))
+    table.compact()
+    table._add = kept
+    assert table.batches() == [("batches", 0)] and table.version() is None
     assert rows(table.read()) == [(1, "x", 1), (2, "y", 2)]
-    table.append(1, project(ENTRIES[2:4], 2))
+    table.append(1, changes_of(spark, ENTRIES[2:4], 2))
     assert table.compact() == 0
     assert rows(table.read()) == [(1, "x", 7)]
 
 
-def test_bucket_count_may_change(spark, tmp_path):
-    for batch, buckets in enumerate((3, 8, 5)):
-        table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, buckets)
+def test_part_count_may_change(spark, tmp_path):
+    for batch, parts in enumerate((3, 8, 5)):
+        table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, parts)
         start = batch * 2
-        table.append(batch, ch.project(decode(log(spark, ENTRIES[start : start + 2], start), ROUTE), ROUTE))
-        table.compact()
-        assert table.snapshot() == (batch, buckets)
-    assert rows(table.read()) == final(spark, ENTRIES[:6])
+        table.append(batch, changes_of(spark, ENTRIES[start : start + 2], start))
+        assert table.compact() == batch
+        assert rows(table.read()) == final(spark, ENTRIES[: start + 2])
     table.expire(keep=1)
-    assert table.snapshots() == [(2, 5)]
     assert rows(table.read()) == final(spark, ENTRIES[:6])
     assert table.quarantine().count() == 1
-    table.append(3, ch.project(decode(log(spark, ENTRIES[6:], 6), ROUTE), ROUTE))
+    table.append(3, changes_of(spark, ENTRIES[6:], 6))
     assert rows(table.read()) == final(spark, ENTRIES)
 
 
-def test_compaction_does_not_shuffle_the_snapshot(spark, tmp_path):
-    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE)
-    table.append(0, ch.project(decode(log(spark, ENTRIES[:2]), ROUTE), ROUTE))
+def test_one_changed_key_rewrites_one_part(spark, tmp_path):
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, parts=16)
+    every = [(message("c", {"id": k, "a": f"x{k}", "b": k}), k) for k in range(200)]
+    table.append(0, changes_of(spark, every))
     table.compact()
-    table.append(1, ch.project(decode(log(spark, ENTRIES[2:4], 2), ROUTE), ROUTE))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = table.state()._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "Bucketed: true" in plan
-    assert plan.count("Exchange hashpartitioning") == 1  # the changes
+    before = table.layout()
+    assert set(before) == set(range(16)) and len(set(before.values())) == 1
+    table.append(1, changes_of(spark, [(message("u", {"id": 77, "b": -1}), 77)], 200))
+    # what the fold reads of the state: one part of it
+    part = spark.createDataFrame([(77,)], "id long").select(table._part(16)).first()[0]
+    read = table._snapshot({part: before[part]}).inputFiles()
+    assert table.compact() == 1
+    after = table.layout()
+    assert [p for p in after if after[p] != before[p]] == [part] and len(after) == 16
+    assert os.listdir(f"{tmp_path}/t/state/_fold={after[part]}") == [f"_part={part}"]
+    assert read and all(f"_part={part}/" in f for f in read)
+    assert rows(table.read()) == sorted((k, f"x{k}", -1 if k == 77 else k) for k in range(200))
+
+
+def test_streams_that_number_alike_do_not_meet(spark, tmp_path):
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, parts=4)
+    table.append(0, changes_of(spark, ENTRIES[:1]), "one")
+    table.append(0, changes_of(spark, ENTRIES[1:2], 1), "two")
+    table.append(0, changes_of(spark, ENTRIES[1:2], 1), "two")
+    assert table.batches() == [("one", 0), ("two", 0)]
+    for _ in range(2):
+        assert rows(table.read()) == [(1, "x", 1), (2, "y", 2)]
+        table.compact()
+    assert table.batches() == []
+
+
+def test_columns_added_and_widened_between_batches(spark, tmp_path):
+    narrow = Route(ROUTE.topic, "t", ("id",), T.StructType.fromDDL("id int, b int"))
+    wide = Route(ROUTE.topic, "t", ("id",), T.StructType.fromDDL("id bigint, b bigint, a string"))
+    old = KeyedTable(spark, f"{tmp_path}/t", narrow, parts=4)
+    project = lambda route, entries, start: ch.project(decode(log(spark, entries, start), route), route)
+    old.append(0, project(narrow, ENTRIES[:2], 0))
+    old.compact()
+    old.append(1, project(narrow, [(message("c", {"id": 5, "b": 5}), 5), (message("c", {"id": 6, "b": 6}), 6)], 2))
+    new = KeyedTable(spark, f"{tmp_path}/t", wide, parts=4)
+    new.append(2, project(wide, [(message("u", {"id": 6, "b": 2**40}), 6), (message("c", {"id": 2**33, "a": "z"}), 2**33)], 4))
+    expected = [(1, 1, None), (2, 2, None), (5, 5, None), (6, 2**40, None), (2**33, None, "z")]
+    for _ in range(2):
+        assert rows(new.read()) == expected
+        new.compact()
 
 
 def test_day_job_is_repeatable_and_counts(spark, tmp_path):
@@ -240,15 +269,17 @@ def test_batches_below_the_snapshot_take_effect(spark, tmp_path):
     assert rows(table.read()) == expected
 
 
-def test_folders_stay_bounded(spark, tmp_path):
-    import os
-
-    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, buckets=2)
+def test_files_stay_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed_table, "SMALL_FILES", 3)
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, parts=2)
     for batch in range(8):
         table.append(batch, changes_of(spark, [ENTRIES[batch % len(ENTRIES)]], batch))
         table.compact()
-    folders = [n for n in os.listdir(tmp_path / "t") if n.startswith("batch=")]
-    assert len(folders) == 1 and len(table.snapshots()) == 2 and len(os.listdir(tmp_path / "t/epochs")) <= 4
+        assert rows(table.read()) == final(spark, ENTRIES[: batch + 1])
+    files = {n: [f for _, _, names in os.walk(tmp_path / "t" / n) for f in names if f.endswith(".parquet")] for n in os.listdir(tmp_path / "t")}
+    assert len(files["commits"]) <= 5 and len(files["folds"]) <= 5 and len(files["state"]) <= 6
+    usable = [d for d, _, names in os.walk(tmp_path / "t/changes") if d.endswith("_usable=true") and names]
+    assert len(usable) == 1 and table.quarantine().count() == 1
 
 
 @pytest.mark.parametrize("compact", [False, True])
@@ -277,3 +308,15 @@ def test_a_day_of_another_zone_is_whole(spark, tmp_path):
     bronze.append(debezium.decode(log(spark, entries)), f"{tmp_path}/bronze")
     counted = apply_day.run(spark, f"{tmp_path}/bronze", [ROUTE], f"{tmp_path}/out", "2026-09-01", zone="UTC")
     assert counted["t"]["upsert"] == 2
+
+
+def test_whole_images_are_found_by_one_comparison(spark):
+    whole = dataclasses.replace(ROUTE, whole_images=True)
+    full = lambda key, a, b: (message("c", {"id": key, "a": a, "b": b}), key)
+    entries = [full(1, "x", 1), full(2, "y", 2), (message("u", {"id": 1, "b": 9}), 1), full(1, "z", None), (message("d"), 2), full(3, None, 3)]
+    changes = ch.project(decode(log(spark, entries), whole), whole)
+    assert [r["_reason"] for r in changes.where(F.col(ch.ACTION) == "rejected").collect()] == ["a: not in the image"]
+    found = ch.latest(changes, ["id"], whole.values, None, True)
+    assert rows(ch.visible(found)) == [(1, "z", None), (3, None, 3)]
+    accepted = changes.where(F.col(ch.ACTION) != "rejected")
+    assert rows(found.drop(ch.ORDER)) == rows(ch.latest(accepted, ["id"], whole.values).drop(ch.ORDER))

@@ -33,6 +33,8 @@ class Route:
     guarded: tuple[str, ...] = ()
     local_times: tuple[str, ...] = ()
     change_format: str = field(default="debezium")
+    # every upsert carries every column: one comparison finds the row, and an image that lacks some is rejected
+    whole_images: bool = False
 
     @property
     def values(self) -> list[str]:
@@ -98,7 +100,10 @@ def project(classified: DataFrame, route: Route) -> DataFrame:
             problems.append(F.when(is_row & ~given, f"{f.name}: key is missing"))
             columns.append(value.alias(f.name))
         else:
-            columns.append(F.struct(value.alias("value"), F.col(f"_p_{f.name}").alias("present")).alias(f.name))
+            present = F.col(f"_p_{f.name}")
+            if route.whole_images:
+                problems.append(F.when(is_upsert & ~present, f"{f.name}: not in the image"))
+            columns.append(F.struct(value.alias("value"), present.alias("present")).alias(f.name))
     problem = F.nullif(F.concat_ws("; ", *problems), F.lit(""))
     applied = F.col("action").isin("upsert", "delete", "truncate")
     kept = applied & problem.isNull()
@@ -126,16 +131,22 @@ def after_truncate(changes: DataFrame, epoch: Column) -> DataFrame:
     return changes.where(F.coalesce(_against_truncate(F.col(ORDER)) > epoch, F.lit(True)))
 
 
-def fold(changes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+def fold(changes: DataFrame, keys: Sequence[str], values: Sequence[str], whole: bool = False) -> DataFrame:
     """Latest change per key as one aggregate with map-side combine.
 
     Per column the newest change that carries it wins, so partial upserts leave other columns
-    alone. A delete carries every column as NULL: what comes after it starts afresh.
+    alone. A delete carries every column as NULL: what comes after it starts afresh. With ``whole``
+    images the newest change has all columns, and is found by one comparison.
     """
     # a condition inside the aggregate, not a filter: the cells are computed once
     applied = F.col(ACTION).isin("upsert", "delete")
     order = F.when(applied, F.col(ORDER))
     deleted = F.col(ACTION) == "delete"
+    if whole:
+        row = F.struct(*[F.when(~deleted, F.col(v)["value"]).alias(v) for v in values], deleted.alias("_deleted"), order.alias(ORDER))
+        latest_rows = changes.groupBy(*keys).agg(F.max_by(row, order).alias("row")).where(F.col("row").isNotNull())
+        cells = [F.struct(F.col(f"row.{v}").alias("value"), F.col(f"row.{ORDER}").alias("at")).alias(v) for v in values]
+        return latest_rows.select(*keys, *cells, "row._deleted", f"row.{ORDER}")
     folded: list[Column] = []
     for name in values:
         carried = F.when(F.col(name)["present"] | deleted, order)
@@ -155,26 +166,26 @@ def flatten(folded: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Da
 
 
 def latest(
-    changes: DataFrame, keys: Sequence[str], values: Sequence[str], epoch: Column | None = None
+    changes: DataFrame, keys: Sequence[str], values: Sequence[str], epoch: Column | None = None, whole: bool = False
 ) -> DataFrame:
     """State rows that a whole change log leaves, tombstones included.
 
     ``epoch`` comes from ``truncate_epoch``; formats without truncates need none.
     """
     kept = changes if epoch is None else after_truncate(changes, epoch)
-    return flatten(fold(kept, keys, values), keys, values)
+    return flatten(fold(kept, keys, values, whole), keys, values)
 
 
 def merge(
-    base: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str], epoch: Column
+    base: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str], epoch: Column, whole: bool = False
 ) -> DataFrame:
     """A keyed state advanced by a change log that follows it.
 
-    The changes are folded first, so the join has one row per key on each side; a bucketed
-    base is not shuffled. A change at or before a row's order was already applied.
+    The changes are folded first, so the join has one row per key on each side. A change at or
+    before a row's order was already applied.
     """
     state = after_truncate(base, epoch)
-    news = fold(after_truncate(changes, epoch), keys, values)
+    news = fold(after_truncate(changes, epoch), keys, values, whole)
     old, new = state.alias("old"), news.alias("new")
     joined = old.join(new, list(keys), "full_outer")
     newer = lambda order: F.col(f"old.{ORDER}").isNull() | (order > F.col(f"old.{ORDER}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -15,6 +16,10 @@ from tidegate.sources.keyed_table import KeyedTable
 from tidegate.streaming.apply import decode
 
 
+# Fixed value: the stream that a table's days belong to.
+DAYS = "days"
+
+
 def day_changes(raw: DataFrame, route: Route, day: str, zone: str = DEFAULT_ZONE) -> DataFrame:
     """Classified changes of a topic; those of other days are marked, not dropped."""
     return decode(raw, route, in_day(F.col("event_ms"), day, zone))
@@ -22,7 +27,7 @@ def day_changes(raw: DataFrame, route: Route, day: str, zone: str = DEFAULT_ZONE
 
 def run(
     spark: SparkSession, bronze_path: str, routes: Sequence[Route], target_root: str, day: str | None = None,
-    zone: str = DEFAULT_ZONE, dry_run: bool = False, buckets: int | None = None,
+    zone: str = DEFAULT_ZONE, dry_run: bool = False, parts: int | None = None,
 ) -> dict[str, dict[str, int]]:
     """Apply a day (default: yesterday in the zone) and return the counters per target.
 
@@ -40,16 +45,19 @@ def run(
             continue
         seen = Observation(f"{route.table} {day}")
         changes = ch.project(classified, route).observe(seen, *ch.counters(ch.ACTION, ("rejected",)))
-        table = KeyedTable(spark, f"{target_root}/{route.table}", route, buckets)
+        table = KeyedTable(spark, f"{target_root}/{route.table}", route, parts)
         # the day number keeps batches in date order
-        table.append(int(day.replace("-", "")), changes)
+        table.append(int(day.replace("-", "")), changes, DAYS)
         counters[route.table] = dict(seen.get)
         table.compact()
     return counters
 
 
-def replay(
-    raw: DataFrame, route: Route, table: KeyedTable, since_ms: int, batch: int
-) -> None:
-    """Take a topic's records from a record time on once more, for a column added since then."""
-    table.append(batch, ch.project(decode(bronze.since(raw, since_ms), route), route))
+def replay(raw: DataFrame, route: Route, table: KeyedTable, since_ms: int, name: str | None = None) -> str:
+    """Take a topic's records from a record time on once more, for a column added since then.
+
+    Each replay is a stream of its own, so it replaces no other batch; under a ``name`` it replaces its own last run.
+    """
+    name = name or f"replay-{uuid.uuid4().hex}"
+    table.append(0, ch.project(decode(bronze.since(raw, since_ms), route), route), name)
+    return name

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.functions.values import DEFAULT_ZONE, local_date_of_ms
+from tidegate.sources import position
 
 RAW_SCHEMA = T.StructType(
     [
@@ -25,16 +25,13 @@ RAW_SCHEMA = T.StructType(
 # as it is stored: topic and event date are folders
 TABLE_SCHEMA = T.StructType([*RAW_SCHEMA.fields, T.StructField("event_date", T.StringType())])
 
-STARTUP_MODES = ("earliest", "latest", "timestamp")
-
 
 def kafka_options(
     servers: str, topics: list[str], startup: str = "latest", timestamp_ms: int | None = None,
     max_offsets_per_trigger: int | None = None,
 ) -> dict[str, str]:
     """Options of the Kafka source for a startup at the first, the newest or a dated record."""
-    if startup not in STARTUP_MODES:
-        raise ValueError(f"unknown startup mode: {startup}")
+    position.checked(startup, timestamp_ms)
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": ",".join(topics),
@@ -42,8 +39,6 @@ def kafka_options(
         "failOnDataLoss": "true",
     }
     if startup == "timestamp":
-        if timestamp_ms is None:
-            raise ValueError("startup 'timestamp' needs timestamp_ms")
         options["startingTimestamp"] = str(timestamp_ms)
     else:
         options["startingOffsets"] = startup
@@ -77,23 +72,25 @@ def kafka_batch(spark: SparkSession, servers: str, topics: list[str]) -> DataFra
 
 def table_stream(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None, startup: str = "earliest",
-    timestamp_ms: int | None = None,
+    timestamp_ms: int | None = None, checkpoint: str | None = None,
 ) -> DataFrame:
     """The bronze folder as a stream, for replays and where no broker is at hand.
 
-    ``startup`` is as for Kafka: from the first record, from a dated one, or only what is recorded from now on.
+    ``startup`` is as for Kafka: from the first record, from a dated one, or only what is recorded from now on. The
+    position is settled at the first start of ``checkpoint`` and kept there: what is recorded while the stream is down
+    is read when it is back.
     """
-    if startup not in STARTUP_MODES:
-        raise ValueError(f"unknown startup mode: {startup}")
-    if startup == "timestamp" and timestamp_ms is None:
-        raise ValueError("startup 'timestamp' needs timestamp_ms")
+    position.checked(startup, timestamp_ms)
+    if startup == "latest" and checkpoint is None:
+        raise ValueError("startup 'latest' needs the checkpoint that keeps its position")
     reader = spark.readStream.schema(TABLE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     rows = reader.parquet(path).select(*RAW_SCHEMA.fieldNames())
-    if startup == "latest":
-        timestamp_ms = int(time.time() * 1000)
-    return rows if startup == "earliest" else since(rows, timestamp_ms)
+    if checkpoint is None:
+        return since(rows, timestamp_ms) if startup == "timestamp" else rows
+    recorded = spark.read.schema(TABLE_SCHEMA).parquet(path)
+    return position.after_start(rows, position.begun(spark, checkpoint, startup, timestamp_ms, recorded))
 
 
 def with_event_date(decoded: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:

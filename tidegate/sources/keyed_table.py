@@ -1,24 +1,30 @@
-"""A keyed target on plain Parquet: a bucketed snapshot plus the change batches after it.
-
-Plain Parquet tables take no MERGE. Changes are appended batch by batch into folders of their
-own, which makes a repeated batch harmless; ``compact`` folds them into a new snapshot version
-with one full outer join. The snapshot is bucketed by key, so the join shuffles the changes
-only. Spark's ``_SUCCESS`` marker, written last, publishes a batch or a version; files of a
-run that died are never read and are overwritten by its repeat. One writer per table.
-
-A published batch is news until a snapshot holds it, whatever its number: repeats of a day,
-backfills and replays take effect. After a fold its batches get a ``_folded`` marker, which
-writing the batch again removes; the next fold deletes them, so readers of the last snapshot
-are not disturbed and the number of folders stays bounded. Folding a change twice is harmless,
-as the rows keep their order. The order of the last truncate is kept with the snapshot.
+"""A keyed target on plain Parquet: hashed parts of the state, and the changes after them.
+
+Four ordinary tables lie below the path:
+
+``changes``  rows of every batch, each under the name of the run that wrote it;
+``commits``  one row (stream, batch, run, at) for every batch that was written in full;
+``state``    latest row per key, tombstones included, by fold and part (a hash of the key);
+``folds``    one row for every version: the parts it wrote, the runs it took in, the last truncate.
+
+A batch is known by its stream and number, so streams that number their batches alike do not meet. Of several runs of
+one batch the last counts; what an earlier one left is replaced. The news is what an anti join of commits and folds
+leaves. ``compact`` folds it: it reads and writes only the parts the news has keys of, and takes effect with the
+row of its version; readers join the state with the newest version of each part. What a died run wrote has no such
+row and is never read. Folding a change twice is harmless, as rows keep their order. One writer per table.
+
+Columns may be added and types widened from one run to the next: older files are read in the newer schema, and a
+column they don't have counts as not carried by the change.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-import re
+import time
+import uuid
+from functools import reduce
+from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,61 +32,32 @@ from pyspark.sql import types as T
 from tidegate.operators import changes as ch
 from tidegate.operators.changes import ACTION, EPOCH_TYPE, ORDER, ORDER_TYPE, Route
 
+# Stream of batches whose caller names none, and files of small tables that are gathered into one.
+UNNAMED = "batches"
+SMALL_FILES = 256
+COMMITS = "stream string, batch bigint, run string, at bigint"
+FOLDS = f"version bigint, fold string, parts int, touched array<int>, runs array<string>, epoch {EPOCH_TYPE}"
 
-class KeyedTable:
-    """``buckets`` is for new snapshots and defaults to the session's shuffle partitions.
 
-    Spark joins a bucketed side in place when it has at least that many buckets. Each snapshot
-    carries its bucket count in its folder, so the count may change from one to the next.
-    """
+class KeyedTable:
+    """``parts`` defaults to the session's shuffle partitions; a table with another number is rewritten by its next fold."""
 
-    def __init__(self, spark: SparkSession, path: str, route: Route, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, route: Route, parts: int | None = None):
         self.spark, self.path, self.route = spark, path.rstrip("/"), route
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.keys, self.values = list(route.keys), route.values
 
-    # ------------------------------------------------------------------ layout
-
-    def _path(self, name: str):
-        """A path below the table and the file system it is on."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _published(self, pattern: str) -> list[str]:
-        """Finished folders below the table's path."""
-        marker, files = self._path(f"{pattern}/_SUCCESS")
-        return [f.getPath().getParent().toString() for f in files.globStatus(marker) or []]
-
-    def _marked(self, marker: str) -> set[int]:
-        pattern, files = self._path(f"batch=*/{marker}")
-        return {int(f.getPath().getParent().getName().rsplit("=", 1)[1]) for f in files.globStatus(pattern) or []}
-
-    def batches(self) -> list[int]:
-        """Numbers of the published batches that no snapshot holds yet, ascending."""
-        return sorted(self._marked("_SUCCESS") - self._marked("_folded"))
-
-    def snapshots(self) -> list[tuple[int, int]]:
-        """Versions of the published snapshots with their bucket counts, ascending."""
-        names = (re.search(r"buckets=(\d+)/version=(\d+)$", p) for p in self._published("buckets=*/version=*"))
-        return sorted((int(n.group(2)), int(n.group(1))) for n in names if n)
-
-    def snapshot(self) -> tuple[int, int] | None:
-        """The newest published snapshot."""
-        return max(self.snapshots(), default=None)
-
-    def version(self) -> int | None:
-        newest = self.snapshot()
-        return None if newest is None else newest[0]
+    # ----------------------------------------------------------------- schemas
 
     @property
     def batch_schema(self) -> T.StructType:
-        """Rows of a batch folder; declared, because a batch without changes writes no file."""
+        """Rows of a batch; declared, because a batch without changes writes no file."""
         schema = T.StructType([self.route.schema[k] for k in self.keys])
         for name in self.values:
             cell = T.StructType([T.StructField("value", self.route.schema[name].dataType)])
             schema = schema.add(name, cell.add("present", T.BooleanType()))
         schema = schema.add(ACTION, "string").add("_reason", "string").add(ORDER, T._parse_datatype_string(ORDER_TYPE))
-        for name in ("_raw_topic", "_raw_key", "_raw_value", "_usable"):
+        for name in ("_raw_topic", "_raw_key", "_raw_value", "_run", "_usable"):
             schema = schema.add(name, "string")
         return schema
 
@@ -91,135 +68,177 @@ class KeyedTable:
             schema = schema.add(name, self.route.schema[name].dataType)
         return schema.add("_deleted", T.BooleanType()).add(ORDER, T._parse_datatype_string(ORDER_TYPE))
 
-    def _table(self, version: int, buckets: int) -> str:
-        """Catalog name of a snapshot, the same in every session."""
-        return f"snapshot_{hashlib.md5(self.path.encode()).hexdigest()[:12]}_{version}_{buckets}"
-
-    def _folder(self, version: int, buckets: int) -> str:
-        return f"{self.path}/buckets={buckets}/version={version}"
-
-    def _read_snapshot(self, version: int, buckets: int) -> DataFrame:
-        """A snapshot with its bucketing, declared over its folder so no catalog must survive."""
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.state_schema.fields)
-        by = ", ".join(f"`{k}`" for k in self.keys)
-        name = self._table(version, buckets)
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
-            f"INTO {buckets} BUCKETS LOCATION '{self._folder(version, buckets)}'"
-        )
-        return self.spark.table(name)
+    def _rows(self, name: str, schema: T.StructType | str) -> DataFrame:
+        """One of the tables, without rows where nothing was written yet."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
-    # ----------------------------------------------------------------- writing
+    def _add(self, name: str, row: tuple, schema: str) -> None:
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
 
-    def append(self, batch: int, projected: DataFrame) -> None:
-        """Write one batch; repeating it replaces it. Rejected changes go to a folder of their own."""
-        usable = F.col(ACTION).isin("upsert", "delete", "truncate")
+    # ----------------------------------------------------------------- batches
+
+    def append(self, batch: int, projected: DataFrame, stream: str = UNNAMED) -> None:
+        """Write one batch; repeating it replaces it. Rejected changes stay with their reason and text."""
+        run = uuid.uuid4().hex
+        usable = F.col(ACTION).isin("upsert", "delete", "truncate").cast("string")
         (
-            projected.withColumn("_usable", usable)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy("_usable")
-            .parquet(f"{self.path}/batch={batch}")
+            projected.withColumns({"_run": F.lit(run), "_usable": usable})
+            .write.mode("append").partitionBy("_run", "_usable").parquet(f"{self.path}/changes")
         )
+        self._add("commits", (stream, batch, run, time.time_ns()), COMMITS)
 
-    def _remove_folded(self) -> None:
-        """Delete the changes that the newest snapshot holds; the rejected ones go to the quarantine."""
-        for batch in self._marked("_folded"):
-            folder, files = self._path(f"batch={batch}")
-            rejected, _ = self._path(f"batch={batch}/_usable=false")
-            if files.exists(rejected):
-                kept, _ = self._path(f"quarantine/batch={batch}")
-                files.mkdirs(kept)
-                for status in files.listStatus(rejected):
-                    files.rename(status.getPath(), kept)
-            files.delete(folder, True)
+    def commits(self) -> DataFrame:
+        """The run that counts for each batch."""
+        return self._rows("commits", COMMITS).groupBy("stream", "batch").agg(F.max_by("run", "at").alias("run"))
 
-    def compact(self, keep: int = 2) -> int | None:
-        """Fold all batches that are news into a new snapshot version and return it; old ones expire."""
-        self._remove_folded()
-        batches, version = self.batches(), self.version()
-        if not batches:
-            return version
-        newest = 0 if version is None else version + 1
-        epoch = self._epoch()
-        self._write_epoch(newest, self.spark.range(1).select(epoch.alias("e")).first()["e"])
-        (
-            self.state()
-            .write.mode("overwrite")
-            .format("parquet")
-            .bucketBy(self.buckets, *self.keys)
-            .sortBy(*self.keys)
-            .option("path", self._folder(newest, self.buckets))
-            .saveAsTable(self._table(newest, self.buckets))
-        )
-        for batch in batches:
-            marker, files = self._path(f"batch={batch}/_folded")
-            files.create(marker, True).close()
-        self.expire(keep)
-        return newest
-
-    def _write_epoch(self, version: int, epoch) -> None:
-        path, files = self._path(f"epochs/{version}")
-        out = files.create(path, True)
-        out.write(bytearray(json.dumps(None if epoch is None else epoch.asDict()).encode()))
-        out.close()
-
-    def _epoch(self) -> Column:
-        """Order of the last truncate, of those that the snapshot has folded and of the news."""
-        folded, newest, news = F.lit(None).cast(EPOCH_TYPE), self.version(), self.changes()
-        if newest is not None:
-            path, _ = self._path(f"epochs/{newest}")
-            text = self.spark.read.text(path.toString(), wholetext=True).first()[0]
-            folded = F.from_json(F.lit(text), EPOCH_TYPE)
-        return folded if news is None else F.greatest(folded, ch.truncate_epoch(news))
+    def news(self) -> DataFrame:
+        """The batches that no version holds yet."""
+        folded = self._rows("folds", FOLDS).select(F.explode("runs").alias("run"))
+        return self.commits().join(folded, "run", "left_anti")
 
-    def expire(self, keep: int = 2) -> None:
-        """Remove all but the newest snapshots; keep at least two, for readers still on the last."""
-        kept = self.snapshots()[-max(keep, 1) :]
-        for version, buckets in self.snapshots():
-            if (version, buckets) not in kept:
-                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(version, buckets)}")
-                folder, files = self._path(f"buckets={buckets}/version={version}")
-                files.delete(folder, True)
-                folder, files = self._path(f"epochs/{version}")
-                files.delete(folder, True)
-
-    # ----------------------------------------------------------------- reading
-
-    def _batch_rows(self, batches: list[int], usable: bool) -> DataFrame | None:
-        if not batches:
-            return None
-        folders = [f"{self.path}/batch={b}" for b in batches]
-        rows = self.spark.read.schema(self.batch_schema).option("basePath", self.path).parquet(*folders)
-        return rows.where(F.col("_usable") == str(usable).lower())
-
-    def changes(self) -> DataFrame | None:
-        """The changes that no snapshot holds yet."""
-        return self._batch_rows(self.batches(), True)
-
-    def quarantine(self) -> DataFrame | None:
+    def batches(self) -> list[tuple[str, int]]:
+        """Stream and number of the news, in order."""
+        return sorted((r.stream, r.batch) for r in self.news().collect())
+
+    def _of_runs(self, runs: DataFrame, usable: bool) -> DataFrame:
+        rows = self._rows("changes", self.batch_schema).where(F.col("_usable") == str(usable).lower())
+        return rows.join(runs.select(F.col("run").alias("_run")), "_run", "left_semi")
+
+    def changes(self) -> DataFrame:
+        """The changes that no version holds yet."""
+        return self._of_runs(self.news(), True)
+
+    def quarantine(self) -> DataFrame:
         """Rejected changes with their reason and raw text."""
-        recent = self._batch_rows(sorted(self._marked("_SUCCESS")), False)
-        folder, files = self._path("quarantine")
-        if not files.exists(folder):
-            return recent
-        schema = T.StructType([f for f in self.batch_schema.fields if f.name != "_usable"])
-        older = self.spark.read.schema(schema).parquet(folder.toString()).withColumn("_usable", F.lit("false"))
-        older = older.select(*self.batch_schema.fieldNames())
-        return older if recent is None else recent.select(*older.columns).unionByName(older)
+        return self._of_runs(self.commits(), False).drop("_run", "_usable")
+
+    # ------------------------------------------------------------------- state
+
+    def _newest(self) -> T.Row | None:
+        """The last fold."""
+        return self._rows("folds", FOLDS).orderBy(F.desc("version")).first()
+
+    def version(self) -> int | None:
+        newest = self._newest()
+        return None if newest is None else newest.version
+
+    def layout(self) -> dict[int, str]:
+        """For each part the fold that holds it. As many rows as the table has parts."""
+        newest = self._newest()
+        if newest is None:
+            return {}
+        folds = self._rows("folds", FOLDS).where(F.col("parts") == newest.parts).select("version", "fold", F.explode("touched").alias("part"))
+        return {r.part: r.fold for r in folds.groupBy("part").agg(F.max_by("fold", "version").alias("fold")).collect()}
+
+    def _snapshot(self, layout: dict[int, str]) -> DataFrame:
+        """State rows of these parts. The condition names folders alone, so other files are not opened."""
+        rows = self._rows("state", self.state_schema.add("_fold", T.StringType()).add("_part", T.IntegerType()))
+        by_fold: dict[str, list[int]] = {}
+        for part, fold in layout.items():
+            by_fold.setdefault(fold, []).append(part)
+        of = [(F.col("_fold") == fold) & F.col("_part").isin(parts) for fold, parts in sorted(by_fold.items())]
+        return rows.where(reduce(or_, of, F.lit(False))).drop("_fold", "_part")
+
+    def _part(self, parts: int) -> Column:
+        return F.pmod(F.xxhash64(*self._typed_keys()), F.lit(parts)).cast("int")
+
+    def _typed_keys(self) -> list[Column]:
+        """Whole numbers hash alike in every width, so that a widened key stays in its part."""
+        whole = (T.ByteType, T.ShortType, T.IntegerType)
+        return [F.col(k).cast("bigint") if isinstance(self.route.schema[k].dataType, whole) else F.col(k) for k in self.keys]
+
+    def _epoch(self, newest: T.Row | None, news: DataFrame) -> Column:
+        """Order of the last truncate, of those that the state has taken in and of the news."""
+        folded = F.lit(None).cast(EPOCH_TYPE)
+        if newest is not None and newest.epoch is not None:
+            folded = F.struct(*[F.lit(v).alias(n) for n, v in newest.epoch.asDict().items()]).cast(EPOCH_TYPE)
+        return F.greatest(folded, ch.truncate_epoch(news))
+
+    def compact(self, keep: int = 2) -> int | None:
+        """Fold the news into a new version of the parts it touches; returns the version that counts now."""
+        runs = [r.run for r in self.news().select("run").collect()]
+        newest = self._newest()
+        if not runs:
+            return None if newest is None else newest.version
+        version, layout = (0, {}) if newest is None else (newest.version + 1, self.layout())
+        fold = uuid.uuid4().hex
+        # what is committed from here on stays news
+        news = self._of_runs(self.spark.createDataFrame([(r,) for r in runs], "run string"), True)
+        epoch = self.spark.range(1).select(self._epoch(newest, news).alias("e")).first()["e"]
+        if newest is None or newest.parts == self.parts:
+            of_rows = news.where(F.col(ACTION).isin("upsert", "delete"))
+            touched = sorted(r[0] for r in of_rows.select(self._part(self.parts)).distinct().collect())
+            old = self._snapshot({p: layout[p] for p in touched if p in layout})
+        else:
+            touched, old = list(range(self.parts)), self._snapshot(layout)
+        if touched:
+            merged = ch.merge(old, news, self.keys, self.values, self._epoch(newest, news), self.route.whole_images)
+            (
+                merged.withColumns({"_fold": F.lit(fold), "_part": self._part(self.parts)})
+                .hint("rebalance", F.col("_part"))  # whole parts to a task, large ones to several
+                .write.mode("append").partitionBy("_fold", "_part").parquet(f"{self.path}/state")
+            )
+        self._add("folds", (version, fold, self.parts, touched, runs, epoch), FOLDS)
+        self.expire(keep)
+        return version
 
     def state(self) -> DataFrame:
         """Latest row per key, tombstones included."""
-        newest, news = self.snapshot(), self.changes()
-        if newest is None and news is None:
-            return self.spark.createDataFrame([], self.state_schema)
-        if news is None:
-            return self._read_snapshot(*newest)
-        epoch = self._epoch()
+        newest, news = self._newest(), self.changes()
+        epoch = self._epoch(newest, news)
         if newest is None:
-            return ch.latest(news, self.keys, self.values, epoch)
-        return ch.merge(self._read_snapshot(*newest), news, self.keys, self.values, epoch)
+            return ch.latest(news, self.keys, self.values, epoch, self.route.whole_images)
+        held = self._snapshot(self.layout())
+        if news.isEmpty():
+            return ch.after_truncate(held, epoch)
+        return ch.merge(held, news, self.keys, self.values, epoch, self.route.whole_images)
 
     def read(self) -> DataFrame:
         """The target as its readers see it."""
         return ch.visible(self.state()).select(*self.route.schema.fieldNames())
+
+    # ------------------------------------------------------------------ upkeep
+
+    def expire(self, keep: int = 2) -> None:
+        """Delete the changes that are folded, and parts that none of the last ``keep`` versions reads.
+
+        Keep at least two for readers still on the last one. Rejected changes stay. A file that is deleted late or
+        never is only room lost: no row leads to it.
+        """
+        newest = self._newest()
+        if newest is None:
+            return
+        folds = self._rows("folds", FOLDS)
+        last = newest.version - max(keep, 1) + 1  # changes folded since may still be read as news
+        done = folds.where(F.col("version") <= last).select(F.explode("runs").alias("run"))
+        held = folds.select("parts", "version", "fold", F.explode("touched").alias("part"))
+        later = held.select("parts", "part", F.col("version").alias("next"))
+        replaced = held.join(later, ["parts", "part"]).where((F.col("next") > F.col("version")) & (F.col("next") <= last))
+        layouts = folds.where(F.col("version") <= last).agg(F.max_by("parts", "version")).first()[0]
+        former = held.where((F.col("parts") != layouts) & (F.col("version") <= last))
+        gone = replaced.select("fold", "part").union(former.select("fold", "part")).distinct()
+        self._delete(
+            [f"changes/_run={r.run}/_usable=true" for r in done.collect()]
+            + [f"state/_fold={r.fold}/_part={r.part}" for r in gone.collect()]
+        )
+        for name, schema in (("commits", COMMITS), ("folds", FOLDS)):
+            self._gather(name, schema)
+
+    def _gather(self, name: str, schema: str) -> None:
+        """Many small files as one; a row that stands in both for a while says the same twice."""
+        rows = self._rows(name, schema)
+        files = rows.inputFiles()
+        if len(files) > SMALL_FILES:
+            rows.distinct().coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+            self._delete(files)
+
+    def _delete(self, names: list[str]) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(name if "://" in name or name.startswith(("/", "file:")) else f"{self.path}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,8 +1,9 @@
 """Continuous change application: decode each micro-batch and append it to a keyed table.
 
 The stream keeps no keyed state of its own; the target is the state. Offsets advance only
-after the batch is written, and a repeated batch replaces its own folder, so each change
-takes effect once. A restart with the same checkpoint goes on where the last one stopped.
+after the batch is written, and a repeated batch replaces what it wrote before, so each change
+takes effect once. A restart with the same checkpoint goes on where the last one stopped; one with another
+checkpoint is another stream, whose batches stand beside those of the first.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegate.operators.changes import ACTION, Route, counters, project
-from tidegate.sources import canal, debezium
+from tidegate.sources import canal, debezium, position
 from tidegate.sources.keyed_table import KeyedTable
 
 # Fixed value: time between two batches of a continuous run.
@@ -38,13 +39,14 @@ def _strict(changes: DataFrame) -> DataFrame:
 
 
 def batch_writer(
-    table: KeyedTable, skip_bad: bool = False, before: Callable[[DataFrame, int], None] | None = None,
-    compact_every: int | None = 64, on_counts: Callable[[int, dict], None] | None = None,
+    table: KeyedTable, stream: str, skip_bad: bool = False,
+    before: Callable[[DataFrame, int], None] | None = None, compact_every: int | None = 64,
+    on_counts: Callable[[int, dict], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """What happens to one micro-batch.
+    """What happens to one micro-batch of the named stream.
 
     Unreadable messages stop the stream, or go to the quarantine with ``skip_bad``. Every
-    ``compact_every`` batches are folded into the snapshot and their folders removed.
+    ``compact_every`` batches are folded into the state.
     """
 
     def write(raw: DataFrame, batch: int) -> None:
@@ -58,7 +60,7 @@ def batch_writer(
             *counters(ACTION, ("rejected",)),
             F.count_if(~F.col(ACTION).isin(*USABLE)).alias("quarantined"),
         )
-        table.append(batch, observed)
+        table.append(batch, observed, stream)
         if on_counts is not None:
             on_counts(batch, counts.get)
         if compact_every and batch % compact_every == compact_every - 1:
@@ -72,7 +74,8 @@ def start(
     **policy,
 ) -> StreamingQuery:
     """Run the stream: every ``interval``, or until the input is drained and then stop."""
-    writer = stream.writeStream.foreachBatch(batch_writer(table, **policy)).option(
+    name = position.begun(stream.sparkSession, checkpoint).stream
+    writer = stream.writeStream.foreachBatch(batch_writer(table, name, **policy)).option(
         "checkpointLocation", checkpoint
     )
     trigger = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=interval)
