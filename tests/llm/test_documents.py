@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -461,3 +462,11 @@ def test_shards_match_the_mixture(spark):
     assert all(difference <= 2 for _, difference in spread)
     again = sharding.interleaved(docs.repartition(5), 8, seed=4)
     assert placed.select("doc_id", "shard", "slot").exceptAll(again.select("doc_id", "shard", "slot")).count() == 0
+
+
+@pytest.mark.parametrize("token", ["漢1" + "字" * 1_000_000, "1" + "=" * 1_000_000, "a1" + "-" * 500_000 + "b" * 500_000, "7" * 1_000_000, "k1=" + "a" * 1_000_000 + "!", "a1@" + "b." * 500_000])
+def test_private_data_in_a_very_long_token(spark, token):
+    docs = spark.createDataFrame([(1, f"see {token} mail me@example.org now")], "doc_id long, text string")
+    started = time.time()
+    found = pii.reported(docs).first()
+    assert time.time() - started < 40 and "email:" in found.spans

@@ -96,8 +96,10 @@ def _discovered(tokens: DataFrame, base: DataFrame) -> DataFrame:
     # the last word of the text before, or the last two if that is a sign alone
     word = F.regexp_extract("left", r"([^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*[\x20]?[=:#]+)[\x20]*$", 1)
     rest = F.substring("found", F.length(label) + 1, F.lit(1 << 30))
-    lead = F.length(F.regexp_extract(rest, r"^[^A-Za-z0-9]*", 0))
-    value = F.regexp_replace(rest, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+    # signs at both ends go, each side read once from its end
+    signs = lambda text: F.length(F.regexp_extract(text, r"^[^A-Za-z0-9]*+", 0))
+    lead = signs(rest)
+    value = F.substring(rest, lead + 1, F.greatest(F.length(rest) - lead - signs(F.reverse(rest)), F.lit(0)))
     start = F.col("start") + F.length(label) + lead
     tokens = tokens.select(
         *key,
@@ -114,7 +116,7 @@ def _discovered(tokens: DataFrame, base: DataFrame) -> DataFrame:
         along.rowsBetween(0, Window.unboundedFollowing)
     )
     mixed = F.length(F.regexp_replace("value", "[^0-9]", "")) >= SECRET // 4
-    secret = (F.length("value") >= SECRET) & mixed & F.col("value").rlike("^[a-z0-9_-]*[a-z][a-z0-9_-]*$")
+    secret = (F.length("value") >= SECRET) & mixed & F.col("value").rlike("^[a-z0-9_-]++$") & F.col("value").rlike("[a-z]")
     seen = (
         tokens.select(*spans.columns)
         .union(spans)
