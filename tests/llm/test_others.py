@@ -1,10 +1,14 @@
 """URL rules, top-k search, components, the pipeline, and the queries against their SQL."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from cases import documents, empty, prose
 from oracle import connect, differences
 from pyspark.sql import functions as F
+from test_documents import brute_components
 
 import corpus_pipeline
 from tidegate.llm import graph, topk, urls
@@ -19,7 +23,7 @@ def test_query_against_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 # --- components --------------------------------------------------------------------------------------------------
@@ -143,3 +147,30 @@ def test_pipeline_takes_out_copies_and_benchmark(spark):
     assert sorted(r.doc_id for r in docs.collect()) == [0, 1, 2, 11]
     docs = corpus_pipeline.without_benchmark(spark, docs, SMALL)
     assert sorted(r.doc_id for r in docs.collect()) == [0, 1, 2]
+
+
+def test_pipeline_keeps_different_texts_under_one_id(spark):
+    base = prose(80, 21)
+    near = base.replace(base.split()[40], "other", 1)
+    rows = [(7, base), (7, prose(80, 22)), (7, prose(80, 22)), (3, near), (9, prose(80, 23)), (None, base), (11, None), (12, ""), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as component_id", "'x' as lang")
+    found = corpus_pipeline.without_near_duplicates(spark, docs, SMALL)
+    # brute force over the different rows: each linked group keeps its smallest id
+    different = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+    groups = brute_components([(k, t) for k, (_, t) in enumerate(different)], 5, 80)
+    kept = Counter(different[k] for k in {component for _, component in groups.values()})
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == kept + Counter([(None, base)])
+    assert (3, near) in kept and (7, base) not in kept and len(kept) == 5
+    assert found.columns == docs.columns
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    pairs = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    groups = brute_components(pairs, 5, 80)
+    found = corpus_pipeline.without_near_duplicates(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in found.collect()) == sorted({component for _, component in groups.values()})
+    masked = {r.doc_id: r.text for r in corpus_pipeline.without_private_data(spark, docs, SMALL).collect()}
+    for doc_id, text in pairs:
+        mails = re.findall(r"(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", text)
+        assert all(m not in masked[doc_id] for m in mails) and (mails or masked[doc_id].count("[EMAIL]") == text.count("[EMAIL]"))
