@@ -54,7 +54,7 @@ def texts():
         yield " ".join(random.choices(own, k=random.randrange(40))) + " 12-x_y", lang, source
 
 
-@pytest.mark.parametrize("limits", [{}, {"SHARD": 5, "TILE": 2, "STEP": 3, "BLOCK_BYTES": 1}])
+@pytest.mark.parametrize("limits", [{}, {"SHARD": 5, "TILE": 2, "PART": 4, "STEP": 2, "BLOCK_BYTES": 1}])
 def test_audit(spark, limits, monkeypatch):
     for name, value in limits.items():
         monkeypatch.setattr(divergence, name, value)

@@ -7,7 +7,7 @@
 3. Shards are broadcast in blocks of bounded size. The second pass over the texts looks every different word of a slice
    up once and adds its occurrences to the dense slots of the group (lang, source); what is not zero is summed by Spark.
 4. A kept term's share in a group is ``1 + floor(scale * (count + smoothing) / (N + smoothing * V))``. Part ``pair``
-   sums the differences of shares over all kept terms, for tiles of sources, shard by shard. Part ``term`` names the
+   sums the differences of shares over all kept terms, for tiles of sources and slots. Part ``term`` names the
    terms whose share in a group is above that in its language.
 
 Null texts, languages and sources are ''. A repeated row is a document of its own. Ties are ordered by the bytes of the
@@ -34,8 +34,8 @@ from tidegate.llm.store import importable, saved
 SLICE, SHARD, BLOCK_BYTES = 8 << 20, 1 << 17, 64 << 20
 #: Slots that a task holds before it hands on what it counted.
 SLOTS = 1 << 22
-#: Sources of one tile, and slots that are compared at once.
-TILE, STEP = 256, 4096
+#: Sources of one tile, its slots, and slots that are compared at once.
+TILE, PART, STEP = 256, 8192, 2048
 #: Levels of a perfect hash, and bits for each term of a level. Terms left after the last level are listed.
 LEVELS, ROOM = 32, 2
 
@@ -286,9 +286,9 @@ def share(count: Column, total: Column, terms: Column, scale: int, smoothing: in
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per tile of sources and shard the sums of differences of each pair of sources.
+    """Per tile of sources and slots the sums of differences of each pair of sources.
 
-    Rows come sorted by lang, shard, tile and step; step -1 tells the sources and their share of a term they don't hold.
+    Rows come sorted by lang, shard, part, tile and step; step -1 tells the sources and their share of a term they don't hold.
     """
     names = ["lang", "source", "item", "value"]
     tile, sources, rest, own, n = None, [], None, None, 0
@@ -300,13 +300,13 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         # slots that no source of the tile holds a term of, and the steps that had no row at all
         total = sums + (n - done) * np.abs(rest[:, None] - rest[None, :])
-        a, b = np.nonzero(np.triu(np.ones_like(total, bool), 1) & ((own[:, None] != own[None, :]) | (tile[2] == tile[3])))
+        a, b = np.nonzero(np.triu(np.ones_like(total, bool), 1) & ((own[:, None] != own[None, :]) | (tile[3] == tile[4])))
         columns = ([tile[0]] * len(a), [sources[k] for k in a], [sources[k] for k in b], total[a, b])
         kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    for t in tx.runs(batches, ("lang", "shard", "i", "j", "step")):
-        key = tuple(t.column(c)[0].as_py() for c in ("lang", "shard", "i", "j"))
+    for t in tx.runs(batches, ("lang", "shard", "part", "i", "j", "step")):
+        key = tuple(t.column(c)[0].as_py() for c in ("lang", "shard", "part", "i", "j"))
         if t.column("step")[0].as_py() < 0:
             yield from finished()
             tile, sources = key, t.column("source").to_pylist()
@@ -355,16 +355,19 @@ def audited(docs: DataFrame, least: int = 30, top: int = 50, scale: int = 10**9,
     # differences between sources
     tiles = groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     placed = groups.filter("v > 0").join(tiles, "lang").withColumn("own", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int"))
-    absent = placed.join(shards, "lang").select(
-        "lang", "source", "shard", "own", "tiles", F.lit(-1).cast("long").alias("step"), F.col("n").alias("slot"),
+    parts = shards.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART))))
+    absent = placed.join(parts, "lang").select(
+        "lang", "source", "shard", "part", "own", "tiles", F.lit(-1).cast("long").alias("step"),
+        F.least(F.lit(PART).cast("long"), F.col("n") - F.col("part") * PART).alias("slot"),
         share(F.lit(0), F.col("total"), F.col("v"), scale, smoothing).alias("p"),
     )
     present = cells.join(placed, ["lang", "source"]).select(
-        "lang", "source", "shard", "own", "tiles", F.floor(F.col("slot") / STEP).alias("step"), "slot", p("count").alias("p")
+        "lang", "source", "shard", F.floor(F.col("slot") / PART).alias("part"), "own", "tiles",
+        F.floor(F.col("slot") / STEP).alias("step"), "slot", p("count").alias("p"),
     )
     tiled = present.union(absent).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
     tiled = tiled.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    key = ["lang", "shard", "i", "j"]
+    key = ["lang", "shard", "part", "i", "j"]
     sums = (
         tiled.repartition(*key).sortWithinPartitions(*key, "step", "slot")
         .mapInArrow(_differences, "lang string, source string, item string, value long")
