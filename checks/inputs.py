@@ -344,16 +344,17 @@ def pick_sql(rows: list[tuple], index: int, at: str, cast: str = "VARCHAR") -> s
     return f"CAST(list_extract([{', '.join(texts)}], CAST({at} AS INTEGER) + 1) AS {cast})"
 
 
-def columns(spark: SparkSession, sf: str, source_type: str = "mysql", extra: tuple[str, ...] = ()) -> DataFrame:
-    """A column catalog from the parts: 16 columns per table, 64 tables per database."""
+def columns(spark: SparkSession, sf: str, source_type: str = "mysql", extra: tuple[str, ...] = (), schemas: int = 1) -> DataFrame:
+    """A column catalog from the parts: 16 columns per table, 64 tables per database, each name in one or two schemas."""
     rows = TYPES[source_type]
     key = F.col("p_partkey")
+    block = F.floor(key / 16)
     at = F.pmod(key + F.col("p_size"), F.lit(len(rows)))
     shown = _FIELDS[:5] + extra
     return table(spark, sf, "part").select(
         F.concat(F.lit("db_"), F.floor(key / 1024)).alias("database"),
-        F.lit("public").alias("schema_name"),
-        F.concat(F.lit("t_"), F.floor(key / 16)).alias("table_name"),
+        F.when(block % schemas == 0, "public").otherwise("audit").alias("schema_name"),
+        F.concat(F.lit("t_"), F.floor(block / schemas)).alias("table_name"),
         F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), key).alias("name"),
         (F.pmod(key, F.lit(16)) + 1).cast("int").alias("ordinal_position"),
         *[pick(rows, _FIELDS.index(f), at, "int" if f in _INTS else "string").alias(f) for f in shown],
@@ -363,7 +364,7 @@ def columns(spark: SparkSession, sf: str, source_type: str = "mysql", extra: tup
     )
 
 
-def columns_sql(name: str = "cols", source_type: str = "mysql") -> str:
+def columns_sql(name: str = "cols", source_type: str = "mysql", schemas: int = 1) -> str:
     rows = TYPES[source_type]
     at = f"((p_partkey + p_size) % {len(rows)})"
     fields = ",\n    ".join(
@@ -372,7 +373,9 @@ def columns_sql(name: str = "cols", source_type: str = "mysql") -> str:
     default = pick_sql(DEFAULTS, 0, f"(p_size % {len(DEFAULTS)})")
     return f"""
 {name} AS (
-  SELECT 'db_' || (p_partkey // 1024) AS database, 'public' AS schema_name, 't_' || (p_partkey // 16) AS table_name,
+  SELECT 'db_' || (p_partkey // 1024) AS database,
+    CASE WHEN p_partkey // 16 % {schemas} = 0 THEN 'public' ELSE 'audit' END AS schema_name,
+    't_' || (p_partkey // {16 * schemas}) AS table_name,
     replace(p_name, ' ', '_') || '_' || p_partkey AS name, CAST(p_partkey % 16 + 1 AS INTEGER) AS ordinal_position,
     {fields},
     {default} AS column_default, p_size > 10 AS is_nullable, p_brand || ' ' || lower(p_type) AS comment,
@@ -383,8 +386,8 @@ def columns_sql(name: str = "cols", source_type: str = "mysql") -> str:
 
 def target_columns(spark: SparkSession, sf: str) -> DataFrame:
     """The store's catalog after a sync of ``columns``, with defects by brand and table."""
-    source = columns(spark, sf, extra=("store",)).withColumn("brand", F.substring_index("comment", " ", 1))
-    block = F.substring_index("table_name", "_", -1).cast("bigint")
+    source = columns(spark, sf, extra=("store",), schemas=2).withColumn("brand", F.substring_index("comment", " ", 1))
+    block = F.substring_index("table_name", "_", -1).cast("bigint") * 2 + (F.col("schema_name") == "audit").cast("int")
     brand = F.col("brand")
     kept = source.where((brand != "Brand#5") & (F.pmod(block, F.lit(10)) != 3)).select(
         "database", "schema_name", "table_name", "name", "ordinal_position",
@@ -408,13 +411,15 @@ tcols AS (
   UNION ALL
   SELECT * REPLACE (name || '_old' AS name) FROM kept WHERE p_brand = 'Brand#9'),
 matched AS (
-  SELECT coalesce(s.table_name, t.table_name) AS table_name, coalesce(s.name, t.name) AS name,
+  SELECT coalesce(s.database, t.database) AS database, coalesce(s.schema_name, t.schema_name) AS schema_name,
+    coalesce(s.table_name, t.table_name) AS table_name, coalesce(s.name, t.name) AS name,
     s.name IS NOT NULL AS in_source, t.name IS NOT NULL AS in_target,
     s.column_type AS source_type, t.column_type AS target_type, s.store,
     s.name IS NOT NULL AND t.name IS NOT NULL AND lower(s.store) <> lower(t.column_type) AS type_differs,
     s.name IS NOT NULL AND t.name IS NOT NULL AND s.is_nullable <> t.is_nullable AS nullable_differs,
     s.ordinal_position AS source_position, t.ordinal_position AS target_position
-  FROM cols s FULL OUTER JOIN tcols t ON s.table_name = t.table_name AND s.name = t.name)
+  FROM cols s FULL OUTER JOIN tcols t
+    ON s.database = t.database AND s.schema_name = t.schema_name AND s.table_name = t.table_name AND s.name = t.name)
 """
 
 

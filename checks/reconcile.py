@@ -9,6 +9,7 @@ from checks.registry import query
 from tidegate.operators import reconcile as rc
 from tidegate.operators.reconcile import Pair
 from tidegate.plans import reconcile_run
+from tidegate.session import scratch_path
 
 
 def order_pairs(spark, sf):
@@ -133,19 +134,19 @@ def metric(spark, sf):
     return rc.metric(order_pairs(spark, sf), METRIC)
 
 
-METADATA = "WITH " + i.columns_sql() + "," + i.TARGET_COLUMNS_SQL + """,
+METADATA = "WITH " + i.columns_sql(schemas=2) + "," + i.TARGET_COLUMNS_SQL + """,
 per AS (
-  SELECT table_name, count(*) FILTER (in_source) AS source_columns, count(*) FILTER (in_target) AS target_columns,
+  SELECT database, schema_name, table_name, count(*) FILTER (in_source) AS source_columns, count(*) FILTER (in_target) AS target_columns,
     count(*) FILTER (NOT in_target) AS to_add, count(*) FILTER (NOT in_source) AS to_drop,
     count(*) FILTER (type_differs OR nullable_differs) AS to_modify
-  FROM matched GROUP BY table_name)
+  FROM matched GROUP BY database, schema_name, table_name)
 SELECT *, CASE WHEN target_columns = 0 THEN 'target_missing' WHEN to_add + to_drop + to_modify = 0 THEN 'ok'
                ELSE 'mismatch' END AS status FROM per"""
 
 
 @query("reconcile_metadata", METADATA)
 def metadata(spark, sf):
-    return rc.metadata(i.columns(spark, sf), i.target_columns(spark, sf))
+    return rc.metadata(i.columns(spark, sf, schemas=2), i.target_columns(spark, sf))
 
 
 @query("reconcile_key_diff", "WITH " + i.ORDERS_SQL + """
@@ -193,3 +194,80 @@ def task_alerts(spark, sf):
     )
     details = reconcile_run.details(spark, task, lambda name: i.table(spark, sf, name), target)
     return rc.alerts(details).select("table", "status")
+
+
+@query("reconcile_run_with_failure", "WITH " + i.ORDERS_SQL + """
+SELECT 'orders' AS "table", 'mismatch' AS status, (SELECT count(*) FROM src) AS source_count, (SELECT count(*) FROM tgt) AS target_count
+UNION ALL SELECT 'lineitem', 'ok', count(*), count(*) FROM lineitem
+UNION ALL SELECT 'events', 'source_error', NULL, NULL
+UNION ALL SELECT 'customer', 'ok', count(*), count(*) FROM customer
+UNION ALL SELECT 'part', 'target_missing', NULL, NULL""")
+def run_with_failure(spark, sf):
+    """A recorded run in which one source and one target break while they are read."""
+
+    def broken(name):
+        rows = i.table(spark, sf, name)
+        return rows.where(F.raise_error(F.concat(F.lit("lost block of "), F.col(rows.columns[0]).cast("string"))).isNull())
+
+    source = lambda name: broken(name) if name == "events" else i.orders(spark, sf) if name == "orders" else i.table(spark, sf, name)
+    target = lambda name: broken(name) if name == "part" else i.orders_target(spark, sf) if name == "orders" else i.table(spark, sf, name)
+    history = scratch_path(spark, "runs")
+    task = reconcile_run.Task("counts", "row_count", ("orders", "lineitem", "events", "customer", "part"))
+    run = reconcile_run.record(spark, task, source, target, history)
+    if run["status"] != "success":
+        raise RuntimeError(run["error"])
+    found = spark.read.option("mergeSchema", "true").parquet(f"{history}/details")
+    return found.select("table", "status", "source_count", "target_count")
+
+
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LINE_VALUES = ["l_quantity", "l_returnflag", "l_shipdate"]
+
+
+def lines(spark, sf):
+    return i.table(spark, sf, "lineitem").select(*LINE, *LINE_VALUES)
+
+
+def lines_target(spark, sf):
+    """A sixth of all lines with another quantity, some without, and some more."""
+    rows = lines(spark, sf)
+    part = F.col("l_partkey")
+    changed = rows.withColumn("l_quantity", F.when(part % 6 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    more = rows.where(part % 101 == 1).withColumn("l_suppkey", -F.col("l_suppkey") - 1)
+    return changed.where(part % 97 != 2).unionByName(more)
+
+
+def _lines_sql(source):
+    text = "l_quantity || '|' || l_returnflag || '|' || l_shipdate"
+    return f"SELECT {', '.join(LINE)}, count(*) AS n, list_sort(list({text})) AS v FROM {source} GROUP BY {', '.join(LINE)}"
+
+
+@query("reconcile_key_diff_deep", f"""
+WITH changed AS (
+  SELECT * REPLACE (CASE WHEN l_partkey % 6 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity) FROM lineitem),
+moved AS (
+  SELECT * FROM changed WHERE l_partkey % 97 <> 2
+  UNION ALL SELECT * REPLACE (-l_suppkey - 1 AS l_suppkey) FROM lineitem WHERE l_partkey % 101 = 1),
+s AS ({_lines_sql("lineitem")}), t AS ({_lines_sql("moved")})
+SELECT {', '.join(LINE)}, CASE WHEN t.n IS NULL THEN 'missing_in_target' WHEN s.n IS NULL THEN 'extra_in_target' ELSE 'changed' END AS change,
+  coalesce(s.n, 0) AS source_rows, coalesce(t.n, 0) AS target_rows
+FROM s FULL OUTER JOIN t USING ({', '.join(LINE)}) WHERE s.v IS DISTINCT FROM t.v""")
+def key_diff_deep(spark, sf):
+    """Scattered differences; the source's tree is the one an earlier run has kept."""
+    source, target = lines(spark, sf), lines_target(spark, sf)
+    depth = rc.depth_for(source.count(), leaf_rows=16)
+    kept = scratch_path(spark, "digests")
+    rc.key_digests(source, LINE, LINE_VALUES, depth).write.parquet(kept)
+    return rc.key_diff_deep(source, target, LINE, LINE_VALUES, depth, source_digests=spark.read.parquet(kept))
+
+
+@query("reconcile_distinct_screen", "WITH " + i.ORDERS_SQL + " UNION ALL ".join(
+    f""" SELECT '{c}' AS "column", CASE WHEN EXISTS (SELECT {c} FROM src WHERE {c} IS NOT NULL EXCEPT SELECT {c} FROM tgt)
+    OR EXISTS (SELECT {c} FROM tgt WHERE {c} IS NOT NULL EXCEPT SELECT {c} FROM src) THEN 'mismatch' ELSE 'ok' END AS status"""
+    for c in PROFILED))
+def distinct_screen(spark, sf):
+    """Different estimates prove a difference; equal ones fall through to the values."""
+    source, target = i.orders(spark, sf), i.orders_target(spark, sf)
+    by_day = [rc.distinct_sketches(source.where(half), PROFILED) for half in ("o_orderkey % 2 = 0", "o_orderkey % 2 <> 0")]
+    kept = rc.merged_sketches(by_day[0].unionByName(by_day[1]))
+    return rc.distinct_values(source, target, PROFILED, source_sketches=kept).select("column", "status")

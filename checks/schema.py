@@ -10,62 +10,62 @@ from checks.registry import query
 from tidegate.functions import typemap, typetext
 from tidegate.operators import schema
 
-BOTH = "WITH " + i.columns_sql() + "," + i.TARGET_COLUMNS_SQL
+BOTH = "WITH " + i.columns_sql(schemas=2) + "," + i.TARGET_COLUMNS_SQL
 
 
 @query("schema_diff", BOTH + """
-SELECT table_name, name, 'difference' AS level, 'missing_in_target' AS change, source_type, target_type
+SELECT database, schema_name, table_name, name, 'difference' AS level, 'missing_in_target' AS change, source_type, target_type
 FROM matched WHERE NOT in_target
-UNION ALL SELECT table_name, name, 'difference', 'extra_in_target', source_type, target_type FROM matched WHERE NOT in_source
-UNION ALL SELECT table_name, name, 'difference', 'type_mismatch', source_type, target_type FROM matched WHERE type_differs
-UNION ALL SELECT table_name, name, 'warning', 'nullable_different', source_type, target_type FROM matched WHERE nullable_differs""")
+UNION ALL SELECT database, schema_name, table_name, name, 'difference', 'extra_in_target', source_type, target_type FROM matched WHERE NOT in_source
+UNION ALL SELECT database, schema_name, table_name, name, 'difference', 'type_mismatch', source_type, target_type FROM matched WHERE type_differs
+UNION ALL SELECT database, schema_name, table_name, name, 'warning', 'nullable_different', source_type, target_type FROM matched WHERE nullable_differs""")
 def diff(spark, sf):
-    return schema.diff(i.columns(spark, sf), i.target_columns(spark, sf))
+    return schema.diff(i.columns(spark, sf, schemas=2), i.target_columns(spark, sf))
 
 
 GATE = BOTH + """,
 per AS (
-  SELECT table_name, count(*) FILTER (in_source) AS source_columns, count(*) FILTER (in_target) AS target_columns,
+  SELECT database, schema_name, table_name, count(*) FILTER (in_source) AS source_columns, count(*) FILTER (in_target) AS target_columns,
     count(*) FILTER (NOT in_target OR NOT in_source OR type_differs) AS differences,
     count(*) FILTER (nullable_differs) AS nullable_warnings,
     bool_or(source_position IS DISTINCT FROM target_position) AS order_differs
-  FROM matched GROUP BY table_name),
+  FROM matched GROUP BY database, schema_name, table_name),
 gate AS (SELECT *, target_columns = 0 AS table_missing, differences = 0 AS consistent FROM per)
 """
 
 
 @query("schema_gate", GATE + "SELECT * FROM gate")
 def gate(spark, sf):
-    return schema.gate(i.columns(spark, sf), i.target_columns(spark, sf))
+    return schema.gate(i.columns(spark, sf, schemas=2), i.target_columns(spark, sf))
 
 
 @query("schema_gate_verdict", GATE + """
 SELECT bool_and(consistent) AS consistent, count(*) AS tables, count(*) FILTER (NOT consistent) AS blocked FROM gate""")
 def gate_verdict(spark, sf):
-    return schema.all_consistent(schema.gate(i.columns(spark, sf), i.target_columns(spark, sf)))
+    return schema.all_consistent(schema.gate(i.columns(spark, sf, schemas=2), i.target_columns(spark, sf)))
 
 
-@query("schema_signature", "WITH " + i.columns_sql() + """
-SELECT table_name, count(*) AS column_count,
+@query("schema_signature", "WITH " + i.columns_sql(schemas=2) + """
+SELECT database, schema_name, table_name, count(*) AS column_count,
   md5('[' || string_agg('{"flink_type": "' || stream_read || '", "name": "' || name || '"}', ', ' ORDER BY ordinal_position) || ']')
     AS signature
-FROM cols GROUP BY table_name""")
+FROM cols GROUP BY database, schema_name, table_name""")
 def signature(spark, sf):
-    return schema.signature(i.columns(spark, sf), "canal")
+    return schema.signature(i.columns(spark, sf, schemas=2), "canal")
 
 
 # the target's columns as they are now, read as the source of a stream: what changed?
-@query("schema_drift", "WITH " + i.columns_sql() + """,
+@query("schema_drift", "WITH " + i.columns_sql(schemas=2) + """,
 now AS (
-  SELECT table_name, name,
+  SELECT database, schema_name, table_name, name,
     CASE WHEN p_brand = 'Brand#3' THEN 'STRING' ELSE stream_read END AS new_type FROM cols WHERE p_brand <> 'Brand#5'
-  UNION ALL SELECT table_name, name || '_new', stream_read FROM cols WHERE p_brand = 'Brand#9'),
-old AS (SELECT table_name, name, stream_read AS old_type FROM cols)
-SELECT table_name, name, CASE WHEN old_type IS NULL THEN 'add' WHEN new_type IS NULL THEN 'drop' ELSE 'modify' END AS change,
+  UNION ALL SELECT database, schema_name, table_name, name || '_new', stream_read FROM cols WHERE p_brand = 'Brand#9'),
+old AS (SELECT database, schema_name, table_name, name, stream_read AS old_type FROM cols)
+SELECT database, schema_name, table_name, name, CASE WHEN old_type IS NULL THEN 'add' WHEN new_type IS NULL THEN 'drop' ELSE 'modify' END AS change,
   old_type, new_type
-FROM old FULL OUTER JOIN now USING (table_name, name) WHERE old_type IS DISTINCT FROM new_type""")
+FROM old FULL OUTER JOIN now USING (database, schema_name, table_name, name) WHERE old_type IS DISTINCT FROM new_type""")
 def drift(spark, sf):
-    declared = i.columns(spark, sf)
+    declared = i.columns(spark, sf, schemas=2)
     brand = F.substring_index("comment", " ", 1)
     current = declared.where(brand != "Brand#5").withColumns(
         {c: F.when(brand == "Brand#3", "text").otherwise(F.col(c)) for c in ("data_type", "column_type")}
@@ -75,31 +75,31 @@ def drift(spark, sf):
 
 
 PLAN = BOTH + """,
-pk AS (SELECT table_name, string_agg(name, ',' ORDER BY ordinal_position) AS pk FROM cols
-       WHERE ordinal_position <= 2 AND p_size <= 25 GROUP BY table_name),
-firsts AS (SELECT table_name, arg_min(name, ordinal_position) AS first_name FROM cols GROUP BY table_name),
-gone AS (SELECT table_name FROM matched GROUP BY table_name HAVING NOT bool_or(in_target))
-SELECT g.table_name, 'create' AS action, NULL AS column_name, NULL AS from_type, NULL AS to_type,
+pk AS (SELECT database, schema_name, table_name, string_agg(name, ',' ORDER BY ordinal_position) AS pk FROM cols
+       WHERE ordinal_position <= 2 AND p_size <= 25 GROUP BY database, schema_name, table_name),
+firsts AS (SELECT database, schema_name, table_name, arg_min(name, ordinal_position) AS first_name FROM cols GROUP BY database, schema_name, table_name),
+gone AS (SELECT database, schema_name, table_name FROM matched GROUP BY database, schema_name, table_name HAVING NOT bool_or(in_target))
+SELECT g.database, g.schema_name, g.table_name, 'create' AS action, NULL AS column_name, NULL AS from_type, NULL AS to_type,
   coalesce(pk, first_name) AS key,
   CASE WHEN pk IS NULL THEN 'no primary key, first column is the key' END AS warning
-FROM gone g JOIN firsts USING (table_name) LEFT JOIN pk USING (table_name)
+FROM gone g JOIN firsts USING (database, schema_name, table_name) LEFT JOIN pk USING (database, schema_name, table_name)
 UNION ALL
-SELECT table_name, CASE WHEN NOT in_target THEN 'add' WHEN NOT in_source THEN 'drop' ELSE 'modify' END, name, target_type,
+SELECT database, schema_name, table_name, CASE WHEN NOT in_target THEN 'add' WHEN NOT in_source THEN 'drop' ELSE 'modify' END, name, target_type,
   CASE WHEN in_source THEN store END, NULL, NULL
-FROM matched WHERE table_name NOT IN (SELECT table_name FROM gone)
+FROM matched WHERE (database, schema_name, table_name) NOT IN (SELECT (database, schema_name, table_name) FROM gone)
   AND (NOT in_target OR NOT in_source OR type_differs OR nullable_differs)"""
 
 
 @query("schema_plan", PLAN)
 def plan(spark, sf):
-    columns = i.columns(spark, sf)
+    columns = i.columns(spark, sf, schemas=2)
     size = i.table(spark, sf, "part").select(
         F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), "p_partkey").alias("name"), "p_size"
     )
     keys = (
         columns.join(size, "name")
         .where((F.col("ordinal_position") <= 2) & (F.col("p_size") <= 25))
-        .groupBy("table_name")
+        .groupBy(*schema.TABLE)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal_position", "name"))), lambda e: e["name"]).alias("column_names"))
     )
     planned = schema.plan(columns, i.target_columns(spark, sf), keys)
@@ -243,8 +243,8 @@ def parse_type_text(spark, sf):
     return result
 
 
-@query("column_defaults", "WITH " + i.columns_sql() + f"""
+@query("column_defaults", "WITH " + i.columns_sql(schemas=2) + f"""
 SELECT database, table_name, name, {i.pick_sql(i.DEFAULTS, 1, f"(p_size % {len(i.DEFAULTS)})")} AS kind,
   {i.pick_sql(i.DEFAULTS, 2, f"(p_size % {len(i.DEFAULTS)})")} AS value FROM cols""")
 def column_defaults(spark, sf):
-    return schema.default_rows(i.columns(spark, sf)).select("database", "table_name", "name", "default.kind", "default.value")
+    return schema.default_rows(i.columns(spark, sf, schemas=2)).select("database", "table_name", "name", "default.kind", "default.value")

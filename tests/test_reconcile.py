@@ -148,3 +148,61 @@ def test_metadata_keeps_absent_tables(spark):
     assert {r.table: r.status for r in found.collect()} == {"t": "target_missing", "nowhere": "source_error"}
     found = reconcile_run.details(spark, task, opener(), opener(columns=columns))
     assert {r.status for r in found.collect()} == {"source_error"}
+
+
+def test_a_table_that_breaks_while_it_is_read_costs_no_other_its_finding(spark, tmp_path):
+    broken = frame(spark).where(F.raise_error(F.lit("lost block")).isNull())
+    tables = {n: frame(spark) for n in "abcdefg"}
+    task = Task("counts", "row_count", tuple("abcdefg"))
+    run = reconcile_run.record(spark, task, opener(**tables | {"c": broken}), opener(**tables | {"f": broken}), str(tmp_path))
+    found = spark.read.option("mergeSchema", "true").parquet(f"{tmp_path}/details")
+    assert {r.table: r.status for r in found.collect()} == {n: "ok" for n in "abdeg"} | {"c": "source_error", "f": "target_missing"}
+    assert "lost block" in found.where("table = 'c'").first().message
+    assert run["status"] == "success" and (run["total"], run["ok"]) == (7, 5)
+    # without a history too, and with a check whose keys do not exist on one side
+    assert reconcile_run.record(spark, task, opener(**tables | {"c": broken}), opener(**tables))["totals"]["errors"] == 1
+    keyed = Task("keys", "pk_snapshot", ("a", "b"), keys=("id",))
+    run = reconcile_run.record(spark, keyed, opener(a=frame(spark), b=frame(spark).drop("id")), opener(a=frame(spark), b=frame(spark)))
+    assert (run["totals"]["ok"], run["totals"]["errors"]) == (1, 1)
+
+
+def test_tables_of_one_name_in_two_schemas_are_told_apart(spark):
+    rows_ = [("d", s, t, n, i + 1, "int", "int(11)", None, True, None, 10, 0, "") for s, t, names in (("p", "t", "ab"), ("q", "t", "abc"), ("q", "u", "a")) for i, n in enumerate(names)]
+    columns = spark.createDataFrame(rows_, COLUMNS_DDL)
+    task = reconcile_run.resolved(Task("m", "metadata"), opener(columns=columns))
+    assert task.tables == ("p.t", "q.t", "u")
+    lesser = columns.where("not (schema_name = 'q' and name = 'c')")
+    found = reconcile_run.details(spark, Task("m", "metadata", ("p.t", "q.t", "d.q.u", "x.t")), opener(columns=columns), opener(columns=lesser))
+    assert {r.table: (r.source_columns, r.to_add) for r in found.collect()} == {"p.t": (2, 0), "q.t": (3, 1), "d.q.u": (1, 0), "x.t": (None, None)}
+
+
+@pytest.mark.parametrize("depth", [0, 1, 7, 13])
+def test_trees_of_digests_find_every_difference(spark, depth):
+    source = spark.range(3000).selectExpr("id", "id % 7 as text", "1.5 as amount")
+    target = source.where("id % 500 <> 3").withColumn("text", F.when(F.col("id") % 11 == 0, -1).otherwise(F.col("text")))
+    target = target.union(spark.range(9000, 9003).selectExpr("id", "0L", "1.5"))
+    found = rc.key_diff_deep(source, target, ["id"], ["text", "amount"], depth)
+    expected = rc.key_diff(source, target, ["id"], ["text", "amount"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect())) and expected.count() > 200
+    trees = [rc.key_digests(df, ["id"], ["text", "amount"], depth) for df in (source, source.where("id <> 5"))]
+    assert rc.differing_leaves(trees[0], trees[0], depth).count() == 0
+    assert rc.differing_leaves(*trees, depth).count() == 1
+    one = rc.key_digests(source, ["id"], ["text"], 0).first()
+    assert tuple(rc.coarser(rc.key_digests(source, ["id"], ["text"], depth), depth).first()) == tuple(one)
+    assert rc.depth_for(0) == rc.depth_for(1024) == 0 and rc.depth_for(1025) == 1 and rc.depth_for(10**9) == 20
+
+
+def test_sketches_screen_and_values_decide(spark):
+    source = spark.range(5000).selectExpr("id", "id % 10 as few", "cast(null as string) as none", "id as moved")
+    target = source.withColumn("moved", F.col("moved") + 9_000_000).withColumn("few", F.when(F.col("few") == 3, 33).otherwise(F.col("few")))
+    found = {r["column"]: (r.status, r.proved_by) for r in rc.distinct_values(source, target, source.columns).collect()}
+    assert found["id"] == ("ok", "values") and found["none"] == ("ok", "values")
+    assert found["few"][0] == found["moved"][0] == "mismatch"
+    # however the values are dealt and ordered, equal sets have equal estimates
+    for n in (5, 300, 5000, 60_000):
+        rows_ = spark.range(n)
+        parts = rc.distinct_sketches(rows_.where(f"id < {n // 3}"), ["id"]).union(rc.distinct_sketches(rows_.where(f"id >= {n // 4}"), ["id"]))
+        shuffled = rows_.repartition(13).sortWithinPartitions(F.desc("id"))
+        every = [rc.merged_sketches(s) for s in (parts, rc.distinct_sketches(rows_, ["id"]), rc.distinct_sketches(shuffled, ["id"]))]
+        assert len({s.select(F.hll_sketch_estimate("sketch")).first()[0] for s in every}) == 1
+        assert rc.distinct_values(rows_, shuffled, ["id"], source_sketches=parts).first().status == "ok"

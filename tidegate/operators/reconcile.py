@@ -346,6 +346,136 @@ def key_diff(
     )
 
 
+# ------------------------------------------------------------ tree of digests
+
+# Rows of a leaf, about, levels one step descends, and the deepest tree.
+LEAF_ROWS = 1024
+STEP = 6
+DEEPEST = 40
+
+
+def depth_for(rows: int, leaf_rows: int = LEAF_ROWS) -> int:
+    """Levels of a binary tree whose leaves hold about ``leaf_rows`` of ``rows``."""
+    return min(max(-(-rows // leaf_rows) - 1, 0).bit_length(), DEEPEST)
+
+
+def key_digests(df: DataFrame, keys: Sequence[str], columns: Sequence[str], depth: int) -> DataFrame:
+    """Leaves of a side's tree: ``leaf, rows, hashes``; a leaf is a run of the keys' hashes.
+
+    One scan with map-side combine. Kept with a run, a side that has not changed since need not be read again. Trees
+    of one depth compare; ``coarser`` brings them there.
+    """
+    leaf = F.shiftrightunsigned(F.xxhash64(*keys), 64 - depth) if depth else F.lit(0).cast("bigint")
+    return (
+        df.select(leaf.alias("leaf"), row_hash([*keys, *columns]).alias("hash"))
+        .groupBy("leaf")
+        .agg(F.count("*").alias("rows"), F.sum("hash").alias("hashes"))
+    )
+
+
+def coarser(digests: DataFrame, levels: int) -> DataFrame:
+    """The same tree, cut so many levels higher: sums of sums, no scan of the rows."""
+    up = digests.select(F.shiftright("leaf", levels).alias("leaf"), "rows", "hashes")
+    return up.groupBy("leaf").agg(F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes"))
+
+
+def differing_leaves(source: DataFrame, target: DataFrame, depth: int, step: int = STEP) -> DataFrame:
+    """Leaves whose digests differ, found from the root down: only children of differing nodes are compared."""
+    old = source.select("leaf", F.col("rows").alias("n"), F.col("hashes").alias("h"))
+    new = target.select("leaf", (-F.col("rows")).alias("n"), (-F.col("hashes")).alias("h"))
+    both = old.unionByName(new)
+    open_nodes, level = None, 0
+    while True:
+        level = min(level + step, depth)
+        nodes = both.withColumn("node", F.shiftright("leaf", depth - level))
+        if open_nodes is not None:
+            above = F.shiftright("leaf", depth - level + taken).alias("parent")  # noqa: F821
+            nodes = nodes.withColumn("parent", above).join(open_nodes, "parent", "left_semi")
+        sums = nodes.groupBy("node").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+        found = sums.where("n <> 0 or h <> 0").select("node")
+        if level == depth:
+            return found.select(F.col("node").alias("leaf"))
+        taken = min(step, depth - level)
+        open_nodes = found.select(F.col("node").alias("parent"))
+
+
+def key_diff_deep(
+    source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], depth: int,
+    source_digests: DataFrame | None = None, target_digests: DataFrame | None = None,
+) -> DataFrame:
+    """``key_diff`` by trees of digests: any number of differences, and digests of an earlier run where they are given.
+
+    Rows of differing leaves are the only ones that take part in the per-key pass. The leaves are joined, not sent
+    to every task, as their number follows the differences.
+    """
+    if source_digests is None:
+        source_digests = key_digests(source, keys, columns, depth)
+    if target_digests is None:
+        target_digests = key_digests(target, keys, columns, depth)
+    leaves = differing_leaves(source_digests, target_digests, depth)
+    leaf = F.shiftrightunsigned(F.xxhash64(*keys), 64 - depth) if depth else F.lit(0).cast("bigint")
+    left, right = (df.withColumn("_leaf", leaf).join(leaves.select(F.col("leaf").alias("_leaf")), "_leaf", "left_semi").drop("_leaf") for df in (source, target))
+    return key_diff(left, right, keys, columns, buckets=1)
+
+
+# ------------------------------------------------------------------- sketches
+
+# Fixed value: registers of a sketch, as a power of two.
+REGISTERS = 12
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One mergeable sketch of the different values of each column: ``column, sketch``. Kept with a run, or by day."""
+    sketches = [
+        F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"s{n}"), F.lit(None).cast("binary")).alias("sketch"))
+        for n, c in enumerate(columns)
+    ]
+    made = df.agg(*[F.hll_sketch_agg(_value_text(df, c), REGISTERS).alias(f"s{n}") for n, c in enumerate(columns)])
+    return made.select(F.inline(F.array(*sketches)))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of parts (days, files) as one for each column."""
+    return sketches.groupBy(*by, "column").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def distinct_values(
+    source: DataFrame, target: DataFrame, columns: Sequence[str], source_sketches: DataFrame | None = None,
+    target_sketches: DataFrame | None = None,
+) -> DataFrame:
+    """Whether a column has the same different values on both sides, screened by sketches.
+
+    A sketch follows from the values alone, so estimates that differ prove that the values do, and no exact pass
+    is needed (``proved_by`` sketch). Where they are equal, number and hash sum of the values decide (values).
+    """
+    if source_sketches is None:
+        source_sketches = distinct_sketches(source, columns)
+    if target_sketches is None:
+        target_sketches = distinct_sketches(target, columns)
+    estimate = F.hll_sketch_estimate("sketch")
+    # also sketches of one part pass the union: only its result follows from the values, whatever their order
+    estimates = lambda sketches, name: merged_sketches(sketches).select("column", estimate.alias(name))
+    screened = estimates(source_sketches, "s").join(estimates(target_sketches, "t"), "column")
+    screened = {r["column"]: r.s == r.t for r in screened.collect()}  # one row for each column
+    spark = source.sparkSession
+    proved = spark.createDataFrame([(c, MISMATCH, "sketch") for c in columns if not screened[c]], "column string, status string, proved_by string")
+    equal = [c for c in columns if screened[c]]
+    if not equal:
+        return proved
+    sides = []
+    for sign, df in ((1, source), (-1, target)):
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), _value_text(df, c).alias("value")) for c in equal])
+        sides.append(df.select(F.inline(cells)).where("value is not null").distinct().withColumn("sign", F.lit(sign)))
+    listed = spark.createDataFrame([(c,) for c in equal], "column string")
+    hashed = F.xxhash64("value").cast("decimal(20,0)") * F.col("sign")
+    sums = sides[0].unionByName(sides[1]).groupBy("column").agg(F.sum("sign").alias("n"), F.sum(hashed).alias("h"))
+    exact = listed.join(sums, "column", "left").select(
+        "column", F.when((F.coalesce("n", F.lit(0)) == 0) & (F.coalesce("h", F.lit(0)) == 0), OK).otherwise(MISMATCH).alias("status"),
+        F.lit("values").alias("proved_by"),
+    )
+    return proved.unionByName(exact)
+
+
 def recent_runs(runs: DataFrame, newest: int = 10, task: str = "task_name", order: str = "ran_at") -> DataFrame:
     """The latest runs of each task; ties go to the larger run id."""
     latest = Window.partitionBy(task).orderBy(F.col(order).desc(), F.col("run_id").desc())

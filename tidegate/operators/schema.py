@@ -7,6 +7,7 @@ windows and lists stay small however many tables the catalog holds.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 from tidegate.functions.defaults import default_value
 from tidegate.functions.typemap import change_types, normalise_type, squeeze_type, store_type
 
-TABLE = ("table_name",)
+# What a table is known by: one name may stand in several schemas and databases. Callers whose sides
+# lie in different databases compare by fewer columns.
+TABLE = ("database", "schema_name", "table_name")
 
 
 def _shaped(columns: DataFrame, keys: Sequence[str], side: str, *compared: Column) -> DataFrame:
@@ -180,10 +183,12 @@ def plan(
 ) -> DataFrame:
     """Alignment actions, one row each: create, add, drop, modify, or a bare warning.
 
-    ``primary_keys`` holds ``keys + (column_names ARRAY<STRING>)``. A table that is missing
+    ``primary_keys`` holds ``keys`` (or fewer, where they tell its tables apart) and
+    ``column_names ARRAY<STRING>``. A table that is missing
     in the target yields one create row keyed by its primary key, else by its first column.
     """
     table = Window.partitionBy(*keys)
+    known = [k for k in keys if k in primary_keys.columns]
     absent = ~F.max("target_present").over(table)
     first = F.col("source_position") == F.min("source_position").over(table)
     matched = (
@@ -191,7 +196,7 @@ def plan(
         .withColumn("absent", absent)
         .withColumn("first", first)
         .where(F.when(F.col("absent"), F.col("first")).otherwise(F.col("missing") | F.col("extra") | F.col("modify")))
-        .join(primary_keys.select(*keys, F.col("column_names").alias("pk")), list(keys), "left")
+        .join(primary_keys.select(*known, F.col("column_names").alias("pk")), known, "left")
     )
     unkeyed = F.coalesce(F.size("pk"), F.lit(0)) < 1
     action = (
@@ -221,6 +226,20 @@ def plan(
     )
 
 
+def named(name: str) -> Column:
+    """Rows of a catalog that a name stands for: ``table``, ``schema.table`` or ``database.schema.table``."""
+    parts = name.split(".")
+    if len(parts) > len(TABLE):
+        raise ValueError(f"not a table name: {name!r}")
+    same = [F.col(column) == part for column, part in zip(TABLE[-len(parts) :], parts, strict=True)]
+    return functools.reduce(lambda x, y: x & y, same)
+
+
+def names() -> Column:
+    """All names that ``named`` takes for a catalog row."""
+    return F.array(*[F.concat_ws(".", *TABLE[n:]) for n in range(len(TABLE))])
+
+
 def default_rows(columns: DataFrame) -> DataFrame:
     """Declared defaults in the form ``conform`` and its callers use."""
     return columns.select(*[c for c in columns.columns], default_value(F.col("column_default")).alias("default"))

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidegate.operators import schema
 from tidegate.sources import tables
@@ -26,8 +25,15 @@ def run(
     source_type: str = "mysql", force: bool = False, preview: bool = False, truncate: bool = True,
     columns: Sequence[str] | None = None,
 ) -> Result:
-    """Gate, then copy the projected columns. ``preview`` stops after the gate, ``force`` ignores it."""
-    of_table = F.col("table_name") == table
+    """Gate, then copy the projected columns. ``preview`` stops after the gate, ``force`` ignores it.
+
+    ``table`` may be qualified by schema and database. A name that stands for several tables of a catalog is an error:
+    the columns of one are not those of another.
+    """
+    of_table = schema.named(table)
+    for side in (source_columns, target_columns):
+        if side.where(of_table).select(*schema.TABLE).distinct().limit(2).count() > 1:
+            raise ValueError(f"{table!r} stands for several tables: name schema and database")
     left, right = source_columns.where(of_table), target_columns.where(of_table)
     verdict = schema.all_consistent(schema.gate(left, right, source_type)).first()
     consistent = bool(verdict["consistent"]) and verdict["tables"] > 0

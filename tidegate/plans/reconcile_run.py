@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.operators import reconcile as rc
+from tidegate.operators import schema
 from tidegate.operators.reconcile import Pair
+from tidegate.session import scratch_path
 
 Opener = Callable[[str], DataFrame]
 # Tables in one plan of a recorded run: planning time grows faster than their number.
@@ -72,25 +74,34 @@ def open_pairs(task: Task, source: Opener, target: Opener) -> list[Pair]:
 
 
 def resolved(task: Task, source: Opener) -> Task:
-    """The task with its tables: those it names, or all that the source's column catalog lists."""
+    """The task with its tables: those it names, or all that the source's column catalog lists.
+
+    A name that stands in several schemas of the catalog comes with schema, or with database and schema.
+    """
     if task.tables:
         return task
-    listed = source("columns").select("table_name").distinct().orderBy("table_name").collect()
-    return replace(task, tables=tuple(r[0] for r in listed))
+    catalog = source("columns")
+    known = [c for c in schema.TABLE if c in catalog.columns]
+    names = [F.concat_ws(".", *known[n:]) for n in range(len(known))]  # the longest first
+    tables = catalog.select(*known).distinct().select(F.array(*names).alias("names"))
+    meant = tables.select("names", F.posexplode("names").alias("shorter", "name"))
+    once = meant.groupBy("name").agg(F.count("*").alias("n"), F.first("names").alias("names"), F.max("shorter").alias("shorter"))
+    shortest = once.where("n = 1").groupBy("names").agg(F.max_by("name", "shorter").alias("name"))
+    return replace(task, tables=tuple(r.name for r in shortest.orderBy("name").collect()))
 
 
 def _metadata(spark: SparkSession, task: Task, source: Opener, target: Opener) -> DataFrame:
     """Structure findings of the task's tables; a table that neither catalog lists is a source error."""
-    wanted = spark.createDataFrame([(t,) for t in task.tables], "table_name string")
+    wanted = spark.createDataFrame([(t,) for t in task.tables], "`table` string")
     (left, left_error), (right, right_error) = _open(source, "columns"), _open(target, "columns")
     if left is None or right is None:
         return wanted.select(
-            F.col("table_name").alias("table"),
+            "table",
             F.lit(rc.SOURCE_ERROR if left is None else rc.TARGET_MISSING).alias("status"),
             F.lit(left_error or right_error).alias("message"),
         )
-    found = wanted.join(rc.metadata(left, right, **task.options), "table_name", "left")
-    return found.withColumn("status", F.coalesce("status", F.lit(rc.SOURCE_ERROR))).withColumnRenamed("table_name", "table")
+    listed = rc.metadata(left, right, **task.options).withColumn("table", F.explode(schema.names()))
+    return wanted.join(listed, "table", "left").withColumn("status", F.coalesce("status", F.lit(rc.SOURCE_ERROR)))
 
 
 def details(spark: SparkSession, task: Task, source: Opener, target: Opener) -> DataFrame:
@@ -113,13 +124,53 @@ def details(spark: SparkSession, task: Task, source: Opener, target: Opener) ->
     return lost if found is None else found.unionByName(lost, allowMissingColumns=True)
 
 
+def _alone(spark: SparkSession, task: Task, source: Opener, target: Opener, failure: Exception) -> DataFrame:
+    """The finding for a table whose check failed: by which side, if the source can be read by itself."""
+    status = rc.SOURCE_ERROR
+    if task.kind in CHECKS:
+        left, error = _open(source, task.tables[0])
+        try:
+            if left is not None:
+                CHECKS[task.kind](task, [Pair(task.tables[0], left, None)]).collect()
+                status = rc.TARGET_MISSING
+        except Exception as found:
+            error = str(found)
+        failure = error or failure
+    text = str(failure).strip().splitlines()
+    return spark.createDataFrame([(task.tables[0], status, text[0] if text else "")], "`table` string, status string, message string")
+
+
+def written(
+    spark: SparkSession, task: Task, source: Opener, target: Opener, write: Callable[[DataFrame], None]
+) -> None:
+    """Check the task's tables in one job; where it fails, each half by itself, down to the table that breaks it.
+
+    Tables are read when their check runs, so that is when a source fails. A failed job writes nothing; of all other
+    tables the findings are written.
+    """
+    try:
+        write(details(spark, task, source, target))
+    except ValueError:
+        raise
+    except Exception as failure:
+        if len(task.tables) < 2:
+            if not task.tables:
+                raise
+            write(_alone(spark, task, source, target, failure))
+            return
+        half = len(task.tables) // 2
+        for part in (task.tables[:half], task.tables[half:]):
+            written(spark, replace(task, tables=part), source, target, write)
+
+
 def record(
     spark: SparkSession, task: Task, source: Opener, target: Opener, history: str | None = None
 ) -> dict:
     """Run a task and append its details and its summary to the history folder.
 
-    The details are written once and the summary is computed from the written rows, so the
-    check itself runs once.
+    The details are written once, group by group, and the summary is computed from the written rows, so a
+    check runs once. Without a history they go to the shared folder. A table that breaks while it is read
+    costs its group a few more jobs, and no other table its finding.
     """
     started = time.time()
     run_id = uuid.uuid4().hex
@@ -129,16 +180,14 @@ def record(
     )
     status, error, totals = "success", None, None
     try:
-        if history:
-            folder = f"{history}/details/task_type={task.kind}/run={run_id}"
-            every = resolved(task, source)
-            for at in range(0, max(len(every.tables), 1), GROUP):
-                part = replace(every, tables=every.tables[at : at + GROUP])
-                if part.tables:
-                    stamp(details(spark, part, source, target)).drop("task_type").write.mode("append").parquet(folder)
-            rows = spark.read.option("mergeSchema", "true").parquet(folder)
-        else:
-            rows = stamp(details(spark, task, source, target))
+        folder = f"{history}/details/task_type={task.kind}/run={run_id}" if history else scratch_path(spark, "reconcile")
+        write = lambda df: stamp(df).drop("task_type").write.mode("append").parquet(folder)
+        every = resolved(task, source)
+        for at in range(0, len(every.tables), GROUP):
+            written(spark, replace(every, tables=every.tables[at : at + GROUP]), source, target, write)
+        if not every.tables:
+            write(spark.createDataFrame([], "`table` string, status string"))
+        rows = spark.read.option("mergeSchema", "true").parquet(folder)
         totals = rc.summary(rows).first().asDict()
     except ValueError:
         raise
