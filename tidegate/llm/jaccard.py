@@ -37,8 +37,9 @@ from tidegate.llm.near import shingle_sets
 from tidegate.llm.repeats import SLOTS, BitMap
 from tidegate.llm.store import importable, saved
 
-#: Cells of the count table, and of one of the chunks it travels in. Four bytes a cell in a task, one when sent along.
-CELLS, CHUNK = 1 << 22, 1 << 16
+#: Cells of the count table, and of one of the chunks it travels in. Two bytes a cell in a task, one when sent along;
+#: what one task sees more often than MOST counts as that, which only bears on the order of shingles.
+CELLS, CHUNK, MOST = 1 << 23, 1 << 16, (1 << 16) - 1
 #: Shingles that a task gathers before it adds them to its cells.
 GATHERED = 1 << 21
 #: Members, and shingles of all members, of one block; two blocks meet in a tile.
@@ -69,7 +70,12 @@ def _measured(size: int):
             [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()),
              ("chunk", pa.int32()), ("counts", pa.binary())]
         )
-        cells, held, waiting = np.zeros(CELLS, np.uint32), [], 0
+        cells, held, waiting = np.zeros(CELLS, np.uint16), [], 0
+
+        def gather() -> None:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            cells[at] = np.minimum(cells[at] + n, MOST)
+
         for piece in tx.pieces(batches, "text"):
             h, bounds = shingle_sets(piece.column("text"), size)
             nothing = pa.nulls(piece.num_rows)
@@ -84,13 +90,13 @@ def _measured(size: int):
                 ],
                 schema=schema,
             )
-            held.append((h & tx.U(CELLS - 1)).astype(np.int64))
+            held.append((h & tx.U(CELLS - 1)).astype(np.uint32))
             waiting += len(h)
             if waiting >= GATHERED:
-                cells += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+                gather()
                 held, waiting = [], 0
         if waiting:
-            cells += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+            gather()
         for k in range(CELLS // CHUNK):
             part = cells[k * CHUNK : (k + 1) * CHUNK]
             if part.any():
@@ -105,7 +111,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
-            part = np.frombuffer(pa.decompress(packed.as_buffer(), 4 * CHUNK, codec="zstd"), np.uint32)
+            part = np.frombuffer(pa.decompress(packed.as_buffer(), 2 * CHUNK, codec="zstd"), np.uint16)
             total[k] = total.get(k, 0) + part.astype(np.int64)
     for k, counts in total.items():
         yield pa.RecordBatch.from_pylist([{"chunk": k, "counts": counts.tobytes()}])
@@ -127,7 +133,7 @@ def _graded(mean: float):
 
 
 def _levels(measured: DataFrame) -> np.ndarray:
-    """The grade of each cell: 4 MB, whatever the texts."""
+    """The grade of each cell: 8 MB, whatever the texts."""
     seen = measured.agg(F.sum("n")).first()[0] or 0
     salt = F.pmod(F.xxhash64("counts"), F.lit(16))
     grades = (
@@ -385,8 +391,8 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     levels = context.broadcast(_levels(measured))
 
     tokens = lambda shared: named.mapInArrow(_prefixes(size, percent, levels, shared), "token long, node long, n int")
-    buckets = tokens(None).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    buckets = saved(buckets, "buckets")
+    ends = (F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"))
+    buckets = saved(tokens(None).groupBy("token").agg(*ends).filter("lo.node <> hi.node"), "buckets")
     shared = context.broadcast(_bit_map(buckets.select("token")))
     members = saved(tokens(shared).join(buckets, "token").distinct(), "members")
     shared.unpersist()
@@ -398,13 +404,14 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sets = sets.join(again, "node", "left_anti").union(sets.join(again, "node", "left_semi").dropDuplicates(["node"]))
     chosen.unpersist()
     levels.unpersist()
+    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     pairs = (
-        members.select("node", F.explode(F.array("lo", "hi")).alias("hub")).filter("node <> hub")
-        .groupBy(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).agg(F.count("*").alias("shared"))
+        members.select("node", "n", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end.node")
+        .filter(alike("n", "end.n"))
+        .groupBy(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v")).agg(F.count("*").alias("shared"))
     )
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    alike = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
-    likely = pairs.join(side("u"), "u").join(side("v"), "v").filter(alike)
+    likely = pairs.join(side("u"), "u").join(side("v"), "v")
     likely = saved(likely.mapInArrow(_likely(percent), "u long, v long, shared long"), "likely")
     best = likely.groupBy(F.col("v").alias("node")).agg(F.max_by("u", F.struct("shared", "u")).alias("u"))
     links = _confirmed(best.select("u", F.col("node").alias("v")), sets, percent)
