@@ -470,3 +470,26 @@ def test_private_data_in_a_very_long_token(spark, token):
     started = time.time()
     found = pii.reported(docs).first()
     assert time.time() - started < 40 and "email:" in found.spans
+
+
+def test_packing_of_bins_that_stay_underfull_ends_on_many_tasks(spark, monkeypatch):
+    rounds, old = [], packing.saved
+
+    def saved(df, name):
+        if name == "merged":
+            rounds.append(df.rdd.getNumPartitions())
+        return old(df, name)
+
+    monkeypatch.setattr(packing, "saved", saved)
+    monkeypatch.setattr(packing, "ITEMS", 40)
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('a b ', 260 + int(id % 80)) as text")
+    found = packing.packed(docs, tokenizer("byte_bpe_50k.json"), capacity=1024, end=2)
+    assert found.select("sequence_id").distinct().count() == 400 and found.count() == 400  # no two fit together
+    assert len(rounds) <= 2 and min(rounds) >= 1
+    # with short ones in between they are filled, on more than one task
+    rounds.clear()
+    mixed = docs.union(spark.range(400, 800).selectExpr("id as doc_id", "repeat('a b ', 100 + int(id % 50)) as text"))
+    found = packing.packed(mixed, tokenizer("byte_bpe_50k.json"), capacity=1024, end=2)
+    fill = found.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("to"))
+    assert fill.where("n <> to or n > 1024").count() == 0 and fill.count() < 500
+    assert rounds[0] > 1

@@ -31,6 +31,8 @@ ITEMS = 1 << 17
 #: Free tokens with which a bin counts as nearly full.
 NEARLY = 2
 FAN_IN = 16
+#: Bins that a round leaves for each bin it took; above, further rounds would merge almost nothing.
+GAIN = 0.99
 CACHED = 500_000
 
 #: In a word: white space of any kind, separators that libraries class differently, special tokens.
@@ -206,7 +208,12 @@ def packed(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2) -> Da
     level, moves, items = 0, None, placed
     while True:
         items = items.filter(F.col("fill") < capacity - NEARLY).select("bin", F.col("fill").alias("length")).distinct()
-        level, tasks = level + 1, max(1, tasks // FAN_IN)
+        items = saved(items, "underfull")
+        least = items.agg(F.min("length")).first()[0] or 0
+        items = items.filter(F.col("length") + least <= capacity)  # no room for any of the others: done
+        many = items.count()
+        # a task never takes more than its share, however many bins stay underfull
+        level, tasks = level + 1, max(1, tasks // FAN_IN, -(-many // ITEMS))
         merged = saved(
             items.withColumnRenamed("bin", "item")
             .repartition(tasks)
@@ -221,7 +228,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2) -> Da
             moves = moves.join(onward, "to", "left").select(
                 "item", F.coalesce("next", "to").alias("to"), (F.col("by") + F.coalesce("further", F.lit(0))).alias("by")
             )
-        if tasks == 1:
+        if tasks == 1 or merged.select("bin").distinct().count() > GAIN * many:
             break
         moves, items = saved(moves, "moves"), merged
     return placed.join(moves, placed["bin"] == moves["item"], "left").select(
