@@ -14,7 +14,7 @@ COLS = "WITH " + i.columns_sql()
 
 def index_parts(spark, sf):
     """Two index parts per even ordinal: the column itself and the one before it."""
-    columns = i.columns(spark, sf).where(F.col("ordinal_position") <= 8)
+    columns = i.columns(spark, sf)
     name = F.when(F.col("ordinal_position") <= 3, "PRIMARY").otherwise(
         F.concat(F.lit("ix_"), F.pmod("ordinal_position", F.lit(2)))
     )
@@ -34,7 +34,7 @@ INDEXES = COLS + """,
 parts AS (
   SELECT database, schema_name, table_name, name AS column_name, 100 - ordinal_position AS seq,
     CASE WHEN ordinal_position <= 3 THEN 'PRIMARY' ELSE 'ix_' || (ordinal_position % 2) END AS name
-  FROM cols WHERE ordinal_position <= 8),
+  FROM cols),
 idx AS (
   SELECT database, schema_name, table_name, name, name <> 'ix_1' AS is_unique, name = 'PRIMARY' AS is_primary,
     string_agg(column_name, ', ' ORDER BY seq) AS columns FROM parts GROUP BY ALL)
@@ -54,13 +54,13 @@ def grouped_indexes(spark, sf):
 @query("catalog_index_keys", COLS + """
 SELECT database, schema_name, table_name, 'ix_' || table_name AS name, true AS is_unique,
   string_agg(name, ', ' ORDER BY ordinal_position DESC) AS columns
-FROM cols WHERE ordinal_position IN (1, 3, 5) GROUP BY ALL""")
+FROM cols GROUP BY ALL""")
 def index_keys(spark, sf):
-    """Key numbers 5, 3, 1 of each table, written as their columns' names."""
+    """Key numbers 16 to 1 of each table, written as their columns' names."""
     columns = i.columns(spark, sf)
     keyed = i.tables(spark, sf).select(
         *catalog.TABLE, F.concat(F.lit("ix_"), "table_name").alias("name"), F.lit(True).alias("is_unique"),
-        F.array(F.lit(5), F.lit(3), F.lit(1)).alias("index_keys"),
+        F.sequence(F.lit(16), F.lit(1), F.lit(-1)).alias("index_keys"),
     )
     rows = catalog.expand_indexes(keyed, columns)
     return rows.withColumn("columns", F.array_join("column_names", ", ")).drop("column_names")
@@ -76,7 +76,7 @@ def constraints(spark, sf):
     )
     declared = tables.select(*catalog.TABLE, F.inline(kinds))
     position = F.col("ordinal_position")
-    usage = columns.where(position <= 4).select(
+    usage = columns.select(
         *catalog.TABLE,
         F.when(position <= 2, "pk").otherwise("fk").alias("constraint_name"),
         F.col("name").alias("column_name"),
@@ -89,7 +89,7 @@ def constraints(spark, sf):
 
 
 CONSTRAINTS = COLS + """,
-used AS (SELECT *, CASE WHEN ordinal_position <= 2 THEN 'pk' ELSE 'fk' END AS cname FROM cols WHERE ordinal_position <= 4),
+used AS (SELECT *, CASE WHEN ordinal_position <= 2 THEN 'pk' ELSE 'fk' END AS cname FROM cols),
 grouped AS (SELECT database, schema_name, table_name, cname,
     string_agg(name, ', ' ORDER BY ordinal_position DESC) AS columns,
     coalesce(arg_min('ref_' || table_name, 10 - ordinal_position) FILTER (cname = 'fk' AND ordinal_position <> 4), '') AS rt,
@@ -120,9 +120,9 @@ def primary_keys(spark, sf):
         F.struct(F.lit("c2").alias("constraint_name"), F.lit("U").alias("constraint_type")),
     )
     declared = i.tables(spark, sf).select(*catalog.TABLE, F.inline(kinds))
-    used = columns.where(F.col("ordinal_position").isin(2, 3, 5)).select(
+    used = columns.select(
         *catalog.TABLE,
-        F.when(F.col("ordinal_position") == 5, "c2").otherwise("c1").alias("constraint_name"),
+        F.when(F.col("ordinal_position").isin(2, 3), "c1").otherwise("c2").alias("constraint_name"),
         F.col("name").alias("column_name"),
         (-F.col("ordinal_position")).alias("position"),
     )
