@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from checks import inputs as i
 from checks.registry import query
 from tidegate.operators import catalog, lineage
+from tidegate.session import scratch_path
+from tidegate.sources import corpus
 
 KEYS = "database, schema_name, table_name"
 COLS = "WITH " + i.columns_sql()
@@ -297,3 +299,35 @@ SELECT (SELECT count(*) FROM edge) AS edges,
   (SELECT count(*) FROM (SELECT source_table FROM edge UNION SELECT target_table FROM edge)) AS nodes""")
 def lineage_graph_totals(spark, sf):
     return lineage.graph_totals(edges(spark, sf))
+
+
+def statements(spark, sf):
+    """One statement per customer, in files by nation: lists of tables, sub-queries after WHERE, CTEs, comments, texts."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    sql = (
+        F.when(F.col("c_custkey") % 4 == 0, text(
+            "INSERT INTO dwd.c_", k, " SELECT x.a FROM ods.a_", k, " x, ods.b_", n, " AS y WHERE x.d IN (SELECT d FROM ods.sub_", n, ") ORDER BY 1;"))
+        .when(F.col("c_custkey") % 4 == 1, text(
+            "CREATE TABLE dws.w_", k, " AS WITH base AS (SELECT * FROM ods.a_", k, " /* FROM ods.comment; */), more AS (SELECT * FROM base) "
+            "SELECT EXTRACT(year FROM t) FROM more JOIN (SELECT 1 AS o FROM dim.d_", n, ") z ON z.o = 1 -- FROM ods.note\n;"))
+        .when(F.col("c_custkey") % 4 == 2, text(
+            "INSERT OVERWRITE TABLE dwd.o_", k, " SELECT 'it''s FROM ods.quoted -- no', b FROM (ods.a_", k, " JOIN `ods`.`b_", n,
+            "` ON 1 = 1), LATERAL unnest(c) WHERE a IS DISTINCT FROM b UNION ALL SELECT 1, 2 FROM ods.u_", n, ", dual GROUP BY 1;"))
+        .otherwise(text("SELECT * FROM ods.a_", k, ";"))
+    )
+    return i.table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), sql.alias("sql"))
+
+
+@query("lineage_edges_extended", """
+WITH cust AS (SELECT c_custkey AS k, c_nationkey AS n, 'nation=' || c_nationkey AS sql_file FROM customer)
+SELECT unnest(['ods.a_' || k, 'ods.b_' || n, 'ods.sub_' || n]) AS source_table, 'dwd.c_' || k AS target_table, sql_file FROM cust WHERE k % 4 = 0
+UNION ALL SELECT unnest(['ods.a_' || k, 'dim.d_' || n]), 'dws.w_' || k, sql_file FROM cust WHERE k % 4 = 1
+UNION ALL SELECT unnest(['ods.a_' || k, 'ods.b_' || n, 'ods.u_' || n]), 'dwd.o_' || k, sql_file FROM cust WHERE k % 4 = 2""")
+def lineage_edges_extended(spark, sf):
+    """The corpus as files, read back whole, each word of it folded."""
+    folder = scratch_path(spark, "corpus")
+    statements(spark, sf).repartition("nation").write.partitionBy("nation").text(folder)
+    files = corpus.read(spark, folder, endings=["txt"])
+    by_nation = files.withColumn("path", F.substring_index("path", "/", 1))
+    return lineage.edges(lineage.extract(by_nation, extended=True))

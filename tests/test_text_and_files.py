@@ -119,3 +119,25 @@ def test_jdbc_options():
 def test_scratch_tables_live_in_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x").startswith(shared_dir(spark)) and scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+@pytest.mark.parametrize(
+    ("sql", "sources"),
+    [
+        ("INSERT INTO t SELECT * FROM a, b c, (SELECT * FROM d, e) f, g", ["a", "b", "d", "e", "g"]),
+        ("INSERT INTO t SELECT * FROM a WHERE x IN (SELECT y FROM b WHERE z = (SELECT max(q) FROM c)) AND EXISTS (SELECT 1 FROM d)", ["a", "b", "c", "d"]),
+        ("INSERT INTO t WITH w AS (SELECT * FROM a), v AS (SELECT * FROM w, b) SELECT * FROM v JOIN w ON true", ["a", "b"]),
+        ("INSERT INTO t SELECT EXTRACT(day FROM ts), trim(BOTH FROM n) FROM a WHERE x IS NOT DISTINCT FROM y", ["a"]),
+        ("INSERT INTO t SELECT 'FROM no', \"FROM col\" FROM a /* , b */ -- , c\n, d", ["a", "d"]),
+        ("INSERT INTO t SELECT * FROM generate_series(1, 3) g, a", ["a"]),
+        ("INSERT INTO t SELECT * FROM (a JOIN b USING (k, l)), c ON a.x = f(b.y, c.z), d", ["a", "b", "c", "d"]),
+        ("INSERT INTO t SELECT * FROM a UNION SELECT * FROM b ORDER BY 1, 2", ["a", "b"]),
+        ("CREATE OR REPLACE VIEW t AS (SELECT x FROM `s`.`a`, dual)", ["s.a"]),
+        ("INSERT INTO t SELECT * FROM a))) , b", ["a", "b"]),
+        ("INSERT INTO t VALUES (1, 2)", []),
+    ],
+)
+def test_extended_lineage_reads_every_scope(spark, sql, sources):
+    rows = spark.createDataFrame([("f.sql", sql)], "path string, sql string")
+    found = lineage.extract(rows, extended=True).orderBy("source_position").collect()
+    assert [r.source_table for r in found] == sources and {r.target_table for r in found} <= {"t"}

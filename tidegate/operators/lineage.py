@@ -1,7 +1,8 @@
 """Table lineage from a corpus of SQL files, with built-in text functions only.
 
 A statement writes the table of its INSERT INTO or CREATE TABLE … AS SELECT and reads every
-table after FROM or JOIN, up to the first filter, grouping or ordering clause.
+table after FROM or JOIN, up to the first filter, grouping or ordering clause. The extended rule reads the whole
+statement, its words one by one: lists of tables, sub-queries at any place, common table expressions.
 """
 
 from __future__ import annotations
@@ -21,6 +22,15 @@ IGNORED_SOURCES = ["dual"]
 
 # The extended rule also reads INSERT OVERWRITE and the optional word TABLE.
 EXTENDED_INSERT_TARGET = rf"(?i)INSERT\s+(?:IGNORE\s+)?(?:INTO|OVERWRITE)\s+(?:TABLE\s+)?({QUALIFIED})"
+EXTENDED_CREATE_TARGET = (
+    rf"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:EXTERNAL\s+)?(?:TABLE|VIEW)\s+(?:IF\s+NOT\s+EXISTS\s+)?({QUALIFIED})\s+AS\s*(?:SELECT|WITH|\()"
+)
+# Words of a statement: texts, names, parentheses and commas. The rest says nothing about tables.
+WORD = rf"'[^'\\]*+(?:\\.[^'\\]*+)*+'|{QUALIFIED}|[(),]"
+# Where a list of tables ends, what may stand before a table, and calls in which FROM names none.
+LIST_ENDS = ["WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "QUALIFY", "WINDOW", "UNION", "INTERSECT", "EXCEPT", "SELECT", "SET", "VALUES"]
+BEFORE_TABLE = ["LATERAL", "ONLY", "TABLE"]
+FROM_CALLS = ["EXTRACT", "SUBSTRING", "TRIM", "OVERLAY", "POSITION"]
 CTE_NAME = rf"(?i)(?:\bWITH\s+|,\s*)({NAME})\s+AS\s*\("
 COMMENT = r"--[^\n]*|/\*[\s\S]*?\*/"
 
@@ -43,18 +53,60 @@ def _plain(name: Column) -> Column:
     return F.translate(name, '`"', "")
 
 
+def _read(words: Column) -> Column:
+    """Tables that the words of a statement read, in order.
+
+    A fold with a stack, one entry for each open parenthesis: ``table`` where a table is expected, ``list`` after one,
+    ``call`` within a call that has a FROM of its own, else ``none``.
+    """
+    state = F.struct(
+        F.array(F.lit("none")).alias("stack"), F.array().cast("array<string>").alias("found"), F.lit("").alias("last"),
+        F.lit(False).alias("named"),
+    )
+
+    def step(s: Column, word: Column) -> Column:
+        upper, top, below = F.upper(word), F.element_at(s["stack"], -1), F.slice(s["stack"], 1, F.size(s["stack"]) - 1)
+        here = lambda kind: F.array_append(below, F.lit(kind))
+        within = lambda stack, kind: F.array_append(stack, F.lit(kind))
+        is_table = (top == "table") & ~word.startswith("'") & ~upper.isin(*BEFORE_TABLE, *LIST_ENDS, "(", ")", ",", "FROM", "JOIN")
+        stack = (
+            F.when((word == "(") & s["named"], within(s["stack"], "call"))  # what looked like a table is a function
+            .when((word == "(") & (top == "table"), within(here("list"), "table"))
+            .when((word == "(") & s["last"].isin(FROM_CALLS), within(s["stack"], "call"))
+            .when(word == "(", within(s["stack"], "none"))
+            .when((word == ")") & (F.size(s["stack"]) > 1), below)
+            .when((word == ",") & (top == "list"), here("table"))
+            .when(upper.isin("FROM", "JOIN") & (top != "call") & (s["last"] != "DISTINCT"), here("table"))
+            .when(upper.isin(LIST_ENDS) & (top != "call"), here("none"))
+            .when(is_table, here("list"))
+            .otherwise(s["stack"])
+        )
+        found = (
+            F.when((word == "(") & s["named"], F.slice(s["found"], 1, F.size(s["found"]) - 1))
+            .when(is_table, F.array_append(s["found"], _plain(word)))
+            .otherwise(s["found"])
+        )
+        return F.struct(stack.alias("stack"), found.alias("found"), upper.alias("last"), is_table.alias("named"))
+
+    return F.aggregate(words, state, step, lambda s: s["found"])
+
+
 def extract(corpus: DataFrame, extended: bool = False) -> DataFrame:
     """Edges per statement: ``path, statement, source_position, source_table, target_table``."""
     sql = F.coalesce(F.col("sql"), F.lit(""))
     split = corpus.select("path", F.posexplode(statements(sql)).alias("statement", "text"))
     if extended:
-        split = split.withColumn("text", F.regexp_replace("text", COMMENT, " "))
+        # texts stay, comments outside them go
+        split = split.withColumn("text", F.regexp_replace("text", rf"('[^'\\]*+(?:\\.[^'\\]*+)*+')|{COMMENT}", "$1 "))
     inserted = F.regexp_extract("text", EXTENDED_INSERT_TARGET if extended else INSERT_TARGET, 1)
-    target = F.when(inserted != "", inserted).otherwise(F.regexp_extract("text", CREATE_TARGET, 1))
-    segment = F.element_at(F.split(F.regexp_extract("text", FROM_TAIL, 0), STOP, 2), 1)
-    found = F.regexp_extract_all(segment, F.lit(SOURCE), F.lit(1))
-    names = F.array_distinct(F.transform(found, _plain))
-    sources = F.filter(names, lambda n: ~F.lower(n).isin(IGNORED_SOURCES))
+    created = F.regexp_extract("text", EXTENDED_CREATE_TARGET if extended else CREATE_TARGET, 1)
+    target = F.when(inserted != "", inserted).otherwise(created)
+    if extended:
+        found = _read(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    else:
+        segment = F.element_at(F.split(F.regexp_extract("text", FROM_TAIL, 0), STOP, 2), 1)
+        found = F.transform(F.regexp_extract_all(segment, F.lit(SOURCE), F.lit(1)), _plain)
+    sources = F.filter(F.array_distinct(found), lambda n: ~F.lower(n).isin(IGNORED_SOURCES))
     if extended:
         ctes = F.transform(F.regexp_extract_all("text", F.lit(CTE_NAME), F.lit(1)), _plain)
         sources = F.array_except(sources, ctes)
