@@ -8,6 +8,7 @@ from checks import inputs as i
 from checks.registry import query
 from tidegate.operators import catalog, lineage
 from tidegate.session import scratch_path
+from tidegate.sources import catalog_views as views
 from tidegate.sources import corpus
 
 KEYS = "database, schema_name, table_name"
@@ -331,3 +332,21 @@ def lineage_edges_extended(spark, sf):
     files = corpus.read(spark, folder, endings=["txt"])
     by_nation = files.withColumn("path", F.substring_index("path", "/", 1))
     return lineage.edges(lineage.extract(by_nation, extended=True))
+
+
+@query("catalog_listed_tables", COLS + "," + i.TABLES_SQL + """
+SELECT 'odps' AS vendor, 'shop' AS database, 'shop' AS schema_name, table_name, 'TABLE' AS table_type, '' AS comment FROM tabs
+UNION ALL SELECT 'store', 'mart', 'mart', table_name, 'TABLE', '' FROM tabs""")
+def listed_tables(spark, sf):
+    """Vendors that list names alone."""
+    names = i.tables(spark, sf).select(F.col("table_name").alias("name"))
+    odps = views.odps_tables(names, "shop").withColumn("vendor", F.lit("odps"))
+    return odps.unionByName(views.store_tables(names.toDF("Tables_in_mart"), "mart").withColumn("vendor", F.lit("store")))
+
+
+@query("catalog_schemas", COLS + "SELECT DISTINCT 'main' AS database, 'shop_' || database AS schema_name FROM cols")
+def listed_schemas(spark, sf):
+    """Schemas of a vendor's list, without its own."""
+    used = i.columns(spark, sf).select(F.concat(F.lit("shop_"), "database").alias("schema_name"))
+    own = spark.createDataFrame([("information_schema",), ("pg_catalog",)], "schema_name string")
+    return views.schemas(used.union(own), "postgresql", "main")

@@ -323,6 +323,29 @@ def db2_columns(rows: DataFrame, database: str) -> DataFrame:
     return catalog.with_ordinals(shaped)
 
 
+def schemas(rows: DataFrame, kind: str, database: str) -> DataFrame:
+    """A vendor's schema list, its one column under any name, without the vendor's own schemas."""
+    name = rows.columns[0]
+    return user_schemas(rows, kind, name).select(F.lit(database).alias("database"), F.col(name).alias("schema_name")).distinct()
+
+
+def odps_tables(rows: DataFrame, database: str) -> DataFrame:
+    """The project's table names; it is its own schema and keeps no comments."""
+    return _listed(rows.select(F.col("name")), database)
+
+
+def store_tables(rows: DataFrame, database: str) -> DataFrame:
+    """The analytical store's table names; their column is named after the database."""
+    return _listed(rows, database)
+
+
+def _listed(rows: DataFrame, database: str) -> DataFrame:
+    return rows.select(
+        F.lit(database).alias("database"), F.lit(database).alias("schema_name"), F.col(rows.columns[0]).alias("table_name"),
+        F.lit("TABLE").alias("table_type"), F.lit("").alias("comment"),
+    )
+
+
 def odps_columns(rows: DataFrame, database: str) -> DataFrame:
     """Rows of (table_name, name, type, comment, position, is_partition); partition columns last."""
     order = Window.partitionBy("table_name").orderBy("is_partition", "position")
