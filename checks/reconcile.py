@@ -271,3 +271,26 @@ def distinct_screen(spark, sf):
     by_day = [rc.distinct_sketches(source.where(half), PROFILED) for half in ("o_orderkey % 2 = 0", "o_orderkey % 2 <> 0")]
     kept = rc.merged_sketches(by_day[0].unionByName(by_day[1]))
     return rc.distinct_values(source, target, PROFILED, source_sketches=kept).select("column", "status")
+
+
+@query("reconcile_history", ROW_COUNT + """,
+runs AS (
+  SELECT 'daily counts' AS task_name, count(*) AS total, count(*) FILTER (s = t) AS ok FROM counts
+  UNION ALL SELECT 'orders alone', count(*), count(*) FILTER (s = t) FROM counts WHERE "table" = 'orders')
+SELECT task_name, 'row_count' AS task_type, 'success' AS status, total, ok, total - ok AS mismatch, total AS details FROM runs""")
+def history(spark, sf):
+    """Two recorded runs, with as many details as each counted."""
+    folder = scratch_path(spark, "history")
+    every = tuple(p.table for p in all_pairs(spark, sf))
+    opened = {p.table: p for p in all_pairs(spark, sf)}
+
+    def target(name):
+        if opened[name].target is None:
+            raise LookupError(f"{name} is not in the target")
+        return opened[name].target
+
+    for name, tables in (("daily counts", every), ("orders alone", ("orders",))):
+        reconcile_run.record(spark, reconcile_run.Task(name, "row_count", tables), lambda t: opened[t].source, target, folder)
+    runs = spark.read.parquet(f"{folder}/runs")
+    details = spark.read.option("mergeSchema", "true").parquet(f"{folder}/details").groupBy("run_id").agg(F.count("*").alias("details"))
+    return runs.join(details, "run_id").select("task_name", "task_type", "status", "total", "ok", "mismatch", "details")
