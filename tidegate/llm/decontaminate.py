@@ -9,7 +9,8 @@ and every one that 80 hundredths allow in shorter items; those of 10 and 11 word
 The benchmark is broadcast in blocks of about ``BLOCK_WORDS`` words, whatever its size; each block scans the texts
 once, and texts are never shuffled. Words are lower-cased A-Z and end at white space or ASCII punctuation. Null
 texts have no words. Of items of fewer than ``LEAST_WORDS`` words all words must be equal; items without words never
-match. Equal items match each; extra columns are ignored (or kept, by ``decontaminated``).
+match. Equal items match each, repeated rows are judged one by one. Without documents or items there are no overlaps;
+extra columns are ignored (or kept, by ``decontaminated``).
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the sums of the tasks are added up and give the next parameters. The likelihood
 forward recursion runs over the whole text, and the classes' shares of its words are added.
 
 A null text has only its end token. A null doc_id is not held out. Words are lower-cased A-Z; words are told apart
-by 64-bit hashes. Extra columns are ignored.
+by 64-bit hashes. Repeated rows train and are scored one by one. An empty table has no scores; extra columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ few wrongly labelled texts move neither median nor decile. Texts that another la
 calibrate, as they would not be judged by this limit either.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected; so is everything if nothing is
-labelled. Null labels don't train. Rows are predicted one by one, repeated or not. Extra columns are ignored.
+labelled. Null labels don't train. Rows are predicted one by one, repeated or not. Of equal cross-entropies the
+language that comes first by name counts. An empty table has no predictions; extra columns are ignored.
 """
 
 from __future__ import annotations

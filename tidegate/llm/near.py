@@ -11,7 +11,7 @@ components are compared block by block: by their signatures, which rule most out
 left out, and only links are emitted.
 
 Null or wordless texts have no set and stay alone. Rows with one doc_id are one document; a null doc_id takes no
-part and gets a null component. Extra columns are ignored.
+part and gets a null component. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

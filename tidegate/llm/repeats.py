@@ -13,7 +13,7 @@ in different surroundings) is dealt out by single windows instead.
 Sorting goes by 64-bit hashes; windows with equal hashes count as equal only if their bytes are.
 
 A null text has no words. Rows are told apart by doc_id and text; repeated rows count as occurrences of their own.
-Extra columns are ignored.
+An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Ranks come without a sort of a whole source: rows are dealt by their hash (or fr
 ``RANGE`` rows, the rows before a range are summed over the ranges' counts, and only within a range rows are
 numbered. A source with a third of all rows is as many ranges as it needs.
 
-A null source is a source. Repeated rows and null ids are rows like others. Extra columns are ignored.
+A null source is a source. Repeated rows and null ids are rows like others; rows that are equal in all they are
+ordered by take either place. An empty table fills no shard. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ candidates in parallel. A task keeps k candidates per query, and a window takes
 
 Vectors of different lengths are compared as if filled up with zeros. Null or non-finite vectors are for the caller to
 leave out. A query's own row is every row with its vec_id. Ties go to the smaller vec_id; a query without
-candidates has no rows. Extra columns are ignored.
+candidates has no rows. A candidate row that occurs twice fills two ranks. An empty table has no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
