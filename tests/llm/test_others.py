@@ -174,3 +174,34 @@ def test_pipeline_stages_against_brute_force(spark):
     for doc_id, text in pairs:
         mails = re.findall(r"(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", text)
         assert all(m not in masked[doc_id] for m in mails) and (mails or masked[doc_id].count("[EMAIL]") == text.count("[EMAIL]"))
+
+
+def test_every_link_of_a_page_counts_also_relative_ones(spark, tmp_path):
+    tag = '<link rel="canonical" href="{}">'
+    blocked = "http://shop.net/es/"  # by rule
+    html = [
+        ("http://a.org/x/p", tag.format("http://z.org/1") + tag.format(blocked + "a")),  # the second tag
+        ("http://a.org/x/q", "<meta http-equiv='refresh' content='0; url=http://z.org/2'><meta http-equiv=refresh content='0;url=" + blocked + "b'>"),
+        ("http://a.org/x/r", tag.format("../es/one?id=1#top")),
+        ("http://a.org/x/s", tag.format("t")),
+        ("http://a.org/x/t", tag.format("./../x/./u/")),
+        ("http://a.org/x/u", tag.format("?id=3")),
+        ("http://a.org/x/u?id=3", tag.format("//shop.net/fr/c")),
+        ("http://shop.net/en/v", tag.format("../../../es/d")),
+        ("http://a.org", tag.format("w")),
+        ("http://a.org/w", '<meta property="og:url" content="/y/../z"><meta property="og:url" content="http://net/fr/e">'),
+        ("http://a.org/z", tag.format("mailto:x@y.z") + tag.format("#part") + tag.format("javascript:void(0)")),
+        ("no address", tag.format("x/y")), (None, tag.format("x")), ("http://a.org/clean", None),
+    ]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(html)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(map(tuple, QUERIES["op1_urls"](spark, str(tmp_path)).collect()), key=str)
+    con = connect(SMALL)
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.execute(ORACLES["op1_urls"]).fetchall(), key=str) == found
+    verdicts = {html[p][0]: v for p, _, _, _, v in found}
+    for url in ("x/p", "x/q", "x/s", "x/t", "x/u", "x/u?id=3", "w", "z"):
+        assert verdicts[f"http://a.org/{url}"] == "block", url
+    assert verdicts["http://a.org"] == verdicts["http://shop.net/en/v"] == "block"
+    assert verdicts["http://a.org/x/r"] == verdicts["http://a.org/clean"] == verdicts["no address"] == verdicts[None] == "allow"
+    assert len(found) == len(html)

@@ -155,20 +155,34 @@ def _node(url: str) -> str:
 
 
 def _found(tag: str, value: str) -> str:
-    return f"regexp_extract(regexp_extract(html, {_sql_text(tag)}), {_sql_text(value)}, 1)"
+    return f"list_transform(regexp_extract_all(html, {_sql_text(tag)}), lambda t: regexp_extract(t, {_sql_text(value)}, 1))"
+
+
+def _plain(path: str) -> str:
+    """A path with its dots resolved."""
+    step = "CASE WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] WHEN x[1] = '.' THEN a ELSE a || x END"
+    return f"array_to_string(list_reduce([[s] FOR s IN string_split({path}, '/')], lambda a, x: {step}), '/')"
 
 
 URL_SQL = f"""
 WITH RECURSIVE rules(rule_host, rule_path, action) AS (VALUES {", ".join(map(str, RULES))}),
 links AS (
-    SELECT url, unnest([{_found(urls.CANONICAL, urls.HREF)}, {_found(urls.REFRESH, urls.CONTENT_URL)},
-        {_found(urls.OG_URL, urls.CONTENT)}]) AS href
+    SELECT url, unnest({_found(urls.CANONICAL, urls.HREF)} || {_found(urls.REFRESH, urls.CONTENT_URL)}
+        || {_found(urls.OG_URL, urls.CONTENT)}) AS href
     FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), cut AS (
+    SELECT url, href, 'http://' || {_host("url")} AS root, regexp_extract(href, '^([^?#]*)', 1) AS own,
+        regexp_extract(href, '(?s)^[^?#]*(.*)$', 1) AS rest,
+        CASE WHEN regexp_replace({_path("url")}, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace({_path("url")}, '[^/]*$', '') END AS folder
+    FROM links
 ), targets AS (
     SELECT url, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
         WHEN starts_with(href, '//') THEN 'http:' || href
-        WHEN starts_with(href, '/') AND {_host("url")} <> '' THEN 'http://' || {_host("url")} || href END AS target
-    FROM links WHERE href <> ''
+        WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(href, '#') OR {_host("url")} = '' THEN NULL
+        WHEN starts_with(href, '/') THEN root || {_plain("own")} || rest
+        WHEN starts_with(href, '?') THEN root || {_path("url")} || href
+        ELSE root || {_plain("folder || own")} || rest END AS target
+    FROM cut WHERE href <> ''
 ), addresses AS (
     SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT url FROM targets WHERE target IS NOT NULL
     UNION SELECT target FROM targets WHERE target IS NOT NULL

@@ -3,7 +3,7 @@
 A rule (host, path, action) fits its host and every subdomain where the path starts with the rule's; the longest
 rule that fits decides, and of equally long ones an allow. Addresses are nodes: host, path without a last slash, and
 query without tracking parameters; scheme and fragment don't count. Canonical links, ``og:url`` and refreshes
-are edges, and those of a given table. Connected components of the edges are classes of aliases. An address that no
+are edges, all of a page, with relative targets resolved against its url, and those of a given table. Connected components of the edges are classes of aliases. An address that no
 rule fits is blocked if a rule blocks one of its aliases and none explicitly allows one; all others are allowed.
 
 A null url, or one without ``://``, has an empty host and path, no aliases and no rule: it is allowed. Null html has
@@ -72,25 +72,40 @@ def decided(url: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     return F.when(longest.isNotNull(), F.struct(longest["rule"].alias("rule"), longest["action"].alias("action")))
 
 
-def _absolute(href: Column, url: Column) -> Column:
+def _without_dots(path: Column) -> Column:
+    """The path with ``.`` and ``..`` resolved; none leads above the root."""
+    kept = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.array_append(a, x)),
+    )
+    return F.array_join(kept, "/")
+
+
+def absolute(href: Column, url: Column) -> Column:
+    """A link's target as an address; null for the page itself, other schemes, and relative links of a page without host."""
+    root = F.concat(F.lit("http://"), host_of(url))
+    own, rest = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(path_of(url), "[^/]*$", "")
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
         .when(href.startswith("//"), F.concat(F.lit("http:"), href))
-        .when(href.startswith("/") & (host_of(url) != ""), F.concat(F.lit("http://"), host_of(url), href))
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | href.startswith("#") | (host_of(url) == ""), F.lit(None).cast("string"))
+        .when(href.startswith("/"), F.concat(root, _without_dots(own), rest))
+        .when(href.startswith("?"), F.concat(root, path_of(url), href))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), rest))
     )
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """``url, target`` of the canonical links and refreshes in the pages' html."""
+    """``url, target`` of all canonical links, refreshes and og:urls in the pages' html."""
     html = F.col("html")
-    tags = F.array(
-        F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, REFRESH, 0), CONTENT_URL, 1),
-        F.regexp_extract(F.regexp_extract(html, OG_URL, 0), CONTENT, 1),
-    )
+    every = lambda tag, value: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, value, 1))
+    tags = F.concat(every(CANONICAL, HREF), every(REFRESH, CONTENT_URL), every(OG_URL, CONTENT))
     marked = html.rlike(r"(?i)\b(canonical|refresh|og:url)\b")
     found = pages.filter(marked & F.col("url").isNotNull()).select("url", F.explode(tags).alias("href")).filter("href <> ''")
-    return found.select("url", _absolute(F.col("href"), F.col("url")).alias("target")).filter("target is not null")
+    return found.select("url", absolute(F.col("href"), F.col("url")).alias("target")).filter("target is not null")
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
