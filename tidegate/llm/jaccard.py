@@ -311,11 +311,12 @@ def _band(percent: int) -> Column:
     return F.floor(F.log("n") / (math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9)).cast("long").alias("band")
 
 
-def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Members (token, node, n, ...) by pairs (i, j) of blocks of their bucket's bands.
+def _tiles(members: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+    """Members (token, node, n, c) by pairs (i, j) of blocks of their bucket's bands, with their node's ``payload``.
 
     A band holds its own sets and, as guests, those of the band below. All pairs of its blocks are tiles, so that a
-    crowded bucket is dealt to many tasks, each with bounded rows.
+    crowded bucket is dealt to many tasks, each with bounded rows. What is compared joins them only when the tiles
+    are settled, and travels once.
     """
     own = members.withColumn("band", _band(percent)).withColumn("guest", F.lit(False))
     placed = own.union(own.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True)))
@@ -330,7 +331,8 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     tiled = tiled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     tiled = tiled.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    return tiled.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "node")
+    key = ["token", "band", "i", "j"]
+    return tiled.join(payload, "node").repartition(*key).sortWithinPartitions(*key, "node")
 
 
 def _compared(percent: int, exact: bool):
@@ -430,18 +432,17 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("sets"))
         .filter("lo <> hi and sets > 3").select("token")
     )
-    apart = placed.join(mixed, "token", "left_semi")
     bits = sets.select("node", "bits")
-    members_left = lambda df: saved(
-        _tiles(saved(df, "apart"), percent).mapInArrow(_compared(percent, False), "token long, node long").distinct(), "near"
+    members_left = lambda rows, payload: saved(
+        _tiles(rows, payload, percent).mapInArrow(_compared(percent, False), "token long, node long").distinct(), "near"
     )
-    near = members_left(apart.join(bits, "node"))
+    near = members_left(saved(placed.join(mixed, "token", "left_semi"), "apart"), bits)
     # the same once more, each pair in one bucket, before whole sets travel
     buckets_of = near.groupBy("node").agg(F.collect_list("token").alias("near"))
-    apart = near.join(placed, ["token", "node"])
-    near = members_left(apart.join(bits, "node").join(buckets_of, "node"))
-    whole = near.join(placed, ["token", "node"]).join(_only(sets, near).drop("n"), "node")
-    more = saved(_tiles(saved(whole, "whole"), percent).mapInArrow(_compared(percent, True), "u long, v long"), "links")
+    near = members_left(saved(near.join(placed, ["token", "node"]), "apart"), bits.join(buckets_of, "node"))
+    rows = saved(near.join(placed, ["token", "node"]), "apart")
+    tiles = _tiles(rows, _only(sets, near).select("node", "bits", "shingles"), percent)
+    more = saved(tiles.mapInArrow(_compared(percent, True), "u long, v long"), "links")
     if not more.isEmpty():
         label = saved(components(links.union(more)), "components")
 
