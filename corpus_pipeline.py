@@ -35,9 +35,12 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     importable(spark)
     text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
     clashing = docs.groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).filter("lo <> hi")
-    clashing = clashing.select("doc_id", F.lit(True).alias("__clash"))
-    key = F.when(F.col("__clash"), F.xxhash64(F.col("doc_id"), text)).otherwise(F.col("doc_id").cast("long"))
-    keyed = docs.join(clashing, "doc_id", "left").withColumn("__key", key)
+    clashing = saved(clashing.select("doc_id", F.lit(True).alias("__clash")), "clashing")
+    if clashing.isEmpty():  # an id is a number of its own
+        keyed = docs.withColumn("__key", F.col("doc_id").cast("long"))
+    else:
+        key = F.when(F.col("__clash"), F.xxhash64(F.col("doc_id"), text)).otherwise(F.col("doc_id").cast("long"))
+        keyed = saved(docs.join(clashing, "doc_id", "left").withColumn("__key", key), "numbered")
     found = near.linked(keyed.select(F.col("__key").alias("doc_id"), "text"), size=5, percent=80)
     found = found.select(F.col("doc_id").alias("__key"), "component_id").filter("__key is not null").distinct()
     first = F.min(F.struct("doc_id", "__key"))["__key"].alias("__key")
