@@ -206,3 +206,12 @@ def test_sketches_screen_and_values_decide(spark):
         every = [rc.merged_sketches(s) for s in (parts, rc.distinct_sketches(rows_, ["id"]), rc.distinct_sketches(shuffled, ["id"]))]
         assert len({s.select(F.hll_sketch_estimate("sketch")).first()[0] for s in every}) == 1
         assert rc.distinct_values(rows_, shuffled, ["id"], source_sketches=parts).first().status == "ok"
+
+
+def test_sketches_of_one_task_do_not_depend_on_the_order_of_its_values(spark):
+    for n in (300, 400, 2000, 20_000, 60_000):
+        up = spark.range(n).coalesce(1)
+        for down in (up.sortWithinPartitions(F.desc("id")), up.unionByName(up).coalesce(1).sortWithinPartitions(F.xxhash64("id"))):
+            assert tuple(rc.distinct_values(up, down, ["id"]).first())[:2] == ("id", "ok"), n
+        halves = rc.distinct_sketches(up.where("id % 2 = 0"), ["id"]).union(rc.distinct_sketches(up.where("id % 2 <> 0"), ["id"]))
+        assert rc.distinct_values(up, up, ["id"], source_sketches=halves).first().status == "ok", n

@@ -445,15 +445,16 @@ def distinct_values(
 ) -> DataFrame:
     """Whether a column has the same different values on both sides, screened by sketches.
 
-    A sketch follows from the values alone, so estimates that differ prove that the values do, and no exact pass
-    is needed (``proved_by`` sketch). Where they are equal, number and hash sum of the values decide (values).
+    The estimate of a united sketch follows from the values alone, so estimates that differ prove that the values do,
+    and no exact pass is needed (``proved_by`` sketch). Where they are equal, number and hash sum of the values decide (values).
     """
     if source_sketches is None:
         source_sketches = distinct_sketches(source, columns)
     if target_sketches is None:
         target_sketches = distinct_sketches(target, columns)
-    estimate = F.hll_sketch_estimate("sketch")
-    # also sketches of one part pass the union: only its result follows from the values, whatever their order
+    # what a sketch estimates depends on the order of its values until it is united with another; a lone one of one
+    # part is only copied, so each is united with itself: from there on the estimate follows from the values alone
+    estimate = F.hll_sketch_estimate(F.hll_union("sketch", "sketch"))
     estimates = lambda sketches, name: merged_sketches(sketches).select("column", estimate.alias(name))
     screened = estimates(source_sketches, "s").join(estimates(target_sketches, "t"), "column")
     screened = {r["column"]: r.s == r.t for r in screened.collect()}  # one row for each column
