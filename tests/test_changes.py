@@ -146,6 +146,18 @@ def test_replayed_changes_do_not_undo_newer_ones(spark, tmp_path):
     assert rows(table.read()) == [(1, "x", 7), (2, "y", 2)]
 
 
+def test_a_run_is_found_by_its_folder_and_not_sent_to_one_task(spark, tmp_path, monkeypatch):
+    table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, parts=4)
+    table.append(0, ch.project(decode(log(spark, ENTRIES[:5], 0), ROUTE), ROUTE))
+    plans, merge = [table.changes()._jdf.queryExecution().optimizedPlan().toString()], ch.merge
+    monkeypatch.setattr(
+        ch, "merge", lambda old, news, *rest: plans.append(news._jdf.queryExecution().optimizedPlan().toString()) or merge(old, news, *rest)
+    )
+    table.compact()
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+    assert table.changes().isEmpty() and rows(table.read()) == final(spark, ENTRIES[:5])
+
+
 def test_unpublished_work_is_not_read(spark, tmp_path):
     table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, parts=4)
     table.append(0, changes_of(spark, ENTRIES[:2]))

@@ -105,13 +105,20 @@ class KeyedTable:
         """Stream and number of the news, in order."""
         return sorted((r.stream, r.batch) for r in self.news().collect())
 
-    def _of_runs(self, runs: DataFrame, usable: bool) -> DataFrame:
+    def _of_runs(self, runs: DataFrame | list[str], usable: bool) -> DataFrame:
+        """Rows of these runs. A list names folders alone: a join by run would send each run to one task."""
         rows = self._rows("changes", self.batch_schema).where(F.col("_usable") == str(usable).lower())
+        if isinstance(runs, list):
+            return rows.where(F.col("_run").isin(runs))
         return rows.join(runs.select(F.col("run").alias("_run")), "_run", "left_semi")
 
+    def _new_runs(self) -> list[str]:
+        """One name for each batch since the last fold."""
+        return [r.run for r in self.news().select("run").collect()]
+
     def changes(self) -> DataFrame:
         """The changes that no version holds yet."""
-        return self._of_runs(self.news(), True)
+        return self._of_runs(self._new_runs(), True)
 
     def quarantine(self) -> DataFrame:
         """Rejected changes with their reason and raw text."""
@@ -161,14 +168,13 @@ class KeyedTable:
 
     def compact(self, keep: int = 2) -> int | None:
         """Fold the news into a new version of the parts it touches; returns the version that counts now."""
-        runs = [r.run for r in self.news().select("run").collect()]
-        newest = self._newest()
+        runs, newest = self._new_runs(), self._newest()
         if not runs:
             return None if newest is None else newest.version
         version, layout = (0, {}) if newest is None else (newest.version + 1, self.layout())
         fold = uuid.uuid4().hex
         # what is committed from here on stays news
-        news = self._of_runs(self.spark.createDataFrame([(r,) for r in runs], "run string"), True)
+        news = self._of_runs(runs, True)
         epoch = self.spark.range(1).select(self._epoch(newest, news).alias("e")).first()["e"]
         if newest is None or newest.parts == self.parts:
             of_rows = news.where(F.col(ACTION).isin("upsert", "delete"))
