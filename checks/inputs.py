@@ -468,7 +468,9 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("CREATE TABLE IF NOT EXISTS dws."), segment, F.lit(" AS SELECT * FROM dwd."), segment, F.lit("_"), nation,
         F.lit(" left join dual on 1 = 1 join ods.raw_"), key, F.lit(" x on true GROUP BY 1;\nSELECT * FROM ods.nothing LIMIT 10"),
     )
-    return table(spark, sf, "customer").select(F.concat(F.lit("jobs/"), key, F.lit(".sql")).alias("path"), sql.alias("sql"))
+    # few bytes a customer, much work on its texts: spread over tasks before these are made
+    customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey").repartition("c_custkey")
+    return customers.select(F.concat(F.lit("jobs/"), key, F.lit(".sql")).alias("path"), sql.alias("sql"))
 
 
 CORPUS_SQL = """

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from checks import inputs
 from tidegate.operators import lineage
 from tidegate.operators import requests as rq
 from tidegate.plans import lineage_job
@@ -34,6 +35,19 @@ def test_lineage(spark, sql, edges):
     assert found(spark, sql) == edges
 
 
+@pytest.mark.parametrize("extended", [False, True])
+def test_lineage_searches_a_statement_once(spark, extended):
+    corpus = spark.createDataFrame([("a.sql", "INSERT INTO t SELECT 1 FROM a; SELECT 1 FROM b")], "path string, sql string")
+    plan = lineage.extract(corpus, extended)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("INSERT") == 1 and plan.count("CREATE") == 1
+    assert plan.count("regexp_extract_all") == 1 + extended  # names of common table expressions
+
+
+def test_the_texts_of_a_small_file_are_made_on_several_tasks(spark):
+    made = inputs.corpus(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lineage_of_a_very_long_statement(spark):
     values = ",".join(f"('v;{n}')" for n in range(60_000))
     assert found(spark, f"INSERT INTO big VALUES {values}; INSERT INTO t SELECT 1 FROM a") == [("a", "t")]

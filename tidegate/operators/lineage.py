@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.values import computed_once
+
 # What a name, a target, a source and the end of the sources look like.
 NAME = r"""(?:`[^`]+`|"[^"]+"|[A-Za-z_][A-Za-z0-9_$]*)"""
 QUALIFIED = rf"{NAME}(?:\.{NAME})*"
@@ -98,9 +100,11 @@ def extract(corpus: DataFrame, extended: bool = False) -> DataFrame:
     if extended:
         # texts stay, comments outside them go
         split = split.withColumn("text", F.regexp_replace("text", rf"('[^'\\]*+(?:\\.[^'\\]*+)*+')|{COMMENT}", "$1 "))
-    inserted = F.regexp_extract("text", EXTENDED_INSERT_TARGET if extended else INSERT_TARGET, 1)
+    # each step is computed once a statement, and sources only where there is a target
+    split = computed_once(split, _inserted=F.regexp_extract("text", EXTENDED_INSERT_TARGET if extended else INSERT_TARGET, 1))
     created = F.regexp_extract("text", EXTENDED_CREATE_TARGET if extended else CREATE_TARGET, 1)
-    target = F.when(inserted != "", inserted).otherwise(created)
+    target = F.when(F.col("_inserted") != "", F.col("_inserted")).otherwise(created)
+    writing = computed_once(split, target_table=_plain(target)).where(F.col("target_table") != "")
     if extended:
         found = _read(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     else:
@@ -110,10 +114,8 @@ def extract(corpus: DataFrame, extended: bool = False) -> DataFrame:
     if extended:
         ctes = F.transform(F.regexp_extract_all("text", F.lit(CTE_NAME), F.lit(1)), _plain)
         sources = F.array_except(sources, ctes)
-    return (
-        split.select("path", "statement", _plain(target).alias("target_table"), sources.alias("sources"))
-        .where(F.col("target_table") != "")
-        .select("path", "statement", "target_table", F.posexplode("sources").alias("source_position", "source_table"))
+    return computed_once(writing, sources=sources).select(
+        "path", "statement", "target_table", F.posexplode("sources").alias("source_position", "source_table")
     )
 
 
