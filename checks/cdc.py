@@ -319,7 +319,7 @@ class Live:
         if self.route.change_format == "canal":  # its messages carry no time of their own
             dated = rows.withColumn("event_ms", F.unix_millis("timestamp"))
         else:
-            dated = debezium.decode(rows)
+            dated = debezium.with_event_time(rows)
         bronze.append(dated, f"{self.root}/bronze")
 
     def table(self, route=None):

@@ -146,6 +146,21 @@ def test_replayed_changes_do_not_undo_newer_ones(spark, tmp_path):
     assert rows(table.read()) == [(1, "x", 7), (2, "y", 2)]
 
 
+def test_the_event_time_alone_is_that_of_the_whole_decoding(spark):
+    wrapped = [f'{{"payload":{v}}}' for v in ('{"ts_ms":5}', '{"ts_ms":0,"source":{"ts_ms":7,"lsn":"x"}}', "[1]", '{"ts_ms":"a","op":1,"after":3}')]
+    texts = ['{"ts_ms":5,"op":"c","after":{"id":1}}', '{"source":{"ts_ms":6}}', '{"ts_ms":5', "[1]", "", None, '{"ts_ms":"a"}', '{"payload":1,"ts_ms":8}', *wrapped]
+    raw = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "offset bigint, value string").selectExpr(
+        "'t' as topic", "0 as partition", "offset", "timestamp_millis(900 + offset) as timestamp", "cast(null as string) as key", "value"
+    )
+    times = [{r["offset"]: r["event_ms"] for r in df.collect()} for df in (debezium.with_event_time(raw), debezium.decode(raw))]
+    assert times[0] == times[1] and times[0][0] == 5 and times[0][2] == 902
+
+
+def test_the_problems_of_a_change_are_listed_once(spark):
+    plan = ch.project(decode(log(spark, ENTRIES[:2], 0), ROUTE), ROUTE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws") == 1
+
+
 def test_a_run_is_found_by_its_folder_and_not_sent_to_one_task(spark, tmp_path, monkeypatch):
     table = KeyedTable(spark, f"{tmp_path}/t", ROUTE, parts=4)
     table.append(0, ch.project(decode(log(spark, ENTRIES[:5], 0), ROUTE), ROUTE))

@@ -104,10 +104,12 @@ def project(classified: DataFrame, route: Route) -> DataFrame:
             if route.whole_images:
                 problems.append(F.when(is_upsert & ~present, f"{f.name}: not in the image"))
             columns.append(F.struct(value.alias("value"), present.alias("present")).alias(f.name))
-    problem = F.nullif(F.concat_ws("; ", *problems), F.lit(""))
+    problem = F.nullif(F.col("_problem"), F.lit(""))
     applied = F.col("action").isin("upsert", "delete", "truncate")
     kept = applied & problem.isNull()
-    return computed_once(classified, **cells).select(
+    # the problems are asked for in every column below
+    checked = computed_once(computed_once(classified, **cells), _problem=F.concat_ws("; ", *problems))
+    return checked.select(
         *columns,
         F.when(applied & problem.isNotNull(), "rejected").otherwise(F.col("action")).alias(ACTION),
         F.coalesce("reason", F.when(applied, problem)).alias("_reason"),

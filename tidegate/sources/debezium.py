@@ -42,6 +42,20 @@ def _time(value: Column) -> Column:
     return F.nullif(value, F.lit(0).cast("bigint"))
 
 
+def _event_ms() -> Column:
+    return F.coalesce(_time(_field("ts_ms")), _time(_field("source")["ts_ms"]), F.unix_millis("timestamp"))
+
+
+def with_event_time(raw: DataFrame) -> DataFrame:
+    """Bronze rows plus ``event_ms`` as ``decode`` has it, without parsing what else the messages hold.
+
+    A text that ``decode`` gives up because of its images, where it takes the record's time, may keep its own here.
+    """
+    times = "ts_ms bigint, source struct<ts_ms:bigint>"
+    parsed = computed_once(raw, _e=F.from_json("value", f"payload struct<{times}>, {times}"))
+    return parsed.select(*raw.columns, _event_ms().alias("event_ms"))
+
+
 def decode(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Bronze rows plus ``readable, op, before, after, key_row, event_ms, lsn``.
 
@@ -62,9 +76,7 @@ def decode(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         _field("op").alias("op"),
         _field("before").alias("before"),
         _field("after").alias("after"),
-        F.coalesce(
-            _time(_field("ts_ms")), _time(_field("source")["ts_ms"]), F.unix_millis("timestamp")
-        ).alias("event_ms"),
+        _event_ms().alias("event_ms"),
         F.coalesce(_field("source")["lsn"], F.lit(0).cast("bigint")).alias("lsn"),
     )
 
