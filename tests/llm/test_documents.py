@@ -195,6 +195,21 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(empty(spark), benchmark).count() == 0
 
 
+def test_decontamination_by_a_benchmark_of_many_blocks_takes_one_worker_a_task(spark, monkeypatch):
+    items = [(k, prose(30, 700 + k)) for k in range(12)]
+    docs = [(k, f"{prose(20, k)} {items[k][1] if k < 12 else prose(30, 800 + k)} {prose(20, 60 + k)}") for k in range(30)]
+    docs = spark.createDataFrame([*docs, (None, None), (12, items[3][1]), (13, "")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    assert sum(1 for _ in decontaminate._blocks(benchmark)) > 4
+    expected = Counter([*range(12, 30), 13, None])
+    for many in (decontaminate.PASS, 2):  # also where what is kept is written between passes
+        monkeypatch.setattr(decontaminate, "PASS", many)
+        kept = decontaminate.decontaminated(docs, benchmark)
+        assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert Counter(r[0] for r in kept.collect()) == expected
+
+
 def test_masks_find_three_substitutions_in_fifteen_words():
     from itertools import combinations
 

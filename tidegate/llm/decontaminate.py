@@ -7,7 +7,9 @@ laid over the text at that shift, and counts as found where ``least`` hundredths
 and every one that 80 hundredths allow in shorter items; those of 10 and 11 words need stretches of three words for it.
 
 The benchmark is broadcast in blocks of about ``BLOCK_WORDS`` words, whatever its size; each block scans the texts
-once, and texts are never shuffled. Words are lower-cased A-Z and end at white space or ASCII punctuation. Null
+once, and texts are never shuffled. ``decontaminated`` takes the blocks one after the other in one worker of a task,
+which holds the index of one and the texts of ``PASS`` at most: beyond these, what is kept is written before the next
+pass. Words are lower-cased A-Z and end at white space or ASCII punctuation. Null
 texts have no words. Of items of fewer than ``LEAST_WORDS`` words all words must be equal; items without words never
 match. Equal items match each, repeated rows are judged one by one. Without documents or items there are no overlaps;
 extra columns are ignored (or kept, by ``decontaminated``).
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm import text as tx
+from tidegate.llm.store import saved
 
 #: Word places that a seed looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5))
@@ -31,6 +34,8 @@ LEAST_WORDS = 8
 #: Stretches of 1, 2, ... words, for short items only.
 STRETCHES = tuple(tuple(range(n)) for n in range(1, LEAST_WORDS))
 BLOCK_WORDS = 200_000
+#: Blocks that a pass over the documents takes.
+PASS = 64
 FILTER_BITS = 22
 
 # white space and ASCII punctuation both end words; letters are lower-cased
@@ -143,7 +148,7 @@ class Scan:
         return list(best.values())
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, pa.Array]]:
     """The benchmark in blocks of about BLOCK_WORDS words: only one is on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -151,7 +156,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     for k in range(n):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow().combine_chunks()
         if block.num_rows:
-            yield items_of(block.column("item_id").to_pylist(), pa.concat_arrays(block.column("text").chunks))
+            yield block.column("item_id").to_pylist(), pa.concat_arrays(block.column("text").chunks)
 
 
 def _pairs(block, window: int, least: int):
@@ -179,23 +184,37 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 15, least: int
     schema = "doc_id long, item_id long, doc_start long, item_start long, words long, equal_words long"
     found = spark.createDataFrame([], schema)
     for block in _blocks(benchmark):
-        found = found.union(texts.mapInArrow(_pairs(spark.sparkContext.broadcast(block), window, least), schema))
+        items = spark.sparkContext.broadcast(items_of(*block))
+        found = found.union(texts.mapInArrow(_pairs(items, window, least), schema))
     return found
 
 
-def _clean(block, window: int, least: int):
+def _clean(blocks: list, window: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scan(block.value, window, least)
-        for piece in tx.pieces(batches, "text"):
-            keep = np.ones(piece.num_rows, bool)
-            keep[[row[0] for row in scan(piece.column("text"))]] = False
-            yield piece.filter(pa.array(keep))
+        scan = None
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for block in blocks:
+                if scan is None or len(blocks) > 1:
+                    scan = None  # the last block's index goes before the next one is made
+                    scan = Scan(items_of(*block.value), window, least)
+                at = 0
+                for piece in tx.pieces([batch], "text"):
+                    keep[[at + row[0] for row in scan(piece.column("text"))]] = False
+                    at += piece.num_rows
+            at = 0
+            for piece in tx.pieces([batch], "text"):
+                yield piece.filter(pa.array(keep[at : at + piece.num_rows]))
+                at += piece.num_rows
 
     return run
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 15, least: int = 80) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    for block in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), window, least), docs.schema)
+    blocks = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark)]
+    for k in range(0, len(blocks), PASS):
+        if k:
+            docs = saved(docs, "decontaminated")
+        docs = docs.mapInArrow(_clean(blocks[k : k + PASS], window, least), docs.schema)
     return docs
