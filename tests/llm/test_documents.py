@@ -316,6 +316,17 @@ def test_promoted_values_support_further_patterns(spark):
     assert [found[k].n_id for k in range(len(docs))] == [1] * (len(docs) - 1) + [0]
 
 
+def test_masking_shuffles_only_texts_that_may_hold_a_span(spark):
+    docs = [(k, f"{prose(20, k)} me{k}@you.org {prose(5, k)}" if k % 5 == 0 else prose(30, k)) for k in range(30)]
+    docs += [docs[5], docs[6], (None, "at me3@you.org"), (None, None), (40, None), (41, ""), (42, "7 of 9")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as cuts")
+    masked = pii.masked(df)
+    first, *rest = masked._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert first.startswith("Union") and sum("Join LeftOuter" in x for x in rest) == 1
+    expected = Counter((k, t and re.sub(r"me\d+@you\.org", "[EMAIL]", t), "x") for k, t in docs)
+    assert Counter(map(tuple, masked.collect())) == expected
+
+
 def test_personal_data_of_awkward_rows(spark):
     docs = documents(spark)
     assert pii.masked(docs).count() == docs.count()

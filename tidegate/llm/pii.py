@@ -89,6 +89,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("text_hash", F.xxhash64(text))
 
 
+def _marked(text: str) -> Column:
+    """Whether there may be a span: all kinds hold a digit or ``@``."""
+    return F.col(text).rlike("[0-9@]")
+
+
 def _discovered(tokens: DataFrame, base: DataFrame) -> DataFrame:
     """The tokens that patterns of high confidence stand before: rows (id, text_hash, kind, start, end)."""
     key = ["id", "text_hash"]
@@ -154,7 +159,7 @@ def _discovered(tokens: DataFrame, base: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """``id, text_hash, kind, start, end``: all spans of the different (doc_id, text) of ``docs``; kind counts in KINDS."""
-    marked = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
+    marked = docs.select("doc_id", "text").filter(_marked("text"))
     texts = saved(_keyed(marked).select("id", "text_hash", "text").dropDuplicates(["id", "text_hash"]), "marked")
     base = None
     for kind in KINDS[:-1]:
@@ -213,5 +218,8 @@ def masked(docs: DataFrame) -> DataFrame:
     )
     tail = F.substring(F.col("text"), F.element_at("cuts", -1)["end"].cast("int") + 1, F.lit((1 << 31) - 1))
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    out = helpers.join(cuts, key, "left").withColumn(taken["text"], text)
+    # texts that hold no span stay where they are; only the others are shuffled to meet their cuts
+    marked = F.coalesce(_marked("text"), F.lit(False))
+    out = helpers.filter(marked).join(cuts, key, "left").withColumn(taken["text"], text)
+    out = out.select(*renamed.columns).union(helpers.filter(~marked).select(*renamed.columns))
     return out.select(*(F.col(new).alias(c) for c, new in taken.items()))
