@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidegate.llm import decontaminate, language, near, packing, pii
 from tidegate.llm.queries import tokenizer
+from tidegate.llm.sift import possibly
 from tidegate.llm.store import importable, saved, table
 
 
@@ -44,9 +45,16 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     found = near.linked(keyed.select(F.col("__key").alias("doc_id"), "text"), size=5, percent=80)
     found = found.select(F.col("doc_id").alias("__key"), "component_id").filter("__key is not null").distinct()
     first = F.min(F.struct("doc_id", "__key"))["__key"].alias("__key")
-    kept = keyed.select("__key", "doc_id").distinct().join(found, "__key").groupBy("component_id").agg(first).select("__key")
+    keys = keyed.groupBy("__key", "doc_id").agg(F.count("*").alias("__rows"))
+    keys = saved(keys.join(found, "__key"), "keys")
+    kept = saved(keys.groupBy("component_id").agg(first).select("__key"), "kept")
+    # rows that stay and have no other row of their key need no join; the others are shuffled with their texts
+    doubtful = keys.join(kept.withColumn("__kept", F.lit(True)), "__key", "left").filter("__kept is null or __rows > 1")
+    doubtful = possibly("__key", saved(doubtful.select("__key"), "doubtful"))
+    given = keyed.filter("__key is not null")
+    settled = given.filter(doubtful).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
     alone = docs.filter("doc_id is null")
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns).union(alone)
+    return given.filter(~doubtful).select(*docs.columns).union(settled.select(*docs.columns)).union(alone)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

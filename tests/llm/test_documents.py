@@ -76,6 +76,27 @@ def test_near_duplicates(spark, size, percent):
         assert (n, component) == expected[doc_id] if doc_id is not None else component is None
 
 
+@pytest.mark.parametrize("slots", [repeats.SLOTS, (5, 5)])
+def test_near_duplicates_by_small_blocks_and_a_full_bit_map(spark, monkeypatch, slots):
+    monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(repeats, "SLOTS", slots)
+    base = prose(300, 31).split()
+    docs = []
+    for k in range(24):  # all alike, every second one close to its neighbour only
+        words = list(base)
+        for j in range(4):
+            words[(37 * (k // 2) + 61 * j) % 300] = f"own{k // 2}{j}"
+        if k % 2:
+            words[150] = f"odd{k}"
+        docs.append((50 - k, " ".join(words)))
+    docs += [docs[3], (70, docs[5][1]), (71, docs[5][1]), *((100 + k, prose(60, 900 + k)) for k in range(20))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = brute_components(docs, 5, 80)
+    found = near.linked(df, 5, 80).collect()
+    assert len(found) == len(docs) and all((n, c) == expected[d] for d, n, c in found)
+    assert len({c for _, c in expected.values()}) > 21
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near.linked(empty(spark)).count() == 0
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_documents import brute_components
 
 import corpus_pipeline
-from tidegate.llm import graph, topk, urls
+from tidegate.llm import graph, repeats, topk, urls
 from tidegate.llm.queries import ORACLES, QUERIES, RULES
 
 SMALL = "/root/testdata/sf0.001"
@@ -164,6 +164,20 @@ def test_pipeline_keeps_different_texts_under_one_id(spark):
     assert found.columns == docs.columns
 
 
+@pytest.mark.parametrize("slots", [repeats.SLOTS, (5, 5)])
+def test_pipeline_shuffles_only_texts_that_go_or_repeat(spark, monkeypatch, slots):
+    monkeypatch.setattr(repeats, "SLOTS", slots)  # at five, the bit map lets nearly all through
+    rows = [(k, prose(40, 300 + k)) for k in range(40)]
+    rows += [rows[4], rows[4], (90, rows[7][1]), (-1, rows[8][1] + " end"), (None, rows[9][1]), (60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.without_near_duplicates(spark, docs, SMALL)
+    groups = brute_components(rows, 5, 80)
+    kept = [r for r in set(rows) if r[0] is None or groups[r[0]][1] == r[0]]
+    assert Counter(map(tuple, found.collect())) == Counter(kept) and len(kept) == 43
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert plan[0].startswith("Union") and "Join" not in "".join(plan[: next(k for k, x in enumerate(plan) if "Relation" in x or "RDD" in x)])
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     pairs = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

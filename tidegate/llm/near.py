@@ -21,11 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm import text as tx
 from tidegate.llm.graph import components
+from tidegate.llm.repeats import BitMap
+from tidegate.llm.sift import hashed, possibly, taken
 from tidegate.llm.store import saved
 
 ROWS = 6
@@ -81,60 +84,97 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(owner, np.arange(len(offsets)))
 
 
-SKETCH = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, sig binary"
+FP = ["n_shingles", "fp_a", "fp_b"]
+MARKS = "doc_id long, n_shingles long, fp_a long, fp_b long"
+BANDS = "node long, n_shingles long, fp_a long, fp_b long, bands array<long>"
+SETS = "node long, n_shingles long, bands array<long>, sig binary, shingles binary"
 
 
-def _sketches(size: int, percent: int):
-    many = bands_for(percent)
-
+def _fingerprints(h: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Number of shingles and two sums of their hashes, null without shingles."""
+    counts = np.diff(bounds)
+    full = np.flatnonzero(counts)
+    out = [pa.array(counts.astype(np.int64))]
+    for k in range(2):
+        sums = np.zeros(len(counts), np.int64)
+        if len(full):
+            sums[full] = np.add.reduceat(tx.mix(h + tx.U(k + 1)), bounds[:-1][full]).view(np.int64)
+        out.append(pa.array(sums, mask=counts == 0))
+    return out
+
+
+def _minima(h: np.ndarray, bounds: np.ndarray, many: int) -> tuple[list, list]:
+    """Bands and signatures of the sets, None without shingles."""
+    factor, shift = hash_functions(ROWS * many)
+    counts = np.diff(bounds)
+    full = np.flatnonzero(counts)
+    n = len(full)
+    bands, sigs = [None] * len(counts), [None] * len(counts)
+    if n:
+        at = bounds[:-1][full]
+        low = (h >> tx.U(32)).astype(np.uint32)
+        minima = np.empty((n, ROWS * many), np.uint32)
+        for k in range(ROWS * many):
+            minima[:, k] = np.minimum.reduceat(low * factor[k] + shift[k], at)
+        rows = minima.reshape(n, many, ROWS).astype(tx.U)
+        band = np.broadcast_to(np.arange(many, dtype=tx.U), (n, many)).copy()
+        for r in range(ROWS):
+            band = tx.mix(band + rows[:, :, r])
+        band = band.view(np.int64)
+        short = (minima >> np.uint32(8)).astype(np.uint8)
+        for k, d in enumerate(full):
+            bands[d], sigs[d] = band[k], short[k].tobytes()
+    return bands, sigs
+
+
+def _marks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor, shift = hash_functions(ROWS * many)
         for piece in tx.pieces(batches, "text"):
+            found = _fingerprints(*shingle_sets(piece.column("text"), size))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *found], ["doc_id", *FP])
+
+    return run
+
+
+def _bands(size: int, percent: int, among: Broadcast[BitMap], wanted: bool):
+    """Bands of the rows whose ``hash`` may be ``among`` those of a bit map, or surely is not."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = among.value.has(batch.column("hash").to_numpy().view(tx.U))
+            yield batch.filter(pa.array(has == wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in tx.pieces(own(batches), "text"):
             h, bounds = shingle_sets(piece.column("text"), size)
-            counts = np.diff(bounds)
-            full = np.flatnonzero(counts)
-            n = len(full)
-            sums = [np.zeros(len(counts), np.int64) for _ in range(2)]
-            bands, sigs = [None] * len(counts), [None] * len(counts)
-            if n:
-                at = bounds[:-1][full]
-                for k, out in enumerate(sums):
-                    out[full] = np.add.reduceat(tx.mix(h + tx.U(k + 1)), at).view(np.int64)
-                low = (h >> tx.U(32)).astype(np.uint32)
-                minima = np.empty((n, ROWS * many), np.uint32)
-                for k in range(ROWS * many):
-                    minima[:, k] = np.minimum.reduceat(low * factor[k] + shift[k], at)
-                rows = minima.reshape(n, many, ROWS).astype(tx.U)
-                band = np.broadcast_to(np.arange(many, dtype=tx.U), (n, many)).copy()
-                for r in range(ROWS):
-                    band = tx.mix(band + rows[:, :, r])
-                band = band.view(np.int64)
-                short = (minima >> np.uint32(8)).astype(np.uint8)
-                for k, d in enumerate(full):
-                    bands[d], sigs[d] = band[k], short[k].tobytes()
-            empty = pa.array(counts == 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column("doc_id").cast(pa.int64()),
-                    pa.array(counts.astype(np.int64)),
-                    *(pa.compute.if_else(empty, pa.scalar(None, pa.int64()), pa.array(s)) for s in sums),
-                    pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(sigs, pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "sig"],
-            )
+            bands = pa.array(_minima(h, bounds, bands_for(percent))[0], pa.list_(pa.int64()))
+            found = _fingerprints(h, bounds)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *found, bands], ["node", *FP, "bands"])
 
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, percent: int):
+    """Sets, bands and signatures of the rows whose text has the fingerprint named beside it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tx.pieces(batches, "text"):
             h, bounds = shingle_sets(piece.column("text"), size)
+            bands, sigs = _minima(h, bounds, bands_for(percent))
             sets = [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            own = np.ones(piece.num_rows, bool)
+            for name, found in zip(FP, _fingerprints(h, bounds), strict=True):
+                own &= pa.compute.equal(found, piece.column(name)).fill_null(False).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"]
-            )
+                [
+                    piece.column("doc_id"),
+                    piece.column("n_shingles"),
+                    pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(sigs, pa.binary()),
+                    pa.array(sets, pa.binary()),
+                ],
+                ["node", "n_shingles", "bands", "sig", "shingles"],
+            ).filter(pa.array(own))
 
     return run
 
@@ -184,6 +224,8 @@ def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int)
         .select("u", "v", "sig_u", "sig_v")
         .mapInArrow(_agreeing(percent), "u long, v long")
     )
+    likely = saved(likely, "likely")
+    sets = sets.filter(possibly("node", saved(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")))
     return saved(
         likely.join(sets.toDF("u", "set_u"), "u")
         .join(sets.toDF("v", "set_v"), "v")
@@ -192,18 +234,21 @@ def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int)
     )
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """Members (band, node, ...) by pairs (i, j) of blocks of their bucket, all pairs of blocks: bounded groups."""
+def _tiles(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members (band, node, c) by pairs (i, j) of blocks of their bucket, all pairs of blocks: bounded groups.
+
+    Their node's ``payload`` joins them when the tiles are settled, and travels once.
+    """
     counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiled = members.join(counts, "band").withColumn("own", own).withColumn("other", other).drop("blocks")
     tiled = tiled.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    return tiled.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    return tiled.join(payload, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
 
 
 def _compared(percent: int, exact: bool):
-    """Compares what stands in one tile of a bucket, each pair in the first band that its sets share.
+    """Compares what stands in one tile of a bucket, each pair in the first band that its sets share; band 0 stands for none.
 
     Without ``exact``: the members with a partner in another component that signatures don't rule out.
     With it: the linked pairs, by their full sets.
@@ -230,7 +275,7 @@ def _compared(percent: int, exact: bool):
             if len(y):
                 y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
             if len(y) and before:
-                y = y[~(bands[y, :before] == bands[x, :before]).any(axis=1)]
+                y = y[~((bands[y, :before] == bands[x, :before]) & (bands[x, :before] != 0)).any(axis=1)]
             if not len(y):
                 continue
             if not exact:
@@ -256,28 +301,30 @@ def _compared(percent: int, exact: bool):
 def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = saved(texts.mapInArrow(_sketches(size, percent), SKETCH), "sketches")
-    fp = ["n_shingles", "fp_a", "fp_b"]
-    of_set = saved(
-        sketches.filter("fp_a is not null").groupBy(*fp).agg(F.min("doc_id").alias("node")).filter("node is not null"),
-        "sets-of-copies",
-    )
-    nodes = saved(
-        sketches.join(of_set, fp).filter("doc_id = node").dropDuplicates(["node"])
-        .select("node", "n_shingles", "bands", "sig"),
-        "nodes",
-    )
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = saved(members.join(buckets.drop("n"), "band"), "members")
-    active = saved(members.select("node").distinct(), "active")
+    marks = saved(texts.mapInArrow(_marks(size), MARKS), "marks")
+    with_set = marks.filter("doc_id is not null and fp_a is not null")
+    of_set = saved(with_set.groupBy(*FP).agg(F.min("doc_id").alias("node")), "sets-of-copies")
+    nodes = saved(of_set.groupBy("node").agg(F.min(F.struct(*FP)).alias("set")).select("node", "set.*"), "nodes")
+    # a document that is one row and its set's node needs no join to be told from copies
+    rows = with_set.groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("rows"))
+    rows = rows.join(nodes.select("node", F.lit(True).alias("first")), "node", "left")
+    others = taken(saved(rows.filter("rows > 1 or first is null").select("node"), "others"))
+    given = texts.filter("doc_id is not null")
+    alone, others = (given.select("*", hashed("doc_id")).mapInArrow(_bands(size, percent, others, x), BANDS) for x in (False, True))
+    others = others.dropDuplicates(["node", *FP]).join(nodes, ["node", *FP], "left_semi")
+    members = alone.union(others.select(*alone.columns)).select("node", F.explode("bands").alias("band"))
+    bucket = Window.partitionBy("band")
+    members = members.select("band", "node", F.min("node").over(bucket).alias("hub"), F.count("*").over(bucket).alias("n"))
+    members = saved(members.filter("n > 1").drop("n"), "members")
+    active = saved(members.select("node").distinct().join(nodes, "node"), "active").withColumnRenamed("node", "doc_id")
     sets = saved(
-        texts.join(active.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
-        .mapInArrow(_sets(size), "node long, shingles binary"),
+        given.filter(possibly("doc_id", active.select("doc_id")))
+        .join(active, "doc_id")
+        .dropDuplicates(["doc_id", "text"])
+        .mapInArrow(_sets(size, percent), SETS),
         "sets",
     )
-    sketch = saved(nodes.join(active, "node", "left_semi"), "signatures")
+    sketch, sets = sets.drop("shingles"), sets.select("node", "shingles")
     stars = (
         members.filter("node <> hub")
         .groupBy("node", "hub")
@@ -291,16 +338,19 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     placed = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
     placed = saved(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-    apart = placed.join(mixed, "band", "left_semi").join(sketch, "node")
-    near = saved(_tiles(apart).mapInArrow(_compared(percent, False), "band long, node long").distinct(), "near")
+    apart = saved(placed.join(mixed, "band", "left_semi"), "apart")
+    # of a node's bands those count here that sets of different components share
+    shared = apart.groupBy("node").agg(F.collect_set("band").alias("shared"))
+    bands = F.transform("bands", lambda b: F.when(F.array_contains("shared", b), b).otherwise(F.lit(0)))
+    sketch = saved(sketch.join(shared, "node").withColumn("bands", bands).drop("shared"), "signatures")
+    near = saved(_tiles(apart, sketch).mapInArrow(_compared(percent, False), "band long, node long").distinct(), "near")
+    ends = possibly("node", saved(near.select("node").distinct(), "ends"))
+    payload = sketch.filter(ends).join(sets.filter(ends), "node")
     second = saved(
-        _tiles(near.join(placed, ["band", "node"]).join(sketch, "node").join(sets, "node")).mapInArrow(
-            _compared(percent, True), "u long, v long"
-        ),
-        "links",
+        _tiles(near.join(placed, ["band", "node"]), payload).mapInArrow(_compared(percent, True), "u long, v long"), "links"
     )
     label = components(first.union(second))
     of_set = of_set.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return sketches.join(of_set, fp, "left").select(
+    return marks.join(of_set, FP, "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )

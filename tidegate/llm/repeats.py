@@ -221,12 +221,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bit_map(repeated: DataFrame) -> BitMap:
-    """The slots of the repeated minimisers; sixteen slots for each of them, within the bounds."""
+def bit_map(hashes: DataFrame) -> BitMap:
+    """The slots of the 64-bit hashes (a column ``hash``); sixteen slots for each of them, within the bounds."""
     least, most = SLOTS
-    out = BitMap(min(max((16 * repeated.count()).bit_length(), least), most))
+    out = BitMap(min(max((16 * hashes.count()).bit_length(), least), most))
     words = (
-        repeated.select(F.col("minimiser").bitwiseAND(F.lit((1 << out.slots) - 1)).alias("slot"))
+        hashes.select(F.col("hash").bitwiseAND(F.lit((1 << out.slots) - 1)).alias("slot"))
         .groupBy(F.shiftright("slot", 5).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, int(slot % 32)))").alias("bits"))
         .toArrow()
@@ -244,7 +244,7 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _identity(), "text")
     minimisers = texts.mapInArrow(_minimisers(width), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
     repeated = saved(minimisers.filter("n > 1").select("minimiser"), "repeated")
-    repeated = docs.sparkSession.sparkContext.broadcast(_bit_map(repeated))
+    repeated = docs.sparkSession.sparkContext.broadcast(bit_map(repeated.toDF("hash")))
     strings = saved(texts.mapInArrow(_strings(width, repeated), STRINGS), "strings")
     different = strings.groupBy("minimiser", "words").agg(F.count("*").alias("n"))
     different = saved(different, "different")
