@@ -139,13 +139,11 @@ def _marks(size: int):
 def _bands(size: int, percent: int, among: Broadcast[BitMap], wanted: bool):
     """Bands of the rows whose ``hash`` may be ``among`` those of a bit map, or surely is not."""
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            has = among.value.has(batch.column("hash").to_numpy().view(tx.U))
-            yield batch.filter(pa.array(has == wanted))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in tx.pieces(own(batches), "text"):
+        for piece in tx.pieces(batches, "text"):
+            piece = piece.filter(pa.array(among.value.has(piece.column("hash").to_numpy().view(tx.U)) == wanted))
+            if not piece.num_rows:
+                continue
             h, bounds = shingle_sets(piece.column("text"), size)
             bands = pa.array(_minima(h, bounds, bands_for(percent))[0], pa.list_(pa.int64()))
             found = _fingerprints(h, bounds)
