@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -97,6 +98,28 @@ def test_near_duplicates_by_small_blocks_and_a_full_bit_map(spark, monkeypatch,
     assert len({c for _, c in expected.values()}) > 21
 
 
+@pytest.mark.parametrize("others", [10, 200])
+def test_a_bucket_of_one_large_component_makes_few_rows(spark, others):
+    """Rows grew with the square of a bucket's members, however many of them are linked already."""
+    many, block = 400, 16
+    members = spark.range(many).selectExpr("7L as band", "id as node", f"if(id < {others}, id, -1L) as c")
+    tiles = near._tiles(members, spark.range(many).withColumnRenamed("id", "node"), block).collect()
+    blocks = -(-others // block)
+    assert len(tiles) <= many * blocks + others * -(-(many - others) // block)
+    assert others > 10 or len(tiles) < 2 * many < many * (many // block)
+    held = {}
+    for r in tiles:
+        held.setdefault((r.i, r.j), []).append(r)
+    assert max(map(len, held.values())) <= 6 * block  # blocks are dealt by hash
+    met = Counter()
+    for (i, j), rows_ in held.items():
+        for a, b in combinations(rows_, 2):
+            if a.c != b.c and (i == j or a.own != b.own):
+                met[frozenset((a.node, b.node))] += 1
+    assert set(met.values()) == {1}  # each pair of different components in one tile
+    assert len(met) == others * (others - 1) // 2 + others * (many - others)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near.linked(empty(spark)).count() == 0
 

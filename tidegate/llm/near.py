@@ -34,8 +34,9 @@ from tidegate.llm.store import saved
 ROWS = 6
 #: How often a pair exactly at the threshold may share no band; the number of bands follows.
 MISS = 5e-8
-#: Members of a bucket in one block; two blocks are compared at a time.
-BLOCK = 512
+#: Members of a bucket in one block; two blocks are compared at a time. Where only signatures travel (half a kilobyte
+#: a member) a block holds WIDER times as many.
+BLOCK, WIDER = 512, 4
 #: Standard deviations by which an estimate from signatures may fall short before a pair is dropped.
 SLACK = 6.0
 
@@ -232,15 +233,29 @@ def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int)
     )
 
 
-def _tiles(members: DataFrame, payload: DataFrame) -> DataFrame:
-    """Members (band, node, c) by pairs (i, j) of blocks of their bucket, all pairs of blocks: bounded groups.
+def _tiles(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
+    """Members (band, node, c) by pairs (i, j) of blocks of their bucket: bounded groups.
 
+    Members of one component need no comparison, so the largest component of a bucket has blocks of its own, which
+    meet those of the other members alone. All pairs of the others' blocks are tiles. A bucket of one block is one tile.
     Their node's ``payload`` joins them when the tiles are settled, and travels once.
     """
-    counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiled = members.join(counts, "band").withColumn("own", own).withColumn("other", other).drop("blocks")
+    parts = members.groupBy("band", "c").agg(F.count("*").alias("n"))
+    counts = parts.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("largest"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    one = F.col("all") <= block
+    counts = counts.select(
+        "band",
+        F.when(~one, F.col("largest.c")).alias("main"),
+        F.when(one, 1).otherwise(blocks(F.col("all") - F.col("largest.n"))).alias("others"),
+        F.when(one, 0).otherwise(blocks(F.col("largest.n"))).alias("mains"),
+    )
+    placed = members.join(counts, "band").withColumn("main", F.coalesce(F.col("c") == F.col("main"), F.lit(False)))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    own = F.when(F.col("main"), F.col("others") + dealt("mains")).otherwise(dealt("others"))
+    last = F.col("others") + F.when(F.col("main"), 0).otherwise(F.col("mains")) - 1
+    tiled = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    tiled = tiled.drop("main", "others", "mains")
     tiled = tiled.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
     return tiled.join(payload, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
 
@@ -341,12 +356,12 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     shared = apart.groupBy("node").agg(F.collect_set("band").alias("shared"))
     bands = F.transform("bands", lambda b: F.when(F.array_contains("shared", b), b).otherwise(F.lit(0)))
     sketch = saved(sketch.join(shared, "node").withColumn("bands", bands).drop("shared"), "signatures")
-    near = saved(_tiles(apart, sketch).mapInArrow(_compared(percent, False), "band long, node long").distinct(), "near")
+    near = _tiles(apart, sketch, BLOCK * WIDER).mapInArrow(_compared(percent, False), "band long, node long").distinct()
+    near = saved(near, "near")
     ends = possibly("node", saved(near.select("node").distinct(), "ends"))
     payload = sketch.filter(ends).join(sets.filter(ends), "node")
-    second = saved(
-        _tiles(near.join(placed, ["band", "node"]), payload).mapInArrow(_compared(percent, True), "u long, v long"), "links"
-    )
+    near = near.join(placed, ["band", "node"])
+    second = saved(_tiles(near, payload, BLOCK).mapInArrow(_compared(percent, True), "u long, v long"), "links")
     label = components(first.union(second))
     of_set = of_set.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return marks.join(of_set, FP, "left").select(
