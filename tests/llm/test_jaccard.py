@@ -3,6 +3,7 @@
 from random import Random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, empty, prose, rows
 from pyspark.sql import functions as F
@@ -68,3 +69,36 @@ def test_tables_without_rows_or_with_extra_columns(spark):
     assert len(found) == len(rows())
     assert {r.n_shingles for r in found if r.doc_id in (5, 6, 7)} == {0}
     assert {r.n_shingles for r in found if r.doc_id in (8, 9)} == {len(shingles("word", 5))}
+
+
+@pytest.mark.parametrize(("before", "meanwhile"), [("10000", "1000"), ("0", "1000"), ("300", "300")])
+def test_jobs_of_the_join_send_few_rows_at_once(spark, monkeypatch, before, meanwhile):
+    name, old, met = "spark.sql.execution.arrow.maxRecordsPerBatch", jaccard.saved, set()
+
+    def saved(df, what):
+        met.add(spark.conf.get(name))
+        if what == "members" and before == "300":
+            raise RuntimeError(what)
+        return old(df, what)
+
+    monkeypatch.setattr(jaccard, "saved", saved)
+    given = spark.conf.get(name)
+    spark.conf.set(name, before)
+    try:
+        docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+        if before == "300":
+            with pytest.raises(RuntimeError):
+                jaccard.joined(docs)
+        else:
+            assert {r.component_id for r in jaccard.joined(docs).collect()} == {1}
+        assert met == {meanwhile} and spark.conf.get(name) == before
+    finally:
+        spark.conf.set(name, given)
+
+
+def test_texts_are_worked_on_in_small_pieces():
+    texts = [prose(400, k) for k in range(600)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": texts})
+    found = [b.column("doc_id").to_pylist() for b in jaccard._measured(5)(iter([batch])) if not b.column("doc_id").null_count]
+    assert sum(found, []) == list(range(600)) and len(found) > 3
+    assert max(sum(len(texts[k].encode()) for k in ids) for ids in found) <= 1 << 18

@@ -35,13 +35,16 @@ from tidegate.llm import text as tx
 from tidegate.llm.graph import components
 from tidegate.llm.near import shingle_sets
 from tidegate.llm.repeats import SLOTS, BitMap
-from tidegate.llm.store import importable, saved
+from tidegate.llm.store import importable, records_at_once, saved
 
 #: Cells of the count table, and of one of the chunks it travels in. Two bytes a cell in a task, one when sent along;
 #: what one task sees more often than MOST counts as that, which only bears on the order of shingles.
 CELLS, CHUNK, MOST = 1 << 23, 1 << 16, (1 << 16) - 1
 #: Shingles that a task gathers before it adds them to its cells.
-GATHERED = 1 << 21
+GATHERED = 1 << 19
+#: Bytes of text that a task works on at a time, and rows that travel to it at once: with those, an executor's memory
+#: for the texts, bitmaps and sets on their way.
+PIECE, RECORDS = 1 << 18, 1000
 #: Members, and shingles of all members, of one block; two blocks meet in a tile.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Bits of a bitmap at most; longer sets share bits, and the bound stays one.
@@ -76,7 +79,7 @@ def _measured(size: int):
             at, n = np.unique(np.concatenate(held), return_counts=True)
             cells[at] = np.minimum(cells[at] + n, MOST)
 
-        for piece in tx.pieces(batches, "text"):
+        for piece in tx.pieces(batches, "text", PIECE):
             h, bounds = shingle_sets(piece.column("text"), size)
             nothing = pa.nulls(piece.num_rows)
             yield pa.RecordBatch.from_arrays(
@@ -174,7 +177,7 @@ def _prefixes(size: int, percent: int, levels: Broadcast, shared: Broadcast | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for piece in tx.pieces(batches, "text"):
+        for piece in tx.pieces(batches, "text", PIECE):
             h, bounds = shingle_sets(piece.column("text"), size)
             node = _fingerprints(h, bounds, 1)
             fresh = np.zeros(len(node), bool)
@@ -237,7 +240,7 @@ def _sets(size: int, chosen: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for piece in tx.pieces(batches, "text"):
+        for piece in tx.pieces(batches, "text", PIECE):
             h, bounds = shingle_sets(piece.column("text"), size)
             node = _fingerprints(h, bounds, 1)
             doc_id = piece.column("doc_id").cast(pa.int64()).to_numpy()
@@ -384,7 +387,11 @@ def _compared(percent: int, exact: bool):
 
 def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` its ``doc_id, n_shingles, component_id``."""
-    importable(docs.sparkSession)
+    with records_at_once(importable(docs.sparkSession), RECORDS):
+        return _joined(docs, size, percent)
+
+
+def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = saved(texts.mapInArrow(_measured(size), MEASURED), "measured")
